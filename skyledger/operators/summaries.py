@@ -50,13 +50,13 @@ def avg_city_temperature(enriched: DataFrame, window: str = WINDOW, slide: str =
 
 def drones_per_org(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
     """Distinct drone ids per org and window, one row per (org, window, id)."""
-    return (enriched.groupBy("org", _window(window, slide), "id").agg()
+    return (enriched.select("org", _window(window, slide), "id").distinct()
             .select("org", *_window_cols(), "id"))
 
 
 def drones_per_city(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
     """D3: distinct drone ids per (org, window, city), one row per id."""
-    return (enriched.groupBy("org", _window(window, slide), "city", "id").agg()
+    return (enriched.select("org", _window(window, slide), "city", "id").distinct()
             .select("org", *_window_cols(), "city", "id"))
 
 
