@@ -113,13 +113,15 @@ def cart_contents(epochs: DataFrame, events: DataFrame, catalog: DataFrame) -> D
 
     The open cart is the last epoch unless that epoch was closed (by a clear
     or a successful commit), in which case it is empty.  The version is the
-    time of the last add/clear/successful commit.  An empty open cart is one
+    time of the last add/clear/successful commit, or of the user's first
+    command when there was none (the first cart's creation).  An empty open cart is one
     row with null product_id.
     """
     last = (epochs.groupBy("user_id").agg(
         F.max_by(F.struct("epoch", "reset", "action", "ts_ms", "ats"), F.col("seq")).alias("l"),
-        F.max(F.when(F.col("action").isin("add", "clear") |
-                     (F.col("outcome") == OUTCOME_COMMITTED), F.col("ts_ms"))).alias("cart_ts")))
+        F.coalesce(F.max(F.when(F.col("action").isin("add", "clear") |
+                                (F.col("outcome") == OUTCOME_COMMITTED), F.col("ts_ms"))),
+                   F.min("ts_ms")).alias("cart_ts")))
     # The open epoch: the last row's epoch, plus one if the last row closed it.
     open_epoch = last.select("user_id", "cart_ts",
                              (F.col("l.epoch") + F.col("l.reset").cast("long")).alias("epoch"))

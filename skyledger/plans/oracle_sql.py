@@ -99,7 +99,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "items": (("ep",), """SELECT user_id, epoch, product_id, CAST(sum(n_valid) AS BIGINT) AS qty FROM ep
         WHERE action = 'add' AND n_valid > 0 GROUP BY user_id, epoch, product_id"""),
     "oe": (("ep",), """SELECT user_id,
-        max(CASE WHEN action IN ('add', 'clear') OR outcome = 'CartCommitted' THEN ts_ms END) AS cart_ts,
+        coalesce(max(CASE WHEN action IN ('add', 'clear') OR outcome = 'CartCommitted' THEN ts_ms END),
+                 min(ts_ms)) AS cart_ts,
         arg_max(epoch, seq) + CASE WHEN arg_max(reset, seq) THEN 1 ELSE 0 END AS epoch
         FROM ep GROUP BY user_id"""),
     "d9": (("oe", "items"), """SELECT oe.user_id, oe.cart_ts, items.product_id, items.qty
@@ -239,4 +240,8 @@ ORACLE: dict[str, str] = {
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS active FROM (
           SELECT session_id, start_ms AS t, 1 AS delta FROM sess
           UNION ALL SELECT session_id, end_ms AS t, -1 AS delta FROM sess)""", "sess"),
+    # --- stateful fold (H5 batch twin) against the window-function oracle ---
+    "cart_fold_outcomes": sql("SELECT user_id, seq, ts_ms, outcome FROM ep WHERE action = 'commit'", "ep"),
+    "cart_fold_contents": sql("SELECT * FROM d9", "d9"),
+    "cart_fold_committed": sql("SELECT * FROM d11", "d11"),
 }

@@ -280,6 +280,51 @@ def q_active_sessions(spark, d):
     return MX.active_sessions(_session_log(spark, d))
 
 
+# --- stateful operators (H2, H5 batch twins) -------------------------------------
+
+def _fold(spark, d, auth="ok"):
+    from skyledger.streaming.cart_state import cart_fold
+    return cart_fold(FX.cart_events(spark, d, auth=auth), FX.catalog(spark, d))
+
+
+def q_cart_fold_outcomes(spark, d):
+    f = _fold(spark, d)
+    return (f.where((F.col("kind") == "outcome") & (F.col("action") == "commit"))
+            .select("user_id", "seq", "ts_ms", "outcome"))
+
+
+def q_cart_fold_contents(spark, d):
+    f = _fold(spark, d).where(F.col("kind") == "cart")
+    return f.select("user_id", F.col("version").alias("cart_ts"), "product_id", "qty")
+
+
+def q_cart_fold_committed(spark, d):
+    """Committed carts from the fold; two commits under one timestamp: the
+    later one wins."""
+    from pyspark.sql import Window as W
+    f = (_fold(spark, d).where(F.col("kind") == "committed")
+         .withColumnRenamed("version", "commit_ts"))
+    last = F.max("seq").over(W.partitionBy("user_id", "commit_ts"))
+    return (f.withColumn("_last", last).where(F.col("seq") == F.col("_last"))
+            .select("user_id", "commit_ts", F.lit("Committed").alias("status"), "product_id", "qty"))
+
+
+def q_cart_fold_refused_auth_kpis(spark, d):
+    """D12 over the fold when every seventh command's authentication fails."""
+    f = _fold(spark, d, auth="seq7").where(F.col("kind") == "outcome")
+    return C.cart_kpis(f)
+
+
+def q_arrival_window_city_temperature(spark, d):
+    from skyledger.streaming.arrival_window import arrival_window_temperature
+    return arrival_window_temperature(_enriched(spark, d))
+
+
+def q_arrival_window_drones(spark, d):
+    from skyledger.streaming.arrival_window import arrival_window_drones
+    return arrival_window_drones(_enriched(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items())
     if name.startswith("q_") and callable(fn)
