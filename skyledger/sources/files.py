@@ -49,16 +49,18 @@ def write_places_tsv(places: DataFrame, path: str) -> None:
      .option("nullValue", "").csv(path))
 
 
-def _packet_schema_with_corrupt() -> T.StructType:
-    return T.StructType(PACKET.fields + [T.StructField(CORRUPT, T.StringType())])
+def _packet_schema_with_corrupt(with_arrival: bool = False) -> T.StructType:
+    extra = [T.StructField("arrival_seq", T.LongType())] if with_arrival else []
+    return T.StructType(PACKET.fields + extra + [T.StructField(CORRUPT, T.StringType())])
 
 
 def read_packets(spark: SparkSession, path: str, stream: bool = False,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = None, with_arrival: bool = False) -> DataFrame:
     """A2: JSON packets, one per line, with a ``_corrupt_record`` column for
-    rows that do not parse.  Use :func:`split_packets` to separate them."""
+    rows that do not parse.  Use :func:`split_packets` to separate them.
+    ``with_arrival`` also reads an optional ``arrival_seq`` field."""
     reader = spark.readStream if stream else spark.read
-    reader = reader.schema(_packet_schema_with_corrupt()).option("mode", "PERMISSIVE") \
+    reader = reader.schema(_packet_schema_with_corrupt(with_arrival)).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", CORRUPT)
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
