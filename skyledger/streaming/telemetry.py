@@ -109,9 +109,11 @@ def drones_per_city_stream(enriched: DataFrame, watermark: str = "2 minutes",
 
 def start_summaries(spark: SparkSession, enriched_path: str, schema, state_path: str, *,
                     watermark: str = "2 minutes", max_files_per_trigger: int | None = None,
-                    available_now: bool = True, prefix: str = "summary") -> list[StreamingQuery]:
+                    available_now: bool = True, prefix: str = "summary",
+                    checkpoint_root: str | None = None) -> list[StreamingQuery]:
     """Stage 2: both summaries over the enriched stream (C6), each kept as a
-    windows table and a latest table (H4/A5)."""
+    windows table and a latest table (H4/A5).  Checkpoints go under
+    ``checkpoint_root`` or else the session's shared checkpoint dir."""
     src = enriched_stream(spark, enriched_path, schema, max_files_per_trigger)
     src = src.observe("enriched", F.count(F.lit(1)).alias("rows"))
     temps_windows = VersionedTable(os.path.join(state_path, "city_temperature_windows"), merge_windows)
@@ -122,23 +124,20 @@ def start_summaries(spark: SparkSession, enriched_path: str, schema, state_path:
     drones_windows = VersionedTable(os.path.join(state_path, "drones_per_city_windows"), merge_windows)
 
     def temps_sink(batch, bid):
-        batch.persist()
         temps_windows(batch, bid)
         temps_latest(batch.select("org", "city", "window_start_ms", "window_end_ms",
                                   "avg_temperature", "n"), bid)
-        batch.unpersist()
 
     def drones_sink(batch, bid):
-        batch.persist()
         drones_windows(batch, bid)
         drones_latest(batch, bid)
-        batch.unpersist()
 
     queries = []
     for name, df, sink in ((f"{prefix}-by-org", city_temperature_stream(src, watermark), temps_sink),
                            (f"{prefix}-by-city", drones_per_city_stream(src, watermark), drones_sink)):
         w = (df.writeStream.queryName(name).outputMode("update").foreachBatch(sink)
-             .option("checkpointLocation", stream_checkpoint(spark, name)))
+             .option("checkpointLocation", os.path.join(checkpoint_root, name) if checkpoint_root
+                     else stream_checkpoint(spark, name)))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
         queries.append(w.start())
     return queries
