@@ -12,9 +12,13 @@ size 2, the diameter of the sphere, so it settles every remaining point.
 Scale notes:
 * Point locations are deduplicated on exact coordinates first, so a device
   parked at one spot (a hot key) is resolved once.
-* The join is an equi-join on a packed cell key: AQE broadcasts the place
-  copies when their measured size is under the threshold and otherwise
-  shuffles both sides on the cell; skewed cells are split by AQE.
+* The join is an equi-join on a packed cell key.  When the place count
+  (known, it sets the levels) times 27 is under ``broadcast_max_copies``
+  the copies are broadcast: the point locations are then never shuffled
+  for the join and the per-location minimum reuses the partitioning of
+  the distinct.  Above the bound both sides are shuffled on the cell (AQE
+  may still broadcast from runtime sizes) and skewed cells are split by
+  AQE's skew join.
 * The level sizes come from the place count only (a fixed, short plan);
   there is no driver loop over intermediate results.
 * Only points with no place within the previous level's radius reach the
@@ -36,6 +40,8 @@ _NEIGHBOUR_OFFSETS = [
     for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)
 ]
 _MARGIN = 1e-9
+# 27 copies per place and level; 4M copies of (id, x, y, z, cell) ~ 160 MB.
+BROADCAST_MAX_COPIES = 4_000_000
 
 
 def grid_levels(num_places: int, coarsest_fine: float = 0.5, growth: float = 4.0) -> list[float]:
@@ -60,7 +66,8 @@ def _cell_key(x: Column, y: Column, z: Column, c: float) -> Column:
 def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon: str = "lon",
                   place_cols: tuple[str, ...] = ("name", "province", "country"),
                   levels: list[float] | None = None, num_places: int | None = None,
-                  with_distance: bool = False) -> DataFrame:
+                  with_distance: bool = False,
+                  broadcast_max_copies: int = BROADCAST_MAX_COPIES) -> DataFrame:
     """Adds ``place_id`` and ``place_cols`` of the nearest place to each row.
 
     ``places`` needs ``place_id, lat, lon`` plus ``place_cols``.  Rows with a
@@ -68,10 +75,11 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
     sizes; otherwise they are derived from ``num_places`` (counted when not
     given; the place table is a dimension table).
     """
+    if num_places is None and (levels is None or broadcast_max_copies > 0):
+        num_places = places.count()
     if levels is None:
-        if num_places is None:
-            num_places = places.count()
         levels = grid_levels(num_places)
+    small = num_places is not None and num_places * 27 <= broadcast_max_copies
     if levels[-1] < 2.0:
         levels = list(levels) + [2.0]
 
@@ -86,25 +94,34 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
 
     settled = []
     remaining = locs
+    loc = ["_lat", "_lon"]
+    d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"),
+                           F.col("px"), F.col("py"), F.col("pz"))
     for i, c in enumerate(levels):
         last = i == len(levels) - 1
+        limit = F.lit(c * c * (1 - _MARGIN))
         copies = pl.select(
             "place_id", "px", "py", "pz",
             F.explode(F.array(*[_cell_key(F.col("px"), F.col("py"), F.col("pz"), c) + F.lit(o)
                                 for o in _NEIGHBOUR_OFFSETS])).alias("_cell"))
+        if small:
+            copies = F.broadcast(copies)
         probe = remaining.withColumn("_cell", _cell_key(F.col("qx"), F.col("qy"), F.col("qz"), c))
+        # Broadcast copies: the probe keeps the distinct's partitioning on the
+        # location, so the minimum below needs no exchange.  Shuffled join:
+        # each location's candidates all sit in its own cell's partition, so
+        # the partial aggregate is complete and one row per location moves.
+        # The minimum over (d2, place_id) is exact, ties going to the lowest id.
         cand = probe.join(copies, "_cell", "left")
-        d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"),
-                               F.col("px"), F.col("py"), F.col("pz"))
-        best = (cand.groupBy("_lat", "_lon", "qx", "qy", "qz")
+        best = (cand.groupBy(*loc, "qx", "qy", "qz")
                 .agg(F.min(F.when(F.col("place_id").isNotNull(),
                                   F.struct(d2.alias("d2"), F.col("place_id")))).alias("_b")))
         ok = F.col("_b").isNotNull()
         if not last:
-            ok = ok & (F.col("_b.d2") <= F.lit(c * c * (1 - _MARGIN)))
-            remaining = best.where(~ok).select("_lat", "_lon", "qx", "qy", "qz")
+            ok = ok & (F.col("_b.d2") <= limit)
+            remaining = best.where(~ok).select(*loc, "qx", "qy", "qz")
         settled.append(best.where(ok).select(
-            "_lat", "_lon", F.col("_b.place_id").alias("place_id"), F.col("_b.d2").alias("_d2")))
+            *loc, F.col("_b.place_id").alias("place_id"), F.col("_b.d2").alias("_d2")))
 
     resolved = settled[0]
     for s in settled[1:]:

@@ -32,6 +32,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = "8g"
+    # Local runs on small inputs: let AQE coalesce shuffle partitions down to
+    # 256 KB rather than 1 MB so the few MB of a test table still spread over
+    # all cores.  Cluster sessions keep their own setting.
+    conf["spark.sql.adaptive.coalescePartitions.minPartitionSize"] = "256KB"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

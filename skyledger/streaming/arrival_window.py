@@ -17,30 +17,31 @@ This is not the same function as the event-time sliding window (H1).
 Emitted windows are reduced at once: ``mode="temperature"`` (key org,
 city) gives the mean temperature plus the first buffered row's id, time
 and location; ``mode="drones"`` (key org) gives the distinct (city, id)
-pairs of the buffer, one row each.  Running sums and a multiset keep each
-step O(1) apart from the emitted rows.
+pairs of the buffer, one row each.  A running sum and a multiset keep each
+step O(1) apart from the emitted rows.  The buffer (the key's current
+window) is the only state.
 """
 
 from __future__ import annotations
 
 from collections import Counter, deque
 
-import pandas as pd
 from pyspark.sql import DataFrame, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skyledger.streaming._keyed import run_keyed_in_order
+from skyledger.streaming._keyed import fold_sorted, fold_stream
 
 WINDOW_MS = 60_000
 SLIDE_MS = 10_000
 
-BUFFER_SCHEMA = T.StructType([
+BUFFER_ROW = T.StructType([
     T.StructField("ts_ms", T.LongType()), T.StructField("temperature", T.DoubleType()),
     T.StructField("id", T.StringType()), T.StructField("city", T.StringType()),
     T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()),
 ])
-STATE_SCHEMA = T.StructType([
+IN_COLS = [f.name for f in BUFFER_ROW.fields]
+STATE = T.StructType([
     T.StructField("window_start", T.LongType()), T.StructField("emitted", T.LongType()),
+    T.StructField("buffer", T.ArrayType(BUFFER_ROW)),
 ])
 
 TEMPERATURE_OUT = T.StructType([
@@ -56,111 +57,94 @@ DRONES_OUT = T.StructType([
     T.StructField("window_start_ms", T.LongType()), T.StructField("trigger_ts_ms", T.LongType()),
     T.StructField("city", T.StringType()), T.StructField("id", T.StringType()),
 ])
-_COLS = [f.name for f in BUFFER_SCHEMA.fields]
 
 
-class ArrivalWindowProcessor(StatefulProcessor):
+class ArrivalWindowFold:
     def __init__(self, mode: str = "temperature", window_ms: int = WINDOW_MS,
-                 slide_ms: int = SLIDE_MS, initial_start: int | None = None,
-                 presorted: bool = False, order_cols: tuple[str, ...] = ("arrival_seq",)):
-        self.mode, self.window_ms, self.slide_ms = mode, window_ms, slide_ms
-        self.initial_start, self.presorted, self.order_cols = initial_start, presorted, order_cols
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", STATE_SCHEMA)
-        self.buffer = handle.getListState("buffer", BUFFER_SCHEMA)
-
-    def _chunks(self, rows):
-        if self.presorted:
-            yield from rows
-            return
-        # A micro-batch has no order inside a key: sort this key's rows of the
-        # batch (bounded by the trigger size, see H6 rate limits).
-        parts = list(rows)
-        if parts:
-            yield pd.concat(parts, ignore_index=True).sort_values(list(self.order_cols), kind="stable")
-
-    def handleInputRows(self, key, rows, timerValues):
-        if self.state.exists():
-            start, emitted = self.state.get()
+                 slide_ms: int = SLIDE_MS, initial_start: int | None = None):
+        self.mode, self.window_ms, self.slide_ms, self.initial_start = mode, window_ms, slide_ms, initial_start
+
+    def begin(self, key, state):
+        self.key = key
+        if state is None:
+            self.start, self.emitted, self.buf = self.initial_start, 0, deque()
         else:
-            start, emitted = self.initial_start, 0
-        buf = deque(tuple(r) for r in self.buffer.get()) if self.buffer.exists() else deque()
-        temp_sum = sum(r[1] for r in buf)
-        pairs = Counter((r[3], r[2]) for r in buf) if self.mode == "drones" else None
-        out = []
-        for pdf in self._chunks(rows):
-            cols = [pdf[c].tolist() for c in _COLS]
-            for row in zip(*cols):
-                ts = row[0]
-                if start is None:
-                    start = ts
-                buf.append(row)
-                temp_sum += row[1]
-                if pairs is not None:
-                    pairs[(row[3], row[2])] += 1
-                if ts - start > self.window_ms:
-                    emitted += 1
-                    out.extend(self._emit(key, emitted, start, ts, buf, temp_sum, pairs))
-                    while True:
-                        popped = buf.popleft()
-                        temp_sum -= popped[1]
-                        if pairs is not None:
-                            k = (popped[3], popped[2])
-                            pairs[k] -= 1
-                            if pairs[k] == 0:
-                                del pairs[k]
-                        if not buf or popped[0] >= start:
-                            break
-                    start += self.slide_ms
-        self.state.update((start, emitted))
-        self.buffer.clear()
-        if buf:
-            self.buffer.put(list(buf))
-        if out:
-            schema = TEMPERATURE_OUT if self.mode == "temperature" else DRONES_OUT
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    def _emit(self, key, emit_no, start, trigger_ts, buf, temp_sum, pairs):
+            self.start, self.emitted = state[0], state[1]
+            self.buf = deque(tuple(r) for r in (state[2] or []))
+        self.temp_sum = sum(r[1] for r in self.buf)
+        self.pairs = Counter((r[3], r[2]) for r in self.buf) if self.mode == "drones" else None
+
+    def step(self, row):
+        ts = row[0]
+        if self.start is None:
+            self.start = ts
+        self.buf.append(row)
+        self.temp_sum += row[1]
+        if self.pairs is not None:
+            self.pairs[(row[3], row[2])] += 1
+        if ts - self.start <= self.window_ms:
+            return []
+        self.emitted += 1
+        out = self._emit(ts)
+        while True:
+            popped = self.buf.popleft()
+            self.temp_sum -= popped[1]
+            if self.pairs is not None:
+                k = (popped[3], popped[2])
+                self.pairs[k] -= 1
+                if self.pairs[k] == 0:
+                    del self.pairs[k]
+            if not self.buf or popped[0] >= self.start:
+                break
+        self.start += self.slide_ms
+        return out
+
+    def _emit(self, trigger_ts):
         if self.mode == "temperature":
-            f = buf[0]
-            n = len(buf)
-            return [(key[0], key[1], emit_no, start, trigger_ts, n, temp_sum / n, f[2], f[0], f[4], f[5])]
-        return [(key[0], emit_no, start, trigger_ts, city, did) for (city, did) in sorted(pairs)]
+            f, n = self.buf[0], len(self.buf)
+            return [(self.key[0], self.key[1], self.emitted, self.start, trigger_ts, n,
+                     self.temp_sum / n, f[2], f[0], f[4], f[5])]
+        return [(self.key[0], self.emitted, self.start, trigger_ts, city, did)
+                for (city, did) in sorted(self.pairs)]
+
+    def end(self):
+        return [], (self.start, self.emitted, list(self.buf))
 
-    def close(self) -> None:
-        pass
 
+def _setup(mode):
+    keys = ["org", "city"] if mode == "temperature" else ["org"]
+    return keys, (TEMPERATURE_OUT if mode == "temperature" else DRONES_OUT)
 
-def _prepare(enriched: DataFrame) -> DataFrame:
-    return enriched.select("org", "city", "id", "ts_ms", "temperature", "lat", "lon",
-                           *[c for c in ("arrival_seq", "arrival_pos") if c in enriched.columns])
+
+def _batch(enriched, mode, window_ms, slide_ms, initial_start, order_cols):
+    keys, out = _setup(mode)
+    order = [c for c in order_cols if c in enriched.columns]
+    return fold_sorted(enriched, keys, order,
+                       lambda: ArrivalWindowFold(mode, window_ms, slide_ms, initial_start),
+                       IN_COLS, out)
 
 
 def arrival_window_temperature(enriched: DataFrame, window_ms: int = WINDOW_MS,
                                slide_ms: int = SLIDE_MS, initial_start: int | None = None,
-                               order_cols: tuple[str, ...] = ("arrival_seq",)) -> DataFrame:
+                               order_cols: tuple[str, ...] = ("arrival_seq", "arrival_pos")) -> DataFrame:
     """H2 + D1 (batch twin): averages per (org, city) by the arrival rule."""
-    p = ArrivalWindowProcessor("temperature", window_ms, slide_ms, initial_start, True, order_cols)
-    return run_keyed_in_order(_prepare(enriched), ["org", "city"], list(order_cols), p, TEMPERATURE_OUT)
+    return _batch(enriched, "temperature", window_ms, slide_ms, initial_start, order_cols)
 
 
 def arrival_window_drones(enriched: DataFrame, window_ms: int = WINDOW_MS,
                           slide_ms: int = SLIDE_MS, initial_start: int | None = None,
-                          order_cols: tuple[str, ...] = ("arrival_seq",)) -> DataFrame:
+                          order_cols: tuple[str, ...] = ("arrival_seq", "arrival_pos")) -> DataFrame:
     """H2 + D2/D3 (batch twin): distinct (city, id) per emitted org window."""
-    p = ArrivalWindowProcessor("drones", window_ms, slide_ms, initial_start, True, order_cols)
-    return run_keyed_in_order(_prepare(enriched), ["org"], list(order_cols), p, DRONES_OUT)
+    return _batch(enriched, "drones", window_ms, slide_ms, initial_start, order_cols)
 
 
 def arrival_window_stream(enriched_stream: DataFrame, mode: str = "temperature",
                           window_ms: int = WINDOW_MS, slide_ms: int = SLIDE_MS,
                           initial_start: int | None = None,
-                          order_cols: tuple[str, ...] = ("arrival_seq",)) -> DataFrame:
-    """H2 on a stream: each key's rows of a micro-batch are sorted by arrival
-    and folded into the state (RocksDB state store, checkpointed)."""
-    keys = ["org", "city"] if mode == "temperature" else ["org"]
-    p = ArrivalWindowProcessor(mode, window_ms, slide_ms, initial_start, False, order_cols)
-    out = TEMPERATURE_OUT if mode == "temperature" else DRONES_OUT
-    return _prepare(enriched_stream).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=p, outputStructType=out, outputMode="Append", timeMode="None")
+                          order_cols: tuple[str, ...] = ("arrival_seq", "arrival_pos")) -> DataFrame:
+    """H2 on a stream; the fold's state per key lives in the state store."""
+    keys, out = _setup(mode)
+    order = [c for c in order_cols if c in enriched_stream.columns]
+    return fold_stream(enriched_stream, keys, order,
+                       lambda: ArrivalWindowFold(mode, window_ms, slide_ms, initial_start),
+                       IN_COLS, STATE, out)

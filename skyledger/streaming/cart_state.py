@@ -1,9 +1,10 @@
 """H5: the per-user cart fold, including refused authentication.
 
-One stateful processor serves the stream and its batch twin.  Input rows
-are cart commands exploded to one row per product id (``pos`` null for a
-command without ids), each with ``valid`` from a left join on the catalog,
-so validation stays a plain (stream-static) join before the state.
+One fold serves the stream (``transformWithStateInPandas``) and its batch
+twin (``mapInPandas`` over input sorted per user).  Input rows are cart
+commands exploded to one row per product id (``pos`` null for a command
+without ids), each with ``valid`` from a left join on the catalog, so
+validation stays a plain (stream-static) join before the state.
 
 Rules per user, in ``seq`` order (synchronous model: a commit and its
 authentication verdict ``auth_ok`` are one event, interleaving during
@@ -21,17 +22,16 @@ authentication is left out):
 
 Output rows (``kind``): ``outcome`` for each command, ``committed`` items of
 each successful commit, and ``cart``: the open cart after the key's input
-(one row per product, or one row with null product when empty).
+(one row per product, or one row with null product when empty).  The state
+per user is the open cart's version and items.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skyledger.schemas import OUTCOME_COMMITTED, OUTCOME_EMPTY, OUTCOME_FAILED, OUTCOME_OUT_OF_DATE
-from skyledger.streaming._keyed import run_keyed_in_order
+from skyledger.streaming._keyed import fold_sorted, fold_stream
 
 OUT = T.StructType([
     T.StructField("user_id", T.StringType()), T.StructField("kind", T.StringType()),
@@ -40,116 +40,96 @@ OUT = T.StructType([
     T.StructField("n_valid", T.LongType()), T.StructField("version", T.LongType()),
     T.StructField("product_id", T.StringType()), T.StructField("qty", T.LongType()),
 ])
-_OUT_COLS = [f.name for f in OUT.fields]
-VERSION_SCHEMA = T.StructType([T.StructField("version", T.LongType())])
-ITEM_KEY = T.StructType([T.StructField("product_id", T.StringType())])
-ITEM_VAL = T.StructType([T.StructField("qty", T.LongType())])
-
-_IN_COLS = ["seq", "ts_ms", "action", "commit_ts", "auth_ok", "pos", "product_id", "valid"]
-
-
-class CartProcessor(StatefulProcessor):
-    def __init__(self, presorted: bool = False):
-        self.presorted = presorted
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.version_state = handle.getValueState("version", VERSION_SCHEMA)
-        self.items_state = handle.getMapState("items", ITEM_KEY, ITEM_VAL)
-
-    def _chunks(self, rows):
-        if self.presorted:
-            yield from rows
-            return
-        parts = list(rows)
-        if parts:
-            pdf = pd.concat(parts, ignore_index=True)
-            pdf["_pos"] = pdf["pos"].fillna(-1)
-            yield pdf.sort_values(["seq", "_pos"], kind="stable")
-
-    def _commands(self, rows):
-        """Regroup the exploded rows into commands (consecutive equal seq)."""
-        cur, ids = None, []
-        for pdf in self._chunks(rows):
-            for r in zip(*[pdf[c].tolist() for c in _IN_COLS]):
-                if cur is not None and r[0] != cur[0]:
-                    yield cur, ids
-                    ids = []
-                if cur is None or r[0] != cur[0]:
-                    cur = r
-                if r[5] is not None and r[5] == r[5] and bool(r[7]):  # pos not null/NaN, valid
-                    ids.append(r[6])
-        if cur is not None:
-            yield cur, ids
-
-    def handleInputRows(self, key, rows, timerValues):
-        user = key[0]
-        version = self.version_state.get()[0] if self.version_state.exists() else None
-        items = {k[0]: v[0] for k, v in self.items_state.iterator()} if self.items_state.exists() else {}
+STATE = T.StructType([
+    T.StructField("version", T.LongType()),
+    T.StructField("items", T.MapType(T.StringType(), T.LongType())),
+])
+IN_COLS = ["seq", "ts_ms", "action", "commit_ts", "auth_ok", "pos", "product_id", "valid"]
+ORDER = ["seq", "pos"]
+
+
+def _num(v):
+    return None if v is None or v != v else int(v)
+
+
+class CartFold:
+    def begin(self, key, state):
+        self.user = key[0]
+        self.version = None if state is None else state[0]
+        self.items = {} if state is None else dict(state[1] or {})
+        self.cmd, self.ids = None, []
+
+    def step(self, row):
         out = []
-        for (seq, ts, action, commit_ts, auth_ok, _pos, _pid, _valid), ids in self._commands(rows):
-            seq, ts = int(seq), int(ts)
-            if version is None:
-                version = ts
-            outcome, n_valid = None, 0
-            if action == "add":
-                for pid in ids:
-                    items[pid] = items.get(pid, 0) + 1
-                n_valid = len(ids)
-                version = ts
-            elif action == "clear":
-                items, version = {}, ts
-            elif action == "commit":
-                ct = None if commit_ts is None or commit_ts != commit_ts else int(commit_ts)
-                if not items:
-                    outcome = OUTCOME_EMPTY
-                elif version != ct:
-                    outcome = OUTCOME_OUT_OF_DATE
+        if self.cmd is not None and row[0] != self.cmd[0]:
+            out = self._apply()
+        if self.cmd is None:
+            self.cmd, self.ids = row, []
+        pos, pid, valid = row[5], row[6], row[7]
+        if _num(pos) is not None and bool(valid):
+            self.ids.append(pid)
+        return out
+
+    def _apply(self):
+        seq, ts, action, commit_ts, auth_ok = self.cmd[:5]
+        seq, ts = int(seq), int(ts)
+        ids, self.cmd, self.ids = self.ids, None, []
+        if self.version is None:
+            self.version = ts
+        out, outcome, n_valid = [], None, 0
+        if action == "add":
+            for pid in ids:
+                self.items[pid] = self.items.get(pid, 0) + 1
+            n_valid, self.version = len(ids), ts
+        elif action == "clear":
+            self.items, self.version = {}, ts
+        elif action == "commit":
+            ct = _num(commit_ts)
+            if not self.items:
+                outcome = OUTCOME_EMPTY
+            elif self.version != ct:
+                outcome = OUTCOME_OUT_OF_DATE
+            else:
+                committing, self.items, self.version = self.items, {}, ts
+                if bool(auth_ok):
+                    outcome = OUTCOME_COMMITTED
+                    out.extend((self.user, "committed", seq, ts, action, None, None, ct, pid, q)
+                               for pid, q in sorted(committing.items()))
                 else:
-                    committing, items, version = items, {}, ts
-                    if bool(auth_ok):
-                        outcome = OUTCOME_COMMITTED
-                        out.extend((user, "committed", seq, ts, action, None, None, ct, pid, q)
-                                   for pid, q in sorted(committing.items()))
-                    else:
-                        outcome = OUTCOME_FAILED
-                        items = dict(committing)
-            out.append((user, "outcome", seq, ts, action, outcome, n_valid, version, None, None))
-        if items:
-            out.extend((user, "cart", None, None, None, None, None, version, pid, q)
-                       for pid, q in sorted(items.items()))
+                    outcome = OUTCOME_FAILED
+                    self.items = dict(committing)
+        out.append((self.user, "outcome", seq, ts, action, outcome, n_valid, self.version, None, None))
+        return out
+
+    def end(self):
+        out = self._apply() if self.cmd is not None else []
+        if self.items:
+            out.extend((self.user, "cart", None, None, None, None, None, self.version, pid, q)
+                       for pid, q in sorted(self.items.items()))
         else:
-            out.append((user, "cart", None, None, None, None, None, version, None, None))
-        if version is not None:
-            self.version_state.update((version,))
-        self.items_state.clear()
-        for pid, q in items.items():
-            self.items_state.updateValue((pid,), (int(q),))
-        yield pd.DataFrame(out, columns=_OUT_COLS)
-
-    def close(self) -> None:
-        pass
+            out.append((self.user, "cart", None, None, None, None, None, self.version, None, None))
+        state = None if self.version is None else (self.version, dict(self.items))
+        return out, state
 
 
 def exploded_commands(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """Commands as one row per product id with a catalog-validity flag
-    (stateless: works on a stream joined with a static catalog)."""
+    (stateless: works on a stream joined with a static catalog; the
+    catalog side is broadcast by AQE when its measured size is small)."""
     ex = events.select("user_id", "seq", "ts_ms", "action", "commit_ts", "auth_ok",
                        F.posexplode_outer("product_ids").alias("pos", "product_id"))
     cat = catalog.select(F.col("id").alias("product_id"), F.lit(True).alias("valid"))
     return (ex.join(cat, "product_id", "left")
             .withColumn("valid", F.coalesce("valid", F.lit(False)))
-            .select("user_id", *_IN_COLS))
+            .select("user_id", *IN_COLS))
 
 
 def cart_fold(events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Batch twin of the stateful cart (sorted per user by seq, pos)."""
-    ex = exploded_commands(events, catalog)
-    return run_keyed_in_order(ex, ["user_id"], ["seq", "pos"], CartProcessor(presorted=True), OUT)
+    """Batch twin of the stateful cart (each user's rows in seq, pos order)."""
+    return fold_sorted(exploded_commands(events, catalog), ["user_id"], ORDER, CartFold, IN_COLS, OUT)
 
 
 def cart_fold_stream(events_stream: DataFrame, catalog: DataFrame) -> DataFrame:
     """H5 on a stream of cart commands."""
-    ex = exploded_commands(events_stream, catalog)
-    return ex.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=CartProcessor(presorted=False), outputStructType=OUT,
-        outputMode="Append", timeMode="None")
+    return fold_stream(exploded_commands(events_stream, catalog), ["user_id"], ORDER, CartFold,
+                       IN_COLS, STATE, OUT)
