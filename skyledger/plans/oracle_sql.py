@@ -244,4 +244,10 @@ ORACLE: dict[str, str] = {
     "cart_fold_outcomes": sql("SELECT user_id, seq, ts_ms, outcome FROM ep WHERE action = 'commit'", "ep"),
     "cart_fold_contents": sql("SELECT * FROM d9", "d9"),
     "cart_fold_committed": sql("SELECT * FROM d11", "d11"),
+    # --- file sources --------------------------------------------------------
+    "read_places_tsv": sql("SELECT place_id, name, province, country, feature_class, lat, lon FROM p", "p"),
+    "read_packets_json": sql("""SELECT id,
+        min(arrival_seq) OVER (PARTITION BY id, ts_ms // 10000) AS arrival_seq,
+        row_number() OVER (PARTITION BY id, ts_ms // 10000 ORDER BY ts_ms) - 1 AS arrival_pos,
+        ts_ms, CAST(CAST(temperature AS FLOAT) AS DOUBLE) AS temperature, lat, lon FROM m""", "m"),
 }

@@ -280,6 +280,38 @@ def q_active_sessions(spark, d):
     return MX.active_sessions(_session_log(spark, d))
 
 
+# --- file sources and replies (A1, A2, A6) --------------------------------------
+
+def q_read_places_tsv(spark, d):
+    """A1: the place table written as a 19-column TSV, read back."""
+    from skyledger.sources.derived import derived_path, ensure_written
+    from skyledger.sources.files import read_places, write_places_tsv
+    path = ensure_written(spark, derived_path(spark, d, "places-tsv"),
+                          lambda p: write_places_tsv(FX.places(spark, d), p))
+    return read_places(spark, path).select("place_id", "name", "province", "country",
+                                           "feature_class", "lat", "lon")
+
+
+def q_read_packets_json(spark, d):
+    """A2 + B1: measurements packed per device and 10 s (B9), written as JSON
+    lines, read back, rejects split off, flattened."""
+    from skyledger.sources.derived import derived_path, ensure_written
+    from skyledger.sources.files import read_packets, split_packets
+    path = ensure_written(spark, derived_path(spark, d, "packets-json"),
+                          lambda p: _packets(spark, d).write.mode("overwrite").json(p))
+    valid, _rejected = split_packets(read_packets(spark, path, with_arrival=True))
+    f = flatten_measurements(valid)
+    return f.select("id", "arrival_seq", F.col("arrival_pos").cast("long").alias("arrival_pos"),
+                    "ts_ms", "temperature", "lat", "lon")
+
+
+def q_temperature_replies_json(spark, d):
+    """The temperature lookup replies as JSON objects (null kept)."""
+    from skyledger.sources.sinks import to_json_rows
+    g = G.get_temperature(_requests(spark, d), _summaries(spark, d)["latest_city_temperature"])
+    return to_json_rows(g, ["org", "city", "cityTemperature"])
+
+
 # --- stateful operators (H2, H5 batch twins) -------------------------------------
 
 def _fold(spark, d, auth="ok"):
