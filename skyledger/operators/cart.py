@@ -3,9 +3,9 @@
 Input: cart commands ``user_id, seq, ts_ms, action, product_ids,
 commit_ts, auth_ok`` (``seq`` unique per user, defines the order).
 
-The batch fold here uses window functions partitioned by user and ordered
-by ``seq`` and covers the synchronous model in which every commit's
-authentication succeeds.  Commands with refused authentication move the
+The batch fold here uses running aggregates per user in ``seq`` order
+(bucketed, see :mod:`skyledger.operators.prefix`) and covers the
+synchronous model in which every commit's authentication succeeds.  Commands with refused authentication move the
 cart version recursively; :mod:`skyledger.streaming.cart_state` folds those
 (streaming and batch).
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from skyledger.operators.prefix import bucketed_running
 from skyledger.schemas import (CART_STATUS_COMMITTED, CART_STATUS_OPEN, OUTCOME_COMMITTED,
                                OUTCOME_EMPTY, OUTCOME_FAILED, OUTCOME_OUT_OF_DATE)
 
@@ -60,9 +61,13 @@ def with_valid_counts(events: DataFrame, catalog: DataFrame) -> DataFrame:
             .withColumn("n_valid", F.coalesce("n_valid", F.lit(0)).cast("long")))
 
 
-# --- fold by window functions (E1, E2) -------------------------------------
+# --- fold by running aggregates (E1, E2) -----------------------------------
 
-def cart_epochs(events: DataFrame, catalog: DataFrame) -> DataFrame:
+# Buckets of ``seq`` for the running aggregates (see operators.prefix).
+SEQ_BUCKET = 1 << 16
+
+
+def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUCKET) -> DataFrame:
     """E1 + E2: every command with its cart epoch and, for commits, the outcome.
 
     seg   running count of adds (a new segment starts at each add)
@@ -72,22 +77,32 @@ def cart_epochs(events: DataFrame, catalog: DataFrame) -> DataFrame:
           next add, so later r0 rows of the segment meet an empty cart
     epoch resets strictly before the row
     n     valid items added in the epoch so far
+
+    The running values are computed per (user, seq bucket) with carries
+    from earlier buckets, "first r0 of a segment" and "items before the
+    epoch" by aggregate + join, so no user's history has to fit one task.
     """
     e = with_valid_counts(events, catalog)
-    by_user = W.partitionBy("user_id").orderBy("seq")
-    upto = by_user.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = by_user.rowsBetween(W.unboundedPreceding, -1)
     is_add = F.col("action") == "add"
-    e = (e.withColumn("seg", F.sum(is_add.cast("long")).over(upto))
-          .withColumn("ats", F.last(F.when(is_add, F.col("ts_ms")), ignorenulls=True).over(upto)))
+    bucket = F.floor(F.col("seq") / seq_bucket)
+    e = bucketed_running(e, ["user_id"], ["seq"], bucket,
+                         sums={"seg": is_add.cast("long"),
+                               "_vp": F.when(is_add, F.col("n_valid")).otherwise(0).cast("long")},
+                         lasts={"ats": F.when(is_add, F.col("ts_ms"))})
     r0 = (F.col("action") == "clear") | ((F.col("action") == "commit") & (F.col("commit_ts") == F.col("ats")))
     e = e.withColumn("r0", F.coalesce(r0, F.lit(False)))
-    by_seg = W.partitionBy("user_id", "seg").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    e = e.withColumn("reset", F.col("r0") & ~F.coalesce(F.max(F.col("r0").cast("int")).over(by_seg) == 1,
-                                                        F.lit(False)))
-    e = e.withColumn("epoch", F.coalesce(F.sum(F.col("reset").cast("long")).over(before), F.lit(0)))
-    by_epoch = W.partitionBy("user_id", "epoch").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    e = e.withColumn("n", F.sum(F.when(is_add, F.col("n_valid")).otherwise(0)).over(by_epoch))
+    first_r0 = (e.where("r0").groupBy("user_id", "seg").agg(F.min("seq").alias("_first_r0")))
+    e = (e.join(first_r0, ["user_id", "seg"], "left")
+          .withColumn("reset", F.col("r0") & (F.col("seq") == F.col("_first_r0")))
+          .drop("_first_r0"))
+    e = bucketed_running(e, ["user_id"], ["seq"], bucket, sums={"_resets": F.col("reset").cast("long")})
+    e = e.withColumn("epoch", F.col("_resets") - F.col("reset").cast("long")).drop("_resets")
+    # items added before the epoch's first row
+    this_valid = F.when(is_add, F.col("n_valid")).otherwise(0)
+    base = (e.groupBy("user_id", "epoch")
+            .agg(F.min_by(F.col("_vp") - this_valid, F.col("seq")).alias("_vbase")))
+    e = (e.join(base, ["user_id", "epoch"])
+          .withColumn("n", F.col("_vp") - F.col("_vbase")).drop("_vp", "_vbase"))
     outcome = (F.when(F.col("action") != "commit", F.lit(None).cast("string"))
                .when(F.col("n") == 0, OUTCOME_EMPTY)
                .when(F.col("commit_ts") == F.col("ats"), OUTCOME_COMMITTED)

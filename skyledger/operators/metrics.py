@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from skyledger.operators.prefix import bucketed_running
 from skyledger.schemas import OUTCOME_COMMITTED, OUTCOME_EMPTY, OUTCOME_FAILED, OUTCOME_OUT_OF_DATE
 
 # Fixed values that must equal the reference: session stage names and the
@@ -13,15 +14,14 @@ REASON_CONFLICT = "cart timestamp out of date or empty cart"
 REASON_COMMIT_ERROR = "error committing to cart with status: 500 Internal Server Error"
 
 
-def session_log(commands: DataFrame) -> DataFrame:
+def session_log(commands: DataFrame, seq_bucket: int = 1 << 16) -> DataFrame:
     """Session log from folded cart commands (``user_id, seq, ts_ms, action,
     outcome``): a session is a user's commands up to and including a commit.
     Columns: session_id, stage, reason, success, start_ms, end_ms."""
-    by_user = W.partitionBy("user_id").orderBy("seq")
     is_commit = (F.col("action") == "commit").cast("long")
-    s = commands.withColumn(
-        "session_no", F.coalesce(F.sum(is_commit).over(by_user.rowsBetween(W.unboundedPreceding, -1)),
-                                 F.lit(0)))
+    s = bucketed_running(commands, ["user_id"], ["seq"], F.floor(F.col("seq") / seq_bucket),
+                         sums={"_commits": is_commit})
+    s = s.withColumn("session_no", F.col("_commits") - is_commit)
     g = (s.groupBy("user_id", "session_no")
          .agg(F.min("ts_ms").alias("start_ms"),
               F.max_by(F.struct("action", "outcome", "ts_ms"), F.col("seq")).alias("l")))
