@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skyledger.operators.prefix import bucketed_running
+from skyledger.session import materialize
 from skyledger.schemas import (CART_STATUS_COMMITTED, CART_STATUS_OPEN, OUTCOME_COMMITTED,
                                OUTCOME_EMPTY, OUTCOME_FAILED, OUTCOME_OUT_OF_DATE)
 
@@ -67,6 +68,28 @@ def with_valid_counts(events: DataFrame, catalog: DataFrame) -> DataFrame:
 SEQ_BUCKET = 1 << 16
 
 
+def commands(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUCKET) -> DataFrame:
+    """One row per command with ``n_valid``, its ids (``product_ids``) and
+    its valid ids (``valid_ids``, duplicates kept; order not kept), hash-
+    partitioned on (user, seq bucket ``_bkt``) - the one shuffle of the
+    command log; everything downstream reuses it."""
+    ex = events.select("user_id", "seq", "ts_ms", "action", "commit_ts", "auth_ok",
+                       F.posexplode_outer("product_ids").alias("pos", "product_id"))
+    cat = catalog.select(F.col("id").alias("product_id"), F.lit(True).alias("_valid"))
+    # A fixed partition count (not coalesced by AQE) so later joins with the
+    # small per-bucket tables find both sides partitioned alike.
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ex = (ex.join(cat, "product_id", "left")
+            .withColumn("_bkt", F.floor(F.col("seq") / seq_bucket))
+            .repartition(n, "user_id", "_bkt"))
+    has_id = F.col("pos").isNotNull()
+    ok = has_id & F.coalesce(F.col("_valid"), F.lit(False))
+    return ex.groupBy("user_id", "_bkt", "seq", "ts_ms", "action", "commit_ts", "auth_ok").agg(
+        F.collect_list(F.when(has_id, F.col("product_id"))).alias("product_ids"),
+        F.collect_list(F.when(ok, F.col("product_id"))).alias("valid_ids"),
+        F.count_if(ok).alias("n_valid"))
+
+
 def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUCKET) -> DataFrame:
     """E1 + E2: every command with its cart epoch and, for commits, the outcome.
 
@@ -74,40 +97,45 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
     ats   time of the latest add (the cart version while the cart holds items)
     r0    clear, or commit whose timestamp equals ats
     reset first r0 of its (user, seg): from there the cart is empty until the
-          next add, so later r0 rows of the segment meet an empty cart
+          next add, so later r0 rows of the segment meet an empty cart.  As
+          segments never decrease, "an earlier r0 in my segment" is "the
+          largest segment of an earlier r0 equals mine".
     epoch resets strictly before the row
-    n     valid items added in the epoch so far
-
-    The running values are computed per (user, seq bucket) with carries
-    from earlier buckets, "first r0 of a segment" and "items before the
-    epoch" by aggregate + join, so no user's history has to fit one task.
+    n     valid items added in the epoch so far: the running item count
+          minus its value at the last reset before the row
+
+    All running values come from :func:`bucketed_running` on the command
+    log partitioned by (user, seq bucket), so no user's history has to fit
+    one task and the command log is shuffled once: the three running
+    steps share their inputs through ``session.materialize`` (persisted,
+    partitioning kept), so no step re-shuffles or recomputes another.
     """
-    e = with_valid_counts(events, catalog)
+    # Each running step reads its input twice (rows and per-bucket totals);
+    # the inputs are materialized so the command log is shuffled once and
+    # no step recomputes the ones before it.
+    c = materialize(commands(events, catalog, seq_bucket))
     is_add = F.col("action") == "add"
-    bucket = F.floor(F.col("seq") / seq_bucket)
-    e = bucketed_running(e, ["user_id"], ["seq"], bucket,
+    c = bucketed_running(c, ["user_id"], ["seq"], "_bkt",
                          sums={"seg": is_add.cast("long"),
                                "_vp": F.when(is_add, F.col("n_valid")).otherwise(0).cast("long")},
                          lasts={"ats": F.when(is_add, F.col("ts_ms"))})
     r0 = (F.col("action") == "clear") | ((F.col("action") == "commit") & (F.col("commit_ts") == F.col("ats")))
-    e = e.withColumn("r0", F.coalesce(r0, F.lit(False)))
-    first_r0 = (e.where("r0").groupBy("user_id", "seg").agg(F.min("seq").alias("_first_r0")))
-    e = (e.join(first_r0, ["user_id", "seg"], "left")
-          .withColumn("reset", F.col("r0") & (F.col("seq") == F.col("_first_r0")))
-          .drop("_first_r0"))
-    e = bucketed_running(e, ["user_id"], ["seq"], bucket, sums={"_resets": F.col("reset").cast("long")})
-    e = e.withColumn("epoch", F.col("_resets") - F.col("reset").cast("long")).drop("_resets")
-    # items added before the epoch's first row
-    this_valid = F.when(is_add, F.col("n_valid")).otherwise(0)
-    base = (e.groupBy("user_id", "epoch")
-            .agg(F.min_by(F.col("_vp") - this_valid, F.col("seq")).alias("_vbase")))
-    e = (e.join(base, ["user_id", "epoch"])
-          .withColumn("n", F.col("_vp") - F.col("_vbase")).drop("_vp", "_vbase"))
+    c = materialize(c.withColumn("r0", F.coalesce(r0, F.lit(False))))
+    c = bucketed_running(c, ["user_id"], ["seq"], "_bkt",
+                         maxs_before={"_r0_seg": F.when(F.col("r0"), F.col("seg"))})
+    c = c.withColumn("reset", F.col("r0") & ~F.coalesce(F.col("_r0_seg") == F.col("seg"), F.lit(False)))
+    c = materialize(c)
+    c = bucketed_running(c, ["user_id"], ["seq"], "_bkt",
+                         sums={"_resets": F.col("reset").cast("long")},
+                         lasts_before={"_vp_reset": F.when(F.col("reset"), F.col("_vp"))})
+    c = (c.withColumn("epoch", F.col("_resets") - F.col("reset").cast("long"))
+          .withColumn("n", F.col("_vp") - F.coalesce(F.col("_vp_reset"), F.lit(0)))
+          .drop("_r0_seg", "_resets", "_vp_reset", "_vp"))
     outcome = (F.when(F.col("action") != "commit", F.lit(None).cast("string"))
                .when(F.col("n") == 0, OUTCOME_EMPTY)
                .when(F.col("commit_ts") == F.col("ats"), OUTCOME_COMMITTED)
                .otherwise(OUTCOME_OUT_OF_DATE))
-    return e.withColumn("outcome", outcome)
+    return c.withColumn("outcome", outcome)
 
 
 def commit_outcomes(epochs: DataFrame) -> DataFrame:
@@ -116,14 +144,15 @@ def commit_outcomes(epochs: DataFrame) -> DataFrame:
             .select("user_id", "seq", "ts_ms", "commit_ts", "outcome"))
 
 
-def _epoch_items(epochs: DataFrame, catalog: DataFrame, events: DataFrame) -> DataFrame:
-    valid = validate_products(events, catalog)
-    return (valid.join(epochs.select("user_id", "seq", "epoch"), ["user_id", "seq"])
+def _epoch_items(epochs: DataFrame) -> DataFrame:
+    """Valid items per (user, epoch, product) from the adds' ``valid_ids``."""
+    return (epochs.where(F.col("action") == "add")
+            .select("user_id", "epoch", F.explode("valid_ids").alias("product_id"))
             .groupBy("user_id", "epoch", "product_id")
-            .agg(F.count(F.lit(1)).cast("int").alias("qty")))
+            .agg(F.count(F.lit(1)).cast("long").alias("qty")))
 
 
-def cart_contents(epochs: DataFrame, events: DataFrame, catalog: DataFrame) -> DataFrame:
+def cart_contents(epochs: DataFrame) -> DataFrame:
     """Each user's open cart, long form: user_id, cart_ts, product_id, qty.
 
     The open cart is the last epoch unless that epoch was closed (by a clear
@@ -140,18 +169,18 @@ def cart_contents(epochs: DataFrame, events: DataFrame, catalog: DataFrame) -> D
     # The open epoch: the last row's epoch, plus one if the last row closed it.
     open_epoch = last.select("user_id", "cart_ts",
                              (F.col("l.epoch") + F.col("l.reset").cast("long")).alias("epoch"))
-    items = _epoch_items(epochs, catalog, events)
+    items = _epoch_items(epochs)
     return (open_epoch.join(items, ["user_id", "epoch"], "left")
             .select("user_id", "cart_ts", "product_id", "qty"))
 
 
-def committed_carts(epochs: DataFrame, events: DataFrame, catalog: DataFrame) -> DataFrame:
+def committed_carts(epochs: DataFrame) -> DataFrame:
     """Committed carts by (user, cart timestamp), long form:
     user_id, commit_ts, status, product_id, qty.  When two commits share a
     timestamp the later one wins."""
     ok = epochs.where(F.col("outcome") == OUTCOME_COMMITTED)
     winner = (ok.groupBy("user_id", "commit_ts").agg(F.max_by("epoch", "seq").alias("epoch")))
-    items = _epoch_items(epochs, catalog, events)
+    items = _epoch_items(epochs)
     return (winner.join(items, ["user_id", "epoch"])
             .select("user_id", "commit_ts", F.lit(CART_STATUS_COMMITTED).alias("status"),
                     "product_id", "qty"))

@@ -17,10 +17,12 @@ REASON_COMMIT_ERROR = "error committing to cart with status: 500 Internal Server
 def session_log(commands: DataFrame, seq_bucket: int = 1 << 16) -> DataFrame:
     """Session log from folded cart commands (``user_id, seq, ts_ms, action,
     outcome``): a session is a user's commands up to and including a commit.
+    The commit count per user runs bucketed by ``seq`` (see operators.prefix).
     Columns: session_id, stage, reason, success, start_ms, end_ms."""
     is_commit = (F.col("action") == "commit").cast("long")
-    s = bucketed_running(commands, ["user_id"], ["seq"], F.floor(F.col("seq") / seq_bucket),
-                         sums={"_commits": is_commit})
+    if "_bkt" not in commands.columns:
+        commands = commands.withColumn("_bkt", F.floor(F.col("seq") / seq_bucket))
+    s = bucketed_running(commands, ["user_id"], ["seq"], "_bkt", sums={"_commits": is_commit})
     s = s.withColumn("session_no", F.col("_commits") - is_commit)
     g = (s.groupBy("user_id", "session_no")
          .agg(F.min("ts_ms").alias("start_ms"),

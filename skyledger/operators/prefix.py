@@ -1,12 +1,17 @@
 """Running aggregates per key without putting a key's rows in one task.
 
-A running sum (or running "last non-null value") over ``partitionBy(key)
-.orderBy(order)`` would send all rows of a key to one window partition.
-Here the rows are cut into buckets of the order column: the window runs
+A running sum over ``partitionBy(key).orderBy(order)`` would send all rows
+of a key to one window partition.  Here the rows carry a bucket of the
+order column (``bucket_col``, non-decreasing along the order): windows run
 inside (key, bucket), and a small per-(key, bucket) table carries the
-totals of all earlier buckets, which are added back with a join.  The
-per-bucket table has one row per (key, bucket), so even a key holding a
-large share of the data is spread over many tasks.
+totals of all earlier buckets, added back with a join.  If the input is
+hash-partitioned on (key, bucket) the windows and the per-bucket aggregate
+reuse that partitioning, and only the small table moves.
+
+* ``sums``: inclusive running sums
+* ``lasts``: inclusive running last non-null value
+* ``lasts_before``: last non-null value over the rows strictly before
+* ``maxs_before``: maximum over the rows strictly before
 """
 
 from __future__ import annotations
@@ -14,35 +19,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def bucketed_running(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
+def bucketed_running(df: DataFrame, keys: list[str], order: list[str], bucket_col: str,
                      sums: dict[str, Column] | None = None,
-                     lasts: dict[str, Column] | None = None) -> DataFrame:
-    """Adds inclusive running sums (``sums``) and running last non-null
-    values (``lasts``) per ``keys`` in ``order``.  ``bucket`` must be
-    non-decreasing along ``order`` within a key."""
+                     lasts: dict[str, Column] | None = None,
+                     lasts_before: dict[str, Column] | None = None,
+                     maxs_before: dict[str, Column] | None = None) -> DataFrame:
     sums, lasts = sums or {}, lasts or {}
-    b = df.withColumn("_bkt", bucket)
-    for n, e in {**sums, **lasts}.items():
+    lasts_before, maxs_before = lasts_before or {}, maxs_before or {}
+    specs = {**sums, **lasts, **lasts_before, **maxs_before}
+    b = df
+    for n, e in specs.items():
         b = b.withColumn(f"_v_{n}", e)
-    inner = W.partitionBy(*keys, "_bkt").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = W.partitionBy(*keys, bucket_col).orderBy(*order)
+    incl = inner.rowsBetween(W.unboundedPreceding, W.currentRow)
+    excl = inner.rowsBetween(W.unboundedPreceding, -1)
     for n in sums:
-        b = b.withColumn(f"_in_{n}", F.sum(f"_v_{n}").over(inner))
+        b = b.withColumn(f"_in_{n}", F.sum(f"_v_{n}").over(incl))
     for n in lasts:
-        b = b.withColumn(f"_in_{n}", F.last(f"_v_{n}", ignorenulls=True).over(inner))
+        b = b.withColumn(f"_in_{n}", F.last(f"_v_{n}", ignorenulls=True).over(incl))
+    for n in lasts_before:
+        b = b.withColumn(f"_in_{n}", F.last(f"_v_{n}", ignorenulls=True).over(excl))
+    for n in maxs_before:
+        b = b.withColumn(f"_in_{n}", F.max(f"_v_{n}").over(excl))
     ordering = F.struct(*order)
-    per_bucket = b.groupBy(*keys, "_bkt").agg(
+    per_bucket = b.groupBy(*keys, bucket_col).agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), ordering)).alias(f"_t_{n}")
-          for n in lasts])
-    before = W.partitionBy(*keys).orderBy("_bkt").rowsBetween(W.unboundedPreceding, -1)
+          for n in [*lasts, *lasts_before]],
+        *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxs_before])
+    before = W.partitionBy(*keys).orderBy(bucket_col).rowsBetween(W.unboundedPreceding, -1)
     carry = per_bucket.select(
-        *keys, "_bkt",
+        *keys, bucket_col,
         *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
-        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts])
-    out = b.join(carry, [*keys, "_bkt"], "left")
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}")
+          for n in [*lasts, *lasts_before]],
+        *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxs_before])
+    out = b.join(carry, [*keys, bucket_col], "left")
     for n in sums:
         out = out.withColumn(n, F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.col(f"_in_{n}"))
-    for n in lasts:
+    for n in [*lasts, *lasts_before]:
         out = out.withColumn(n, F.coalesce(F.col(f"_in_{n}"), F.col(f"_c_{n}")))
-    drop = ["_bkt"] + [f"_{p}_{n}" for n in [*sums, *lasts] for p in ("v", "in", "c")]
-    return out.drop(*drop)
+    for n in maxs_before:
+        out = out.withColumn(n, F.greatest(F.col(f"_in_{n}"), F.col(f"_c_{n}")))
+    return out.drop(*[f"_{p}_{n}" for n in specs for p in ("v", "in", "c")])

@@ -221,19 +221,18 @@ def q_commit_outcomes(spark, d):
 
 
 def q_cart_contents(spark, d):
-    c = C.cart_contents(_epochs(spark, d), FX.cart_events(spark, d), FX.catalog(spark, d))
+    c = C.cart_contents(_epochs(spark, d))
     return c.select("user_id", "cart_ts", "product_id", F.col("qty").cast("long").alias("qty"))
 
 
 def q_committed_carts(spark, d):
-    c = C.committed_carts(_epochs(spark, d), FX.cart_events(spark, d), FX.catalog(spark, d))
+    c = C.committed_carts(_epochs(spark, d))
     return c.select("user_id", "commit_ts", "status", "product_id", F.col("qty").cast("long").alias("qty"))
 
 
 def q_merge_carts(spark, d):
-    ev, cat = FX.cart_events(spark, d), FX.catalog(spark, d)
-    ep = C.cart_epochs(ev, cat)
-    return C.merge_carts(C.cart_contents(ep, ev, cat), C.committed_carts(ep, ev, cat))
+    ep = _epochs(spark, d)
+    return C.merge_carts(C.cart_contents(ep), C.committed_carts(ep))
 
 
 def q_cart_kpis(spark, d):
@@ -243,9 +242,8 @@ def q_cart_kpis(spark, d):
 def q_cart_reconcile(spark, d):
     """Expected = every id the client added in the open epoch (valid or not);
     actual = the server's open cart."""
-    ev, cat = FX.cart_events(spark, d), FX.catalog(spark, d)
-    ep = C.cart_epochs(ev, cat)
-    actual = C.cart_contents(ep, ev, cat)
+    ep = _epochs(spark, d)
+    actual = C.cart_contents(ep)
     open_epoch = (ep.groupBy("user_id").agg(F.max_by(F.struct("epoch", "reset"), "seq").alias("l"))
                   .select("user_id", (F.col("l.epoch") + F.col("l.reset").cast("long")).alias("epoch")))
     expected = (ep.where(F.col("action") == "add").join(open_epoch, ["user_id", "epoch"])
@@ -256,7 +254,7 @@ def q_cart_reconcile(spark, d):
 
 def q_get_cart(spark, d):
     req = FX.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
-    g = G.get_cart(req, C.cart_contents(_epochs(spark, d), FX.cart_events(spark, d), FX.catalog(spark, d)))
+    g = G.get_cart(req, C.cart_contents(_epochs(spark, d)))
     return g.select("user_id", "status", "cart_ts", "product_id", F.col("qty").cast("long").alias("qty"))
 
 

@@ -32,6 +32,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = "8g"
+    # Remove checkpoint files of DataFrames that are no longer referenced.
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     # Local runs on small inputs: let AQE coalesce shuffle partitions down to
     # 256 KB rather than 1 MB so the few MB of a test table still spread over
     # all cores.  Cluster sessions keep their own setting.
@@ -72,6 +74,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df):
+    """Share a DataFrame that several branches of one plan read, keyed the
+    same way: ``persist(MEMORY_AND_DISK)``.  The cached relation keeps the
+    plan's hash partitioning (AQE does not re-partition cached plans unless
+    ``spark.sql.optimizer.canChangeCachedPlanOutputPartitioning`` is set),
+    so the branches neither recompute nor re-shuffle it; a lost cached
+    block is rebuilt from lineage.  (A reliable ``checkpoint()`` would cut
+    lineage but loses the partitioning under AQE.)"""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
     """Checkpoint location for a named streaming query under the shared dir."""
     return os.path.join(checkpoint_dir(spark), "streams", name)

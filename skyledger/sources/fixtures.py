@@ -66,7 +66,7 @@ def cart_events(spark: SparkSession, sf_dir: str, auth: str = "ok") -> DataFrame
     ``"ok"`` (every commit authenticated) or ``"seq7"`` (refused when
     ``seq % 7 == 0``).
     """
-    from pyspark.sql import Window as W
+    from skyledger.operators.prefix import bucketed_running
     e = table(spark, sf_dir, "events")
     b = e.select(
         F.col("user_id"),
@@ -79,10 +79,14 @@ def cart_events(spark: SparkSession, sf_dir: str, auth: str = "ok") -> DataFrame
          .otherwise(((F.col("event_id") * 31) % 200).cast("string")).alias("product_id"),
         F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", 2)
          .otherwise(0).alias("qty"))
-    w = W.partitionBy("user_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last_add = F.max(F.when(F.col("action") == "add", F.col("ts_ms"))).over(w)
+    # Running max of add times per user (only read on commit rows, whose own
+    # value is null, so "rows before" equals "rows up to"), bucketed by seq
+    # so a busy user is not one window partition.
+    b = b.withColumn("_bkt", F.floor(F.col("seq") / (1 << 16)))
+    b = bucketed_running(b, ["user_id"], ["seq"], "_bkt",
+                         maxs_before={"_last_add": F.when(F.col("action") == "add", F.col("ts_ms"))})
     commit_ts = F.when(F.col("action") == "commit",
-                       last_add - F.when(F.col("event_type") == "error", 1).otherwise(0))
+                       F.col("_last_add") - F.when(F.col("event_type") == "error", 1).otherwise(0))
     auth_ok = F.lit(True) if auth == "ok" else (F.col("seq") % 7 != 0)
     return b.select(
         F.col("user_id").cast("string").alias("user_id"), "seq", "ts_ms", "action",

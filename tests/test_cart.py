@@ -88,13 +88,13 @@ def test_window_version_equals_python_fold(spark, seed):
     want = {(u, s): o for u, (outs, _, _, _) in ref.items() for s, o in outs.items()}
     assert got == want
     carts = {}
-    for r in C.cart_contents(ep, ev, cat).collect():
+    for r in C.cart_contents(ep).collect():
         carts.setdefault(r.user_id, [r.cart_ts, {}])
         if r.product_id is not None:
             carts[r.user_id][1][r.product_id] = r.qty
     assert carts == {u: [ver, items] for u, (_, items, ver, _) in ref.items()}
     com = {}
-    for r in C.committed_carts(ep, ev, cat).collect():
+    for r in C.committed_carts(ep).collect():
         com.setdefault((r.user_id, r.commit_ts), {})[r.product_id] = r.qty
     assert com == {(u, ct): items for u, (_, _, _, c) in ref.items() for ct, items in c.items()}
 

@@ -12,12 +12,15 @@ def test_bucketed_running_equals_window(spark):
     rnd = random.Random(4)
     rows = [(f"k{rnd.randrange(3)}", i, rnd.choice([None, rnd.randint(0, 9)])) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, seq long, v long")
-    got = bucketed_running(df, ["k"], ["seq"], F.floor(F.col("seq") / 7),
-                           sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v")})
+    got = bucketed_running(df.withColumn("b", F.floor(F.col("seq") / 7)), ["k"], ["seq"], "b",
+                           sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v")},
+                           lasts_before={"lb": F.col("v")}, maxs_before={"mb": F.col("v")})
     w = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    wb = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     want = df.select("k", "seq", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("s"),
-                     F.last("v", ignorenulls=True).over(w).alias("l"))
-    assert sorted(got.select("k", "seq", "s", "l").collect()) == sorted(want.collect())
+                     F.last("v", ignorenulls=True).over(w).alias("l"),
+                     F.last("v", ignorenulls=True).over(wb).alias("lb"), F.max("v").over(wb).alias("mb"))
+    assert sorted(got.select("k", "seq", "s", "l", "lb", "mb").collect()) == sorted(want.collect())
 
 
 def test_cart_epochs_with_tiny_buckets(spark):
