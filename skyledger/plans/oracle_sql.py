@@ -250,4 +250,14 @@ ORACLE: dict[str, str] = {
         min(arrival_seq) OVER (PARTITION BY id, ts_ms // 10000) AS arrival_seq,
         row_number() OVER (PARTITION BY id, ts_ms // 10000 ORDER BY ts_ms) - 1 AS arrival_pos,
         ts_ms, CAST(CAST(temperature AS FLOAT) AS DOUBLE) AS temperature, lat, lon FROM m""", "m"),
+    "commit_outcomes_from_files": sql(
+        "SELECT user_id, seq, ts_ms, commit_ts, outcome FROM ep WHERE action = 'commit'", "ep"),
+    # packets carry float temperatures: the same D4 over float-rounded values
+    "stream_latest_city_temperature": sql("""SELECT org, city, max(window_end_ms) - 60000 AS window_start_ms,
+        max(window_end_ms) AS window_end_ms, round(arg_max(t, window_end_ms), 6) AS avg_temperature,
+        arg_max(n, window_end_ms) AS n FROM (
+          SELECT org, city, window_start_ms, window_end_ms,
+                 avg(CAST(CAST(temperature AS FLOAT) AS DOUBLE)) AS t, count(*) AS n
+          FROM w GROUP BY org, city, window_start_ms, window_end_ms)
+        GROUP BY org, city""", "w"),
 }

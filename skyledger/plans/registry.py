@@ -310,6 +310,45 @@ def q_temperature_replies_json(spark, d):
     return to_json_rows(g, ["org", "city", "cityTemperature"])
 
 
+def q_commit_outcomes_from_files(spark, d):
+    """A3 + E2: the cart commands written as parquet files, read back with
+    the reader, folded."""
+    from skyledger.sources.derived import derived_path, ensure_written
+    from skyledger.sources.files import read_cart_events
+    path = ensure_written(spark, derived_path(spark, d, "cart-events"),
+                          lambda p: FX.cart_events(spark, d).write.mode("overwrite").parquet(p))
+    return C.commit_outcomes(C.cart_epochs(read_cart_events(spark, path), FX.catalog(spark, d)))
+
+
+def q_stream_latest_city_temperature(spark, d):
+    """H1 + H4 + A5 + C6 end to end: the packets (JSON files) go through the
+    enrichment stream and the summary streams (several micro-batches, each
+    writing a new version of the latest table); the latest city temperature
+    table is returned.  Each call runs in a fresh folder under the shared
+    checkpoint dir.  The watermark (1 day) keeps every row of the test span."""
+    import os
+    import uuid
+    from skyledger.session import checkpoint_dir
+    from skyledger.sources.derived import derived_path, ensure_written
+    from skyledger.streaming import telemetry as ST
+    packets = ensure_written(spark, derived_path(spark, d, "packets-json"),
+                             lambda p: _packets(spark, d).write.mode("overwrite").json(p))
+    run = os.path.join(checkpoint_dir(spark), "stream-runs", uuid.uuid4().hex)
+    places = FX.places(spark, d)
+    q = ST.start_enrichment(spark, packets, places, os.path.join(run, "enriched"),
+                            os.path.join(run, "rejects"), name=f"enrich-{os.path.basename(run)}",
+                            max_files_per_trigger=None, checkpoint=os.path.join(run, "ck-enrich"))
+    q.awaitTermination()
+    enriched_schema = spark.read.parquet(os.path.join(run, "enriched")).drop("batch_id").schema
+    for sq in ST.start_summaries(spark, os.path.join(run, "enriched"), enriched_schema,
+                                 os.path.join(run, "state"), watermark="1 day",
+                                 max_files_per_trigger=2, prefix=f"summary-{os.path.basename(run)}",
+                                 checkpoint_root=os.path.join(run, "ck-summary")):
+        sq.awaitTermination()
+    t = ST.read_state(spark, os.path.join(run, "state"), "latest_city_temperature")
+    return t.select("org", "city", "window_start_ms", "window_end_ms", _r6("avg_temperature"), "n")
+
+
 # --- stateful operators (H2, H5 batch twins) -------------------------------------
 
 def _fold(spark, d, auth="ok"):
