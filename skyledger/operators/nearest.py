@@ -100,10 +100,10 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
     for i, c in enumerate(levels):
         last = i == len(levels) - 1
         limit = F.lit(c * c * (1 - _MARGIN))
-        copies = pl.select(
-            "place_id", "px", "py", "pz",
-            F.explode(F.array(*[_cell_key(F.col("px"), F.col("py"), F.col("pz"), c) + F.lit(o)
-                                for o in _NEIGHBOUR_OFFSETS])).alias("_cell"))
+        own = _cell_key(F.col("px"), F.col("py"), F.col("pz"), c)
+        copies = (pl.select("place_id", "px", "py", "pz", own.alias("_own"),
+                            F.explode(F.array(*[F.lit(o) for o in _NEIGHBOUR_OFFSETS])).alias("_off"))
+                  .select("place_id", "px", "py", "pz", (F.col("_own") + F.col("_off")).alias("_cell")))
         if small:
             copies = F.broadcast(copies)
         probe = remaining.withColumn("_cell", _cell_key(F.col("qx"), F.col("qy"), F.col("qz"), c))
