@@ -1,131 +1,261 @@
-"""Exact nearest place on the unit sphere as a multi-level grid join.
+"""Exact nearest place on the unit sphere, as joins with bounded fan-out.
 
-Both sides are mapped to unit-sphere points (x, y, z).  At a level with
-cell size ``c`` every place is copied into the 27 cells around its own
-cell, and every distinct point location is equi-joined with the copies
-in its cell.  Any place within chord distance ``c`` of a point lies in one
-of those 27 cells, so if the best candidate is within ``c`` it is the exact
-nearest place (ties broken by the lowest ``place_id``).  Points not settled
-go on to the next, four times coarser level.  The last level uses cells of
-size 2, the diameter of the sphere, so it settles every remaining point.
+Both sides are mapped to unit-sphere points (x, y, z); chord distance
+orders like great-circle distance.  Ties go to the lowest ``place_id``.
+
+**Fast path (one grid level).**  Places are copied into the 27 cells around
+their own cell of size ``c`` (about the mean place spacing) and each
+distinct point location is equi-joined with the copies in its cell.  Any
+place within chord distance ``c`` of a point lies in one of those cells, so
+a best candidate within ``c`` is the exact answer.  A point takes this path
+only if its 27 cells hold between 1 and ``max_candidates`` places (a small
+per-cell count table tells), so no point meets more than that many places,
+however the places cluster.
+
+**Descent (everything else).**  Points in empty or crowded neighbourhoods,
+and fast-path points whose best candidate lies beyond ``c``, walk a cell
+pyramid top-down: levels of cell size 2, 1, 1/2, ... each holding, per
+non-empty cell, its place count, the bounding box of its places, one
+representative place and the largest angle from it to the cell's places.
+At each level the frontier (point, cell) keeps only cells whose lower
+bound (the larger of the box distance and the angular bound) is within the
+best representative distance of the point - an actual place distance, so
+the nearest place is never pruned.  Cells with at most ``leaf_size`` places (or at the deepest level)
+stop and are joined with their places; the others are replaced by their
+children.  The frontier of a point covers the cells near the sphere of
+radius "nearest distance" around it, not a whole cluster or the whole
+table, so even a point far from every place or next to a dense cluster
+pairs with a bounded number of places.
 
 Scale notes:
 * Point locations are deduplicated on exact coordinates first, so a device
   parked at one spot (a hot key) is resolved once.
-* The join is an equi-join on a packed cell key.  When the place count
-  (known, it sets the levels) times 27 is under ``broadcast_max_copies``
-  the copies are broadcast: the point locations are then never shuffled
-  for the join and the per-location minimum reuses the partitioning of
-  the distinct.  Above the bound both sides are shuffled on the cell (AQE
-  may still broadcast from runtime sizes) and skewed cells are split by
-  AQE's skew join.
-* The level sizes come from the place count only (a fixed, short plan);
-  there is no driver loop over intermediate results.
-* Only points with no place within the previous level's radius reach the
-  coarse levels.
+* All joins are equi-joins (cell keys); none is a cross join.  When
+  ``27 * num_places <= broadcast_max_copies`` the place-side tables are
+  broadcast (checked size); otherwise both sides are shuffled on the cell
+  and AQE's skew join splits heavy cells.
+* The plan has a fixed length: the fine cell size comes from the place
+  count and the pyramid depth is the first level whose most crowded cell
+  holds at most ``leaf_size`` places (two small aggregates over the place
+  table); there is no driver loop over results.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skyledger.functions.geo import chord_distance_sq, unit_sphere_point
 
 _BITS = 21
 _OFF = 1 << (_BITS - 1)
-_NEIGHBOUR_OFFSETS = [
-    (dx << (2 * _BITS)) + (dy << _BITS) + dz
-    for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)
-]
+_TRIPLES = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
+_NEIGHBOUR_OFFSETS = [(dx << (2 * _BITS)) + (dy << _BITS) + dz for dx, dy, dz in _TRIPLES]
 _MARGIN = 1e-9
-# 27 copies per place and level; 4M copies of (id, x, y, z, cell) ~ 160 MB.
+# 27 copies per place; 4M copies of (id, x, y, z, cell) ~ 160 MB.
 BROADCAST_MAX_COPIES = 4_000_000
+MAX_CANDIDATES = 256     # fast path: places a point may meet in its 27 cells
+LEAF_SIZE = 32           # descent: cells this small are joined with their places
+MAX_DEPTH = 26           # deepest pyramid level: cell size 2 / 2**26 (about 0.2 m on Earth)
+
+_LOC = ["_lat", "_lon"]
+_Q = ["qx", "qy", "qz"]
 
 
-def grid_levels(num_places: int, coarsest_fine: float = 0.5, growth: float = 4.0) -> list[float]:
-    """Cell sizes: start near the mean place spacing, grow by ``growth``
-    while below ``coarsest_fine``, then a final level of size 2."""
+def fine_cell_size(num_places: int) -> float:
+    """About the mean spacing of ``num_places`` places on the sphere."""
     n = max(int(num_places), 1)
-    c = min(max(math.sqrt(4 * math.pi / n), 1e-5), coarsest_fine)
-    levels = []
-    while c < coarsest_fine:
-        levels.append(c)
-        c *= growth
-    levels.append(2.0)
-    return levels
+    return min(max(math.sqrt(4 * math.pi / n), 1e-5), 0.5)
 
 
 def _cell_key(x: Column, y: Column, z: Column, c: float) -> Column:
     def axis(v):
         return (F.floor(v / F.lit(c)) + F.lit(_OFF)).cast("long")
-    return (F.shiftleft(axis(x), 2 * _BITS) + F.shiftleft(axis(y), _BITS) + axis(z))
+    return F.shiftleft(axis(x), 2 * _BITS) + F.shiftleft(axis(y), _BITS) + axis(z)
+
+
+def _level_size(j: int) -> float:
+    return 2.0 / (1 << j)
+
+
+def _idx(v: Column, j: int) -> Column:
+    return F.floor(v / F.lit(_level_size(j))).cast("long")
+
+
+def _angle(ax: str, ay: str, az: str, bx: str, by: str, bz: str) -> Column:
+    """Angle between two unit vectors, atan2(|a x b|, a . b): accurate near 0 and pi."""
+    a = [F.col(ax), F.col(ay), F.col(az)]
+    b = [F.col(bx), F.col(by), F.col(bz)]
+    cx = a[1] * b[2] - a[2] * b[1]
+    cy = a[2] * b[0] - a[0] * b[2]
+    cz = a[0] * b[1] - a[1] * b[0]
+    return F.atan2(F.sqrt(cx * cx + cy * cy + cz * cz), a[0] * b[0] + a[1] * b[1] + a[2] * b[2])
+
+
+def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def pyramid_depth(pl: DataFrame, leaf_size: int, max_depth: int = MAX_DEPTH) -> int:
+    """The first level at which no cell holds more than ``leaf_size``
+    places (capped at ``max_depth``): one small aggregate over the place
+    table exploded to all levels, returning one number per level."""
+    at = pl.select("px", "py", "pz", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("lvl"))
+    scale = F.pow(F.lit(2.0), F.col("lvl") - 1)
+    per_cell = at.groupBy("lvl", F.floor(F.col("px") * scale).alias("a"), F.floor(F.col("py") * scale).alias("b"),
+                          F.floor(F.col("pz") * scale).alias("c")).count()
+    ok = (per_cell.groupBy("lvl").agg(F.max("count").alias("m"))
+          .where(F.col("m") <= leaf_size).agg(F.min("lvl").alias("d")).first())
+    return max_depth if ok is None or ok["d"] is None else int(ok["d"])
+
+
+def _descend(rem: DataFrame, pl: DataFrame, depth: int, leaf_size: int, small: bool,
+             candidates: bool = False) -> DataFrame:
+    """Top-down pruned search for the locations in ``rem``; returns
+    (_lat, _lon, place_id, _d2) for each of them.
+
+    One pyramid table holds every level (places exploded to levels
+    0..depth, grouped by (level, cell)); each level's expansion joins it on
+    (level, parent cell), so the same broadcast relation serves all levels,
+    and all leaves meet their places in one join on (level, cell)."""
+    lvl = F.col("lvl")
+    scale = F.pow(F.lit(2.0), lvl - 1)          # 1 / cell size of the level, exact
+    at_levels = pl.select("place_id", "px", "py", "pz",
+                          F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lvl"))
+    cells = at_levels.select("place_id", "px", "py", "pz", "lvl",
+                             F.floor(F.col("px") * scale).cast("long").alias("ix"),
+                             F.floor(F.col("py") * scale).cast("long").alias("iy"),
+                             F.floor(F.col("pz") * scale).cast("long").alias("iz"))
+    key = ["lvl", "ix", "iy", "iz"]
+    summ = cells.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.min("px").alias("lx"), F.max("px").alias("hx"), F.min("py").alias("ly"),
+        F.max("py").alias("hy"), F.min("pz").alias("lz"), F.max("pz").alias("hz"),
+        F.min_by(F.struct("px", "py", "pz"), F.col("place_id")).alias("rep"))
+    rad = (cells.join(summ.select(*key, "rep"), key).groupBy(*key)
+           .agg(F.max(_angle("px", "py", "pz", "rep.px", "rep.py", "rep.pz")).alias("rad")))
+    pyramid = (summ.join(rad, key)
+               .select(*key, F.floor(F.col("ix") / 2).cast("long").alias("pix"),
+                       F.floor(F.col("iy") / 2).cast("long").alias("piy"),
+                       F.floor(F.col("iz") / 2).cast("long").alias("piz"),
+                       F.struct("cnt", "lx", "hx", "ly", "hy", "lz", "hz", "rep", "rad").alias("n")))
+
+    # Level 0 (cell size 2): the 27 cells around a point's own cover the sphere.
+    start = rem.select(*_LOC, *_Q, F.explode(F.array(*[
+        F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz"))
+        for a, b, c in _TRIPLES])).alias("_o"))
+    frontier = start.select(*_LOC, *_Q, F.lit(0).alias("lvl"),
+                            (_idx(F.col("qx"), 0) + F.col("_o.dx")).alias("ix"),
+                            (_idx(F.col("qy"), 0) + F.col("_o.dy")).alias("iy"),
+                            (_idx(F.col("qz"), 0) + F.col("_o.dz")).alias("iz"))
+    level0 = pyramid.where(lvl == 0).select(*key, "n")
+    frontier = (frontier.join(_maybe_broadcast(level0, small), key)
+                .withColumn("_leaf", F.lit(False)))
+    children = pyramid.select(F.col("lvl").alias("clvl"), "pix", "piy", "piz",
+                              F.col("ix").alias("cix"), F.col("iy").alias("ciy"),
+                              F.col("iz").alias("ciz"), F.col("n").alias("cn"))
+
+    def gap(q, lo, hi):
+        g = F.greatest(F.col("n." + lo) - F.col(q), F.lit(0.0), F.col(q) - F.col("n." + hi))
+        return g * g
+
+    rep = ("n.rep.px", "n.rep.py", "n.rep.pz")
+    rep_d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"), *[F.col(c) for c in rep])
+    box_lb2 = gap("qx", "lx", "hx") + gap("qy", "ly", "hy") + gap("qz", "lz", "hz")
+    # Angular bound: angle(q, p) >= angle(q, rep) - radius for every p in the
+    # cell; tight also for far points, where the box bound is loose.
+    theta = F.greatest(_angle("qx", "qy", "qz", *rep) - F.col("n.rad") - F.lit(1e-12), F.lit(0.0))
+    cap_lb = 2 * F.sin(F.least(theta, F.lit(math.pi)) / 2)
+    lb2 = F.greatest(box_lb2, cap_lb * cap_lb)
+    by_loc = W.partitionBy(*_LOC)
+    cols = [*_LOC, *_Q, *key, "n", "_leaf"]
+    # One linear chain: at each level prune by the bound, then a left join
+    # replaces each expanding cell by its children while leaf cells (no
+    # match) pass through; leaf rows keep tightening the bound.
+    for j in range(depth + 1):
+        frontier = (frontier.withColumn("_u2", F.min(rep_d2).over(by_loc))
+                    .where(lb2 <= F.col("_u2") * (1 + _MARGIN) + F.lit(1e-18)).select(*cols))
+        if j == depth:
+            break
+        frontier = frontier.withColumn("_leaf", F.col("_leaf") | (F.col("n.cnt") <= leaf_size))
+        ch = _maybe_broadcast(children, small)
+        cond = ((frontier["lvl"] + 1 == ch["clvl"]) & (frontier["ix"] == ch["pix"])
+                & (frontier["iy"] == ch["piy"]) & (frontier["iz"] == ch["piz"]) & ~frontier["_leaf"])
+        j2 = frontier.join(ch, cond, "left")
+        expanded = F.col("clvl").isNotNull()
+        frontier = j2.select(
+            *_LOC, *_Q,
+            F.when(expanded, F.col("clvl")).otherwise(F.col("lvl")).alias("lvl"),
+            F.when(expanded, F.col("cix")).otherwise(F.col("ix")).alias("ix"),
+            F.when(expanded, F.col("ciy")).otherwise(F.col("iy")).alias("iy"),
+            F.when(expanded, F.col("ciz")).otherwise(F.col("iz")).alias("iz"),
+            F.when(expanded, F.col("cn")).otherwise(F.col("n")).alias("n"),
+            F.col("_leaf"))
+
+    d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"), F.col("px"), F.col("py"), F.col("pz"))
+    cand = frontier.select(*_LOC, *_Q, *key).join(_maybe_broadcast(cells, small), key).select(
+        *_LOC, F.struct(d2.alias("d2"), F.col("place_id")).alias("_c"))
+    if candidates:
+        return cand
+    best = cand.groupBy(*_LOC).agg(F.min("_c").alias("_b"))
+    return best.select(*_LOC, F.col("_b.place_id").alias("place_id"), F.col("_b.d2").alias("_d2"))
 
 
 def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon: str = "lon",
                   place_cols: tuple[str, ...] = ("name", "province", "country"),
-                  levels: list[float] | None = None, num_places: int | None = None,
-                  with_distance: bool = False,
+                  fine_cell: float | None = None, num_places: int | None = None,
+                  max_candidates: int = MAX_CANDIDATES, leaf_size: int = LEAF_SIZE,
+                  max_depth: int = MAX_DEPTH, with_distance: bool = False,
                   broadcast_max_copies: int = BROADCAST_MAX_COPIES) -> DataFrame:
     """Adds ``place_id`` and ``place_cols`` of the nearest place to each row.
 
     ``places`` needs ``place_id, lat, lon`` plus ``place_cols``.  Rows with a
-    null coordinate get null place columns.  ``levels`` overrides the cell
-    sizes; otherwise they are derived from ``num_places`` (counted when not
-    given; the place table is a dimension table).
+    null coordinate get null place columns.  ``num_places`` is counted when
+    not given (the place table is a dimension table).
     """
-    if num_places is None and (levels is None or broadcast_max_copies > 0):
+    if num_places is None:
         num_places = places.count()
-    if levels is None:
-        levels = grid_levels(num_places)
-    small = num_places is not None and num_places * 27 <= broadcast_max_copies
-    if levels[-1] < 2.0:
-        levels = list(levels) + [2.0]
+    c0 = fine_cell or fine_cell_size(num_places)
+    small = num_places * 27 <= broadcast_max_copies
 
     # Distinct place positions; at one position the lowest id wins.
     pl = (places.select("place_id", *unit_sphere_point(F.col("lat"), F.col("lon"), "p"))
           .groupBy("px", "py", "pz").agg(F.min("place_id").alias("place_id")))
-
     locs = (points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
             .where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
             .distinct()
-            .select("_lat", "_lon", *unit_sphere_point(F.col("_lat"), F.col("_lon"), "q")))
-
-    settled = []
-    remaining = locs
-    loc = ["_lat", "_lon"]
-    d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"),
-                           F.col("px"), F.col("py"), F.col("pz"))
-    for i, c in enumerate(levels):
-        last = i == len(levels) - 1
-        limit = F.lit(c * c * (1 - _MARGIN))
-        own = _cell_key(F.col("px"), F.col("py"), F.col("pz"), c)
-        copies = (pl.select("place_id", "px", "py", "pz", own.alias("_own"),
-                            F.explode(F.array(*[F.lit(o) for o in _NEIGHBOUR_OFFSETS])).alias("_off"))
-                  .select("place_id", "px", "py", "pz", (F.col("_own") + F.col("_off")).alias("_cell")))
-        if small:
-            copies = F.broadcast(copies)
-        probe = remaining.withColumn("_cell", _cell_key(F.col("qx"), F.col("qy"), F.col("qz"), c))
-        # Broadcast copies: the probe keeps the distinct's partitioning on the
-        # location, so the minimum below needs no exchange.  Shuffled join:
-        # each location's candidates all sit in its own cell's partition, so
-        # the partial aggregate is complete and one row per location moves.
-        # The minimum over (d2, place_id) is exact, ties going to the lowest id.
-        cand = probe.join(copies, "_cell", "left")
-        best = (cand.groupBy(*loc, "qx", "qy", "qz")
-                .agg(F.min(F.when(F.col("place_id").isNotNull(),
-                                  F.struct(d2.alias("d2"), F.col("place_id")))).alias("_b")))
-        ok = F.col("_b").isNotNull()
-        if not last:
-            ok = ok & (F.col("_b.d2") <= limit)
-            remaining = best.where(~ok).select(*loc, "qx", "qy", "qz")
-        settled.append(best.where(ok).select(
-            *loc, F.col("_b.place_id").alias("place_id"), F.col("_b.d2").alias("_d2")))
-
-    resolved = settled[0]
-    for s in settled[1:]:
-        resolved = resolved.unionByName(s)
+            .select(*_LOC, *unit_sphere_point(F.col("_lat"), F.col("_lon"), "q")))
+
+    # -- fast path ------------------------------------------------------------
+    own = pl.select("place_id", "px", "py", "pz",
+                    _cell_key(F.col("px"), F.col("py"), F.col("pz"), c0).alias("_own"))
+    offsets = F.explode(F.array(*[F.lit(o) for o in _NEIGHBOUR_OFFSETS])).alias("_off")
+    per_cell = own.groupBy("_own").agg(F.count(F.lit(1)).alias("_n"))
+    around = (per_cell.select("_own", "_n", offsets)
+              .groupBy((F.col("_own") + F.col("_off")).alias("_cell")).agg(F.sum("_n").alias("_nbr")))
+    probe = (locs.withColumn("_cell", _cell_key(F.col("qx"), F.col("qy"), F.col("qz"), c0))
+             .join(_maybe_broadcast(around, small), "_cell", "left"))
+    fast_ok = F.coalesce(F.col("_nbr").between(1, max_candidates), F.lit(False))
+    copies = (own.select("place_id", "px", "py", "pz", "_own", offsets)
+              .select("place_id", "px", "py", "pz", (F.col("_own") + F.col("_off")).alias("_pcell")))
+    d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"), F.col("px"), F.col("py"), F.col("pz"))
+    # One chain for every location: locations outside the fast path get no
+    # candidate (left join on a false condition) and go on to the descent.
+    cp = _maybe_broadcast(copies, small)
+    probe = probe.withColumn("_fast", fast_ok)
+    best = (probe.join(cp, (probe["_cell"] == cp["_pcell"]) & probe["_fast"], "left")
+            .groupBy(*_LOC, *_Q)
+            .agg(F.min(F.when(F.col("place_id").isNotNull(),
+                              F.struct(d2.alias("d2"), F.col("place_id")))).alias("_b")))
+    within = F.coalesce(F.col("_b.d2") <= F.lit(c0 * c0 * (1 - _MARGIN)), F.lit(False))
+    settled = best.where(within).select(*_LOC, F.col("_b.place_id").alias("place_id"),
+                                        F.col("_b.d2").alias("_d2"))
+
+    # -- descent for the rest ----------------------------------------------------
+    rest = best.where(~within).select(*_LOC, *_Q)
+    depth = pyramid_depth(pl, leaf_size, max_depth)
+    resolved = settled.unionByName(_descend(rest, pl, depth, leaf_size, small))
 
     attrs = places.select("place_id", *place_cols)
     out = (points.join(resolved,
@@ -133,8 +263,4 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
                        "left")
            .drop("_lat", "_lon"))
     out = out.join(attrs, "place_id", "left")
-    if with_distance:
-        out = out.withColumnRenamed("_d2", "chord_d2")
-    else:
-        out = out.drop("_d2")
-    return out
+    return out.withColumnRenamed("_d2", "chord_d2") if with_distance else out.drop("_d2")
