@@ -202,17 +202,27 @@ def _descend(rem: DataFrame, pl: DataFrame, depth: int, leaf_size: int, small: b
     return best.select(*_LOC, F.col("_b.place_id").alias("place_id"), F.col("_b.d2").alias("_d2"))
 
 
+def place_stats(places: DataFrame, leaf_size: int = LEAF_SIZE,
+                max_depth: int = MAX_DEPTH) -> dict[str, int]:
+    """Place count and pyramid depth, for callers that join many batches
+    against the same place table."""
+    pl = (places.select("place_id", *unit_sphere_point(F.col("lat"), F.col("lon"), "p"))
+          .groupBy("px", "py", "pz").agg(F.min("place_id").alias("place_id")))
+    return {"num_places": places.count(), "depth": pyramid_depth(pl, leaf_size, max_depth)}
+
+
 def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon: str = "lon",
                   place_cols: tuple[str, ...] = ("name", "province", "country"),
                   fine_cell: float | None = None, num_places: int | None = None,
                   max_candidates: int = MAX_CANDIDATES, leaf_size: int = LEAF_SIZE,
-                  max_depth: int = MAX_DEPTH, with_distance: bool = False,
+                  max_depth: int = MAX_DEPTH, depth: int | None = None, with_distance: bool = False,
                   broadcast_max_copies: int = BROADCAST_MAX_COPIES) -> DataFrame:
     """Adds ``place_id`` and ``place_cols`` of the nearest place to each row.
 
     ``places`` needs ``place_id, lat, lon`` plus ``place_cols``.  Rows with a
-    null coordinate get null place columns.  ``num_places`` is counted when
-    not given (the place table is a dimension table).
+    null coordinate get null place columns.  ``num_places`` and the pyramid
+    ``depth`` are computed from the place table when not given (a stream
+    computes them once, see :func:`place_stats`).
     """
     if num_places is None:
         num_places = places.count()
@@ -254,7 +264,8 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
 
     # -- descent for the rest ----------------------------------------------------
     rest = best.where(~within).select(*_LOC, *_Q)
-    depth = pyramid_depth(pl, leaf_size, max_depth)
+    if depth is None:
+        depth = pyramid_depth(pl, leaf_size, max_depth)
     resolved = settled.unionByName(_descend(rest, pl, depth, leaf_size, small))
 
     attrs = places.select("place_id", *place_cols)

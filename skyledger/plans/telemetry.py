@@ -12,10 +12,10 @@ from skyledger.operators.nearest import nearest_place
 
 
 def enrich(measurements: DataFrame, places: DataFrame, num_orgs: int = DEFAULT_NUM_ORGS,
-           num_places: int | None = None) -> DataFrame:
+           num_places: int | None = None, depth: int | None = None) -> DataFrame:
     """Measurements -> org (B2) -> nearest place (C1) -> qualified city."""
     m = with_org(measurements, num_orgs)
-    m = nearest_place(m, places, num_places=num_places)
+    m = nearest_place(m, places, num_places=num_places, depth=depth)
     return m.withColumn("city", qualified_name("name", "province", "country"))
 
 

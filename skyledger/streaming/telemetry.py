@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from skyledger.functions.orgs import DEFAULT_NUM_ORGS
 from skyledger.operators import summaries as S
 from skyledger.operators.enrich import flatten_measurements
+from skyledger.operators.nearest import place_stats
 from skyledger.plans.telemetry import enrich
 from skyledger.session import stream_checkpoint
 from skyledger.sources.files import CORRUPT, read_packets, split_packets
@@ -38,7 +39,7 @@ ENRICHED_COLUMNS = ["id", "arrival_seq", "arrival_pos", "ts_ms", "temperature",
 
 
 def _enrich_batch(places: DataFrame, out: str, rejects_out: str, num_orgs: int,
-                  num_places: int | None):
+                  stats: dict[str, int]):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = f"{out}/batch_id={batch_id}"
@@ -51,7 +52,7 @@ def _enrich_batch(places: DataFrame, out: str, rejects_out: str, num_orgs: int,
         valid = valid.withColumn("arrival_seq", F.coalesce(
             F.col("arrival_seq"), F.lit(batch_id).cast("long") * (1 << 40) + F.monotonically_increasing_id()))
         flat = flatten_measurements(valid)
-        e = enrich(flat, places, num_orgs, num_places=num_places).select(*ENRICHED_COLUMNS)
+        e = enrich(flat, places, num_orgs, **stats).select(*ENRICHED_COLUMNS)
         e.write.mode("overwrite").parquet(target)
         rejected.write.mode("overwrite").parquet(f"{rejects_out}/batch_id={batch_id}")
         batch.unpersist()
@@ -68,9 +69,9 @@ def start_enrichment(spark: SparkSession, packets_path: str, places: DataFrame,
                        with_arrival=True)
     raw = raw.observe("ingest", F.count(F.lit(1)).alias("packets"),
                       F.count_if(F.col(CORRUPT).isNotNull() | F.col("id").isNull()).alias("rejects"))
-    num_places = places.count()
+    stats = place_stats(places)   # once per stream, not per micro-batch
     w = (raw.writeStream.queryName(name)
-         .foreachBatch(_enrich_batch(places, out, rejects_out, num_orgs, num_places))
+         .foreachBatch(_enrich_batch(places, out, rejects_out, num_orgs, stats))
          .option("checkpointLocation", checkpoint or stream_checkpoint(spark, name)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
