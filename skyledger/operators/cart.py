@@ -19,11 +19,11 @@ Rules (one user):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from skyledger.operators.prefix import bucketed_running
 from skyledger.session import materialize
-from skyledger.schemas import (CART_STATUS_COMMITTED, CART_STATUS_OPEN, OUTCOME_COMMITTED,
+from skyledger.schemas import (CART_STATUS_COMMITTED, OUTCOME_COMMITTED,
                                OUTCOME_EMPTY, OUTCOME_FAILED, OUTCOME_OUT_OF_DATE)
 
 

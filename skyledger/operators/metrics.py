@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skyledger.operators.prefix import bucketed_running
-from skyledger.schemas import OUTCOME_COMMITTED, OUTCOME_EMPTY, OUTCOME_FAILED, OUTCOME_OUT_OF_DATE
+from skyledger.schemas import OUTCOME_COMMITTED, OUTCOME_EMPTY, OUTCOME_OUT_OF_DATE
 
 # Fixed values that must equal the reference: session stage names and the
 # failure reasons of the commit stage.

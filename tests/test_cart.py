@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from skyledger.operators import cart as C
 from skyledger.streaming.cart_state import cart_fold

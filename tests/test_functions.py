@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from skyledger.functions import assign_org, java_string_hash, qualified_name
 from tests.folds import java_hash, org_of

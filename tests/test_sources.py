@@ -1,7 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from skyledger.operators.enrich import (country_filter, flatten_measurements, major_only,
                                         pack_measurements)

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from skyledger.operators import lookups as G
 from skyledger.operators import summaries as S
