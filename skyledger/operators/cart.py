@@ -40,9 +40,9 @@ def validate_products(events: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def distinct_ids(events: DataFrame) -> DataFrame:
-    """the id list of each add as a set."""
+    """the adds with their id list as a set (other columns kept)."""
     return (events.where(F.col("action") == "add")
-            .select("user_id", "seq", F.array_distinct("product_ids").alias("product_ids")))
+            .withColumn("product_ids", F.array_distinct("product_ids")))
 
 
 def invalid_product_ids(events: DataFrame, catalog: DataFrame) -> DataFrame:

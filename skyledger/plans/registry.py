@@ -205,10 +205,9 @@ def q_invalid_product_ids(spark, d):
 
 def q_distinct_ids(spark, d):
     ev = FX.cart_events(spark, d).where(F.col("action") == "add")
-    s = C.distinct_ids(ev).withColumnRenamed("product_ids", "ids")
-    return (s.join(ev.select("user_id", "seq", "product_ids"), ["user_id", "seq"])
-            .select("user_id", "seq", F.size("ids").alias("n_distinct"),
-                    F.size("product_ids").alias("n_ids")))
+    s = C.distinct_ids(ev.withColumnRenamed("product_ids", "ids").withColumn("product_ids", F.col("ids")))
+    return s.select("user_id", "seq", F.size("product_ids").alias("n_distinct"),
+                    F.size("ids").alias("n_ids"))
 
 
 def q_cart_epochs(spark, d):
