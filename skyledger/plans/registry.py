@@ -324,28 +324,51 @@ def q_stream_latest_city_temperature(spark, d):
     enrichment stream and the summary streams (several micro-batches, each
     writing a new version of the latest table); the latest city temperature
     table is returned.  Each call runs in a fresh folder under the shared
-    checkpoint dir.  The watermark (1 day) keeps every row of the test span."""
+    checkpoint dir.  The watermark (1 day) keeps every row of the test span.
+    Streaming micro-batches run without AQE, so for this run the shuffle
+    partitions (which also fix the state-store partitions of the new
+    checkpoints) are sized to the default parallelism and restored after."""
     import os
     import uuid
     from skyledger.session import checkpoint_dir
     from skyledger.sources.derived import derived_path, ensure_written
-    from skyledger.streaming import telemetry as ST
     packets = ensure_written(spark, derived_path(spark, d, "packets-json"),
                              lambda p: _packets(spark, d).write.mode("overwrite").json(p))
     run = os.path.join(checkpoint_dir(spark), "stream-runs", uuid.uuid4().hex)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions",
+                   str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
+    try:
+        return _stream_run(spark, d, packets, run)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _stream_run(spark, d, packets, run):
+    import os
+    from skyledger.streaming import telemetry as ST
     places = FX.places(spark, d)
+    # about four micro-batches per stage, whatever the number of files
+    n_packet_files = len(spark.read.text(packets).inputFiles())
     q = ST.start_enrichment(spark, packets, places, os.path.join(run, "enriched"),
                             os.path.join(run, "rejects"), name=f"enrich-{os.path.basename(run)}",
-                            max_files_per_trigger=None, checkpoint=os.path.join(run, "ck-enrich"))
+                            max_files_per_trigger=max(1, -(-n_packet_files // 4)),
+                            checkpoint=os.path.join(run, "ck-enrich"))
     q.awaitTermination()
-    enriched_schema = spark.read.parquet(os.path.join(run, "enriched")).drop("batch_id").schema
-    for sq in ST.start_summaries(spark, os.path.join(run, "enriched"), enriched_schema,
+    enriched = spark.read.parquet(os.path.join(run, "enriched"))
+    per_trigger = max(1, -(-len(enriched.inputFiles()) // 4))
+    for sq in ST.start_summaries(spark, os.path.join(run, "enriched"), enriched.drop("batch_id").schema,
                                  os.path.join(run, "state"), watermark="1 day",
-                                 max_files_per_trigger=2, prefix=f"summary-{os.path.basename(run)}",
+                                 max_files_per_trigger=per_trigger,
+                                 prefix=f"summary-{os.path.basename(run)}",
                                  checkpoint_root=os.path.join(run, "ck-summary")):
         sq.awaitTermination()
     t = ST.read_state(spark, os.path.join(run, "state"), "latest_city_temperature")
-    return t.select("org", "city", "window_start_ms", "window_end_ms", _r6("avg_temperature"), "n")
+    # materialized while the run's settings hold; the result is a small table
+    out = os.path.join(run, "result")
+    t.select("org", "city", "window_start_ms", "window_end_ms", _r6("avg_temperature"), "n") \
+        .write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
 
 
 # --- stateful operators (H2, H5 batch twins) -------------------------------------
