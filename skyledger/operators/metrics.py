@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from skyledger.operators.prefix import bucketed_running
+from skyledger.operators.prefix import bucketed_running, ranged
 from skyledger.schemas import OUTCOME_COMMITTED, OUTCOME_EMPTY, OUTCOME_OUT_OF_DATE
 
 # Fixed values that must equal the reference: session stage names and the
@@ -89,46 +89,45 @@ def send_errors(rejects: DataFrame) -> DataFrame:
 
 
 def report_intervals(df: DataFrame, key: str = "id", ts: str = "ts_ms",
-                     tiebreak: str = "arrival_seq", bucket_ms: int = 3_600_000) -> DataFrame:
+                     tiebreak: str = "arrival_seq", partitions: int | None = None) -> DataFrame:
     """Gap between consecutive reports of a device (first row null).
 
-    A device's rows are split into time buckets, so one busy device is
-    spread over many window partitions.  The lag runs inside (device,
-    bucket); the first row of a bucket takes the last time of the device's
-    previous non-empty bucket, found on the small per-bucket table.
+    The rows are range-partitioned on (device, time), so one busy device is
+    spread over several balanced partitions; each device's rows occupy a run
+    of consecutive partitions.  The lag runs inside (partition, device); the
+    first row of a device in a partition takes the device's last time in the
+    previous partition, read from a small per-(partition, device) table.
     """
-    order = [ts] + ([tiebreak] if tiebreak in df.columns else [])
-    b = df.withColumn("_bucket", F.floor(F.col(ts) / bucket_ms))
-    inner = W.partitionBy(key, "_bucket").orderBy(*order)
-    b = b.withColumn("_prev", F.lag(ts).over(inner))
-    last_in_bucket = b.groupBy(key, "_bucket").agg(F.max(ts).alias("_last"))
-    prev_bucket = last_in_bucket.withColumn(
-        "_prev_bucket_last", F.lag("_last").over(W.partitionBy(key).orderBy("_bucket"))
-    ).select(key, "_bucket", "_prev_bucket_last")
-    out = b.join(prev_bucket, [key, "_bucket"], "left")
-    prev = F.coalesce(F.col("_prev"), F.col("_prev_bucket_last"))
-    return (out.withColumn("interval_ms", F.col(ts) - prev)
-            .drop("_bucket", "_prev", "_prev_bucket_last"))
-
-
-def active_sessions(log: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    order = [key, ts] + ([tiebreak] if tiebreak in df.columns else [])
+    r = ranged(df, order, partitions)
+    inner = W.partitionBy("_rp", key).orderBy(*order[1:])
+    r2 = r.withColumn("_prev", F.lag(ts).over(inner))
+    last = (r.groupBy("_rp", key).agg(F.max(ts).alias("_last"))
+            .select((F.col("_rp") + 1).alias("_rp"), key, "_last"))
+    out = r2.join(last, ["_rp", key], "left")
+    prev = F.coalesce(F.col("_prev"), F.col("_last"))
+    return out.withColumn("interval_ms", F.col(ts) - prev).drop("_rp", "_prev", "_last")
+
+
+def active_sessions(log: DataFrame, partitions: int | None = None) -> DataFrame:
     """E5: number of open sessions after each start (+1) and stop (-1).
 
-    A running sum over one global order has no partition key, so the
-    events are cut into time buckets: per-bucket totals (a small table) get
-    a prefix sum, and the running sum inside each bucket is added to the
-    previous buckets' total.  Order: time, then stops before starts, then
-    session id.
+    A running sum over one global order (time, stops before starts, session
+    id) has no partition key.  The events are range-partitioned on that
+    order into balanced, ordered partitions (a busy instant is split too);
+    per-partition totals (one row per partition) get a prefix sum, and the
+    running sum inside each partition is added to the earlier partitions'
+    total.
     """
     starts = log.select("session_id", F.col("start_ms").alias("t"), F.lit(1).alias("delta"))
     stops = log.select("session_id", F.col("end_ms").alias("t"), F.lit(-1).alias("delta"))
-    ev = starts.unionByName(stops).withColumn("_bucket", F.floor(F.col("t") / bucket_ms))
-    totals = ev.groupBy("_bucket").agg(F.sum("delta").alias("_bt"))
-    before = (totals.withColumn("_base", F.coalesce(F.sum("_bt").over(
-        W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .select("_bucket", "_base"))
-    inner = W.partitionBy("_bucket").orderBy("t", "delta", "session_id").rowsBetween(
+    ev = ranged(starts.unionByName(stops), ["t", "delta", "session_id"], partitions)
+    totals = ev.groupBy("_rp").agg(F.sum("delta").alias("_pt"))
+    before = (totals.withColumn("_base", F.coalesce(F.sum("_pt").over(
+        W.orderBy("_rp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .select("_rp", "_base"))
+    inner = W.partitionBy("_rp").orderBy("t", "delta", "session_id").rowsBetween(
         W.unboundedPreceding, W.currentRow)
-    return (ev.join(before, "_bucket")
+    return (ev.join(before, "_rp")
             .withColumn("active", (F.col("_base") + F.sum("delta").over(inner)).cast("long"))
             .select("session_id", "t", "delta", "active"))

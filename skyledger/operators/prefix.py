@@ -62,3 +62,15 @@ def bucketed_running(df: DataFrame, keys: list[str], order: list[str], bucket_co
     for n in maxs_before:
         out = out.withColumn(n, F.greatest(F.col(f"_in_{n}"), F.col(f"_c_{n}")))
     return out.drop(*[f"_{p}_{n}" for n in specs for p in ("v", "in", "c")])
+
+
+def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """Range-partition ``df`` on ``order`` and number the partitions
+    (``_rp``), which then are ordered, balanced buckets of the order: the
+    partitioner samples the data, so a key or instant holding a large share
+    of the rows is split over several partitions (ties are broken by the
+    remaining order columns).  The result is shared (persisted) so every
+    branch of a plan sees the same partition ids."""
+    from skyledger.session import materialize
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).withColumn("_rp", F.spark_partition_id()))

@@ -35,15 +35,16 @@ def test_cart_epochs_with_tiny_buckets(spark):
 def test_report_intervals_and_active_sessions(spark):
     rnd = random.Random(2)
     rows = [(f"d{rnd.randrange(4)}", i, rnd.randrange(0, 1_000_000)) for i in range(400)]
+    rows += [("hot", 1000 + i, 5) for i in range(200)]          # one device, one instant
     df = spark.createDataFrame(rows, "id string, arrival_seq long, ts_ms long")
-    got = MX.report_intervals(df, bucket_ms=50_000)
+    got = MX.report_intervals(df, partitions=7)
     w = W.partitionBy("id").orderBy("ts_ms", "arrival_seq")
     want = df.select("id", "arrival_seq", (F.col("ts_ms") - F.lag("ts_ms").over(w)).alias("interval_ms"))
     assert sorted(got.select("id", "arrival_seq", "interval_ms").collect()) == sorted(want.collect())
     log = spark.createDataFrame([(f"s{i}", t, t + rnd.randrange(0, 200_000)) for i, t in
                                  enumerate(rnd.randrange(0, 1_000_000) for _ in range(300))],
                                 "session_id string, start_ms long, end_ms long")
-    act = MX.active_sessions(log, bucket_ms=30_000)
+    act = MX.active_sessions(log, partitions=5)
     ev = sorted([(s, a, 1) for s, a, _ in log.collect()] + [(s, b, -1) for s, _, b in log.collect()],
                 key=lambda r: (r[1], r[2], r[0]))
     run, want = 0, {}
