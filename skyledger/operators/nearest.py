@@ -7,7 +7,8 @@ orders like great-circle distance.  Ties go to the lowest ``place_id``.
 their own cell of size ``c`` (about the mean place spacing) and each
 distinct point location is equi-joined with the copies in its cell.  Any
 place within chord distance ``c`` of a point lies in one of those cells, so
-a best candidate within ``c`` is the exact answer.  A point takes this path
+a best candidate within ``c`` (more exactly, within ``c`` plus the
+point's distance to the nearest face of its own cell) is the exact answer.  A point takes this path
 only if its 27 cells hold between 1 and ``max_candidates`` places (a small
 per-cell count table tells), so no point meets more than that many places,
 however the places cluster.
@@ -97,17 +98,25 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def pyramid_depth(pl: DataFrame, leaf_size: int, max_depth: int = MAX_DEPTH) -> int:
-    """The first level at which no cell holds more than ``leaf_size``
-    places (capped at ``max_depth``): one small aggregate over the place
-    table exploded to all levels, returning one number per level."""
+def _level_stats(pl: DataFrame, max_depth: int) -> list:
+    """(level, most crowded cell, places) for every pyramid level: one small
+    aggregate over the place table exploded to all levels."""
     at = pl.select("px", "py", "pz", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("lvl"))
     scale = F.pow(F.lit(2.0), F.col("lvl") - 1)
     per_cell = at.groupBy("lvl", F.floor(F.col("px") * scale).alias("a"), F.floor(F.col("py") * scale).alias("b"),
                           F.floor(F.col("pz") * scale).alias("c")).count()
-    ok = (per_cell.groupBy("lvl").agg(F.max("count").alias("m"))
-          .where(F.col("m") <= leaf_size).agg(F.min("lvl").alias("d")).first())
-    return max_depth if ok is None or ok["d"] is None else int(ok["d"])
+    return per_cell.groupBy("lvl").agg(F.max("count").alias("m"), F.sum("count").alias("n")).collect()
+
+
+def _depth_from(stats: list, leaf_size: int, max_depth: int) -> int:
+    ok = [r["lvl"] for r in stats if r["m"] <= leaf_size]
+    return min(ok) if ok else max_depth
+
+
+def pyramid_depth(pl: DataFrame, leaf_size: int, max_depth: int = MAX_DEPTH) -> int:
+    """The first level at which no cell holds more than ``leaf_size``
+    places (capped at ``max_depth``)."""
+    return _depth_from(_level_stats(pl, max_depth), leaf_size, max_depth)
 
 
 def _descend(rem: DataFrame, pl: DataFrame, depth: int, leaf_size: int, small: bool,
@@ -202,13 +211,20 @@ def _descend(rem: DataFrame, pl: DataFrame, depth: int, leaf_size: int, small: b
     return best.select(*_LOC, F.col("_b.place_id").alias("place_id"), F.col("_b.d2").alias("_d2"))
 
 
+def _positions(places: DataFrame) -> DataFrame:
+    """Distinct place positions on the unit sphere; at one position the
+    lowest id wins."""
+    return (places.select("place_id", *unit_sphere_point(F.col("lat"), F.col("lon"), "p"))
+            .groupBy("px", "py", "pz").agg(F.min("place_id").alias("place_id")))
+
+
 def place_stats(places: DataFrame, leaf_size: int = LEAF_SIZE,
                 max_depth: int = MAX_DEPTH) -> dict[str, int]:
-    """Place count and pyramid depth, for callers that join many batches
-    against the same place table."""
-    pl = (places.select("place_id", *unit_sphere_point(F.col("lat"), F.col("lon"), "p"))
-          .groupBy("px", "py", "pz").agg(F.min("place_id").alias("place_id")))
-    return {"num_places": places.count(), "depth": pyramid_depth(pl, leaf_size, max_depth)}
+    """Number of place positions and pyramid depth in one small job, for
+    callers that join many batches against the same place table."""
+    stats = _level_stats(_positions(places), max_depth)
+    n = sum(int(r["n"]) for r in stats if r["lvl"] == 0)
+    return {"num_places": n, "depth": _depth_from(stats, leaf_size, max_depth)}
 
 
 def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon: str = "lon",
@@ -224,14 +240,13 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
     ``depth`` are computed from the place table when not given (a stream
     computes them once, see :func:`place_stats`).
     """
-    if num_places is None:
-        num_places = places.count()
+    pl = _positions(places)
+    if num_places is None or depth is None:
+        st = place_stats(places, leaf_size, max_depth)
+        num_places = st["num_places"] if num_places is None else num_places
+        depth = st["depth"] if depth is None else depth
     c0 = fine_cell or fine_cell_size(num_places)
     small = num_places * 27 <= broadcast_max_copies
-
-    # Distinct place positions; at one position the lowest id wins.
-    pl = (places.select("place_id", *unit_sphere_point(F.col("lat"), F.col("lon"), "p"))
-          .groupBy("px", "py", "pz").agg(F.min("place_id").alias("place_id")))
     locs = (points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
             .where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
             .distinct()
@@ -258,14 +273,19 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
             .groupBy(*_LOC, *_Q)
             .agg(F.min(F.when(F.col("place_id").isNotNull(),
                               F.struct(d2.alias("d2"), F.col("place_id")))).alias("_b")))
-    within = F.coalesce(F.col("_b.d2") <= F.lit(c0 * c0 * (1 - _MARGIN)), F.lit(False))
+    # The 27 cells cover every place closer than c0 * (1 + m), m the point's
+    # smallest distance (in cells) to a face of its own cell.
+    def frac(v):
+        u = F.col(v) / F.lit(c0)
+        u = u - F.floor(u)
+        return F.least(u, 1 - u)
+    reach = F.lit(c0) * (1 + F.least(frac("qx"), frac("qy"), frac("qz"))) * (1 - _MARGIN)
+    within = F.coalesce(F.col("_b.d2") <= reach * reach, F.lit(False))
     settled = best.where(within).select(*_LOC, F.col("_b.place_id").alias("place_id"),
                                         F.col("_b.d2").alias("_d2"))
 
     # -- descent for the rest ----------------------------------------------------
     rest = best.where(~within).select(*_LOC, *_Q)
-    if depth is None:
-        depth = pyramid_depth(pl, leaf_size, max_depth)
     resolved = settled.unionByName(_descend(rest, pl, depth, leaf_size, small))
 
     attrs = places.select("place_id", *place_cols)
