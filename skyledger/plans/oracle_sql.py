@@ -209,7 +209,8 @@ ORACLE: dict[str, str] = {
         WHERE action = 'add' AND qty > 0 AND product_id NOT IN (SELECT id FROM cat)""", "ce", "cat"),
     "distinct_ids": sql("""SELECT user_id, seq, CASE WHEN qty > 0 THEN 1 ELSE 0 END AS n_distinct,
         qty AS n_ids FROM ce WHERE action = 'add'""", "ce"),
-    "cart_epochs": sql("SELECT user_id, seq, action, epoch, reset, CAST(n AS BIGINT) AS n FROM ep", "ep"),
+    "cart_epochs": sql("""SELECT user_id, seq, action, CAST(epoch AS BIGINT) AS epoch, reset,
+        CAST(n AS BIGINT) AS n FROM ep""", "ep"),
     "commit_outcomes": sql("SELECT user_id, seq, ts_ms, commit_ts, outcome FROM ep WHERE action = 'commit'", "ep"),
     "cart_contents": sql("SELECT * FROM d9", "d9"),
     "committed_carts": sql("SELECT * FROM d11", "d11"),
@@ -217,9 +218,9 @@ ORACLE: dict[str, str] = {
         SELECT user_id, product_id, qty FROM d9 UNION ALL SELECT user_id, product_id, qty FROM d11)
         WHERE product_id IS NOT NULL GROUP BY user_id, product_id""", "d9", "d11"),
     "cart_kpis": sql("""SELECT CAST(coalesce(sum(CASE WHEN action = 'add' THEN n_valid END), 0) AS BIGINT) AS products_added,
-        count_if(outcome = 'CartCommitted') AS carts_committed,
-        count_if(outcome = 'CartOutOfDate') AS carts_out_of_date,
-        count_if(outcome = 'CartCommitFailed') AS cart_commit_failed FROM ep""", "ep"),
+        CAST(count_if(outcome = 'CartCommitted') AS BIGINT) AS carts_committed,
+        CAST(count_if(outcome = 'CartOutOfDate') AS BIGINT) AS carts_out_of_date,
+        CAST(count_if(outcome = 'CartCommitFailed') AS BIGINT) AS cart_commit_failed FROM ep""", "ep"),
     "cart_reconcile": sql("""SELECT coalesce(x.user_id, a.user_id) AS user_id,
         bool_and(x.e_qty IS NOT DISTINCT FROM a.a_qty) AS matches
         FROM (SELECT ep.user_id, ep.product_id, CAST(sum(ep.qty) AS BIGINT) AS e_qty FROM ep
