@@ -183,8 +183,9 @@ def _descend(rem: DataFrame, pl: DataFrame, depth: int, leaf_size: int, small: b
     # replaces each expanding cell by its children while leaf cells (no
     # match) pass through; leaf rows keep tightening the bound.
     for j in range(depth + 1):
-        frontier = (frontier.withColumn("_u2", F.min(rep_d2).over(by_loc))
-                    .where(lb2 <= F.col("_u2") * (1 + _MARGIN) + F.lit(1e-18)).select(*cols))
+        frontier = (frontier.select(*cols, rep_d2.alias("_rd2"), lb2.alias("_lb2"))
+                    .withColumn("_u2", F.min("_rd2").over(by_loc))
+                    .where(F.col("_lb2") <= F.col("_u2") * (1 + _MARGIN) + F.lit(1e-18)).select(*cols))
         if j == depth:
             break
         frontier = frontier.withColumn("_leaf", F.col("_leaf") | (F.col("n.cnt") <= leaf_size))
@@ -280,12 +281,12 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
         u = u - F.floor(u)
         return F.least(u, 1 - u)
     reach = F.lit(c0) * (1 + F.least(frac("qx"), frac("qy"), frac("qz"))) * (1 - _MARGIN)
-    within = F.coalesce(F.col("_b.d2") <= reach * reach, F.lit(False))
-    settled = best.where(within).select(*_LOC, F.col("_b.place_id").alias("place_id"),
-                                        F.col("_b.d2").alias("_d2"))
+    best = best.withColumn("_ok", F.coalesce(F.col("_b.d2") <= reach * reach, F.lit(False)))
+    settled = best.where("_ok").select(*_LOC, F.col("_b.place_id").alias("place_id"),
+                                       F.col("_b.d2").alias("_d2"))
 
     # -- descent for the rest ----------------------------------------------------
-    rest = best.where(~within).select(*_LOC, *_Q)
+    rest = best.where(~F.col("_ok")).select(*_LOC, *_Q)
     resolved = settled.unionByName(_descend(rest, pl, depth, leaf_size, small))
 
     attrs = places.select("place_id", *place_cols)
