@@ -54,14 +54,6 @@ def invalid_product_ids(events: DataFrame, catalog: DataFrame) -> DataFrame:
               .select("user_id", "seq", "product_id")
 
 
-def with_valid_counts(events: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Each command with ``n_valid``: how many of its ids are in the catalog."""
-    counts = (validate_products(events, catalog).groupBy("user_id", "seq")
-              .agg(F.count(F.lit(1)).alias("n_valid")))
-    return (events.join(counts, ["user_id", "seq"], "left")
-            .withColumn("n_valid", F.coalesce("n_valid", F.lit(0)).cast("long")))
-
-
 # --- fold by running aggregates (E1, E2) -----------------------------------
 
 # Buckets of ``seq`` for the running aggregates (see operators.prefix).

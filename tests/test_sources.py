@@ -73,3 +73,19 @@ def test_latest_by_last_write_wins(spark):
     df = spark.createDataFrame([("a", 1, 10.0), ("a", 3, 30.0), ("b", 2, 5.0)], "k string, t long, v double")
     got = {r.k: r.v for r in latest_by(df, ["k"], "t").collect()}
     assert got == {"a": 30.0, "b": 5.0}
+
+
+def test_parse_packets_from_strings_and_send_errors(spark):
+    from skyledger.operators.metrics import send_errors, send_stats
+    from skyledger.sources.files import parse_packets
+    raw = spark.createDataFrame([
+        ('{"id": "d1", "timestamp": 9, "measurements": [{"timestamp": 1, "temperature": 2.0, '
+         '"location": {"lat": 0.0, "lon": 0.0}}]}',),
+        ('{"timestamp": 9, "measurements": []}',),
+        ("not json",)], "value string")
+    valid, rejected = split_packets(parse_packets(raw))
+    assert [r.id for r in valid.collect()] == ["d1"]
+    errs = {r.error: r.errors for r in send_errors(rejected).collect()}
+    assert errs == {"malformed": 1, "null id": 1}
+    st = send_stats(valid).first()
+    assert (st.id, st.packets, st.measurements_sent, st.last_batch_size) == ("d1", 1, 1, 1)
