@@ -73,7 +73,7 @@ def stage_throughput(stages: dict[str, DataFrame], name: str = "telemetry") -> D
     return out
 
 
-def send_stats(packets: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
+def send_stats(packets: DataFrame) -> DataFrame:
     """D16 per device: packets sent, measurements sent (sum of batch sizes)
     and the last batch size (by packet timestamp)."""
     size = F.size("measurements")

@@ -35,10 +35,10 @@ Scale notes:
   ``27 * num_places <= broadcast_max_copies`` the place-side tables are
   broadcast (checked size); otherwise both sides are shuffled on the cell
   and AQE's skew join splits heavy cells.
-* The plan has a fixed length: the fine cell size comes from the place
-  count and the pyramid depth is the first level whose most crowded cell
-  holds at most ``leaf_size`` places (two small aggregates over the place
-  table); there is no driver loop over results.
+* The plan has a fixed length: the fine cell size comes from the number of
+  place positions and the pyramid depth is the first level whose most
+  crowded cell holds at most ``leaf_size`` places (one small aggregate over
+  the place table); there is no driver loop over results.
 """
 
 from __future__ import annotations
