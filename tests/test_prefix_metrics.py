@@ -14,7 +14,8 @@ def test_bucketed_running_equals_window(spark):
     df = spark.createDataFrame(rows, "k string, seq long, v long")
     got = bucketed_running(df.withColumn("b", F.floor(F.col("seq") / 7)), ["k"], ["seq"], "b",
                            sums={"s": F.coalesce("v", F.lit(0))}, lasts={"l": F.col("v")},
-                           lasts_before={"lb": F.col("v")}, maxs_before={"mb": F.col("v")})
+                           lasts_before={"lb": F.col("v")}, maxs_before={"mb": F.col("v")},
+                           fanout=3)
     w = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     wb = W.partitionBy("k").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     want = df.select("k", "seq", F.sum(F.coalesce("v", F.lit(0))).over(w).alias("s"),
