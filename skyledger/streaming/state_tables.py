@@ -61,11 +61,20 @@ def merge_windows(prev: DataFrame | None, batch: DataFrame) -> DataFrame:
     return latest_by(u, keys, "batch_id")
 
 
-def merge_latest_city_temperature(prev: DataFrame | None, batch: DataFrame) -> DataFrame:
+def merge_latest_city_temperature(prev: DataFrame | None, batch: DataFrame,
+                                  ttl_ms: int | None = None) -> DataFrame:
     """D4 upkeep: newest window per (org, city); a refinement of the same
-    window from a later batch wins.  Stale cities stay."""
+    window from a later batch wins.  Stale cities stay, as in the
+    reference, unless ``ttl_ms`` is given: then a city whose newest window
+    ended more than ``ttl_ms`` before the newest window of the table is
+    dropped (the table stays bounded by the cities seen within the TTL)."""
     u = _union(prev, batch).withColumn("_o", F.struct("window_end_ms", "batch_id"))
-    return latest_by(u, ["org", "city"], "_o").drop("_o")
+    out = latest_by(u, ["org", "city"], "_o").drop("_o")
+    if ttl_ms is not None:
+        newest = out.agg(F.max("window_end_ms")).first()[0]   # one number
+        if newest is not None:
+            out = out.where(F.col("window_end_ms") >= F.lit(int(newest) - int(ttl_ms)))
+    return out
 
 
 def merge_latest_drone_summary(prev: DataFrame | None, batch: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ dropped.  Throughput (D15) is published with ``observe``.
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -111,15 +112,18 @@ def drones_per_city_stream(enriched: DataFrame, watermark: str = "2 minutes",
 def start_summaries(spark: SparkSession, enriched_path: str, schema, state_path: str, *,
                     watermark: str = "2 minutes", max_files_per_trigger: int | None = None,
                     available_now: bool = True, prefix: str = "summary",
-                    checkpoint_root: str | None = None) -> list[StreamingQuery]:
+                    checkpoint_root: str | None = None,
+                    latest_ttl_ms: int | None = None) -> list[StreamingQuery]:
     """Stage 2: both summaries over the enriched stream (C6), each kept as a
     windows table and a latest table (H4/A5).  Checkpoints go under
-    ``checkpoint_root`` or else the session's shared checkpoint dir."""
+    ``checkpoint_root`` or else the session's shared checkpoint dir.
+    ``latest_ttl_ms`` bounds the latest city temperatures (D4 keeps stale
+    cities for good otherwise).
     src = enriched_stream(spark, enriched_path, schema, max_files_per_trigger)
     src = src.observe("enriched", F.count(F.lit(1)).alias("rows"))
     temps_windows = VersionedTable(os.path.join(state_path, "city_temperature_windows"), merge_windows)
     temps_latest = VersionedTable(os.path.join(state_path, "latest_city_temperature"),
-                                  merge_latest_city_temperature)
+                                  functools.partial(merge_latest_city_temperature, ttl_ms=latest_ttl_ms))
     drones_latest = VersionedTable(os.path.join(state_path, "latest_drone_summary"),
                                    merge_latest_drone_summary)
     drones_windows = VersionedTable(os.path.join(state_path, "drones_per_city_windows"), merge_windows)
