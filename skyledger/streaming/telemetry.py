@@ -118,7 +118,7 @@ def start_summaries(spark: SparkSession, enriched_path: str, schema, state_path:
     windows table and a latest table (H4/A5).  Checkpoints go under
     ``checkpoint_root`` or else the session's shared checkpoint dir.
     ``latest_ttl_ms`` bounds the latest city temperatures (D4 keeps stale
-    cities for good otherwise).
+    cities for good otherwise)."""
     src = enriched_stream(spark, enriched_path, schema, max_files_per_trigger)
     src = src.observe("enriched", F.count(F.lit(1)).alias("rows"))
     temps_windows = VersionedTable(os.path.join(state_path, "city_temperature_windows"), merge_windows)
