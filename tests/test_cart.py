@@ -128,3 +128,13 @@ def test_validation_and_reconcile(spark):
     left = spark.createDataFrame([("u", "1", 2)], "user_id string, product_id string, qty long")
     right = spark.createDataFrame([("u", "1", 1), ("u", "2", 4)], "user_id string, product_id string, qty long")
     assert sorted((r.product_id, r.qty) for r in C.merge_carts(left, right).collect()) == [("1", 3), ("2", 4)]
+
+
+def test_get_cart_unknown_user_is_empty_open_cart(spark):
+    from skyledger.operators.lookups import get_cart
+    ev, cat = _events(spark, EDGE), _catalog(spark)
+    carts = C.cart_contents(C.cart_epochs(ev, cat))
+    req = spark.createDataFrame([("u4",), ("nobody",)], "user_id string")
+    rows = sorted(get_cart(req, carts).collect(), key=lambda r: (r.user_id, r.product_id or ""))
+    assert [(r.user_id, r.status, r.product_id) for r in rows] == [("nobody", "Open", None), ("u4", "Open", None)]
+    assert rows[1].cart_ts == 130    # u4's last commit succeeded: new empty cart at its time

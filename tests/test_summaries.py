@@ -57,3 +57,16 @@ def test_latest_city_temperature_ttl(spark):
     assert keep == {"a": 3.0, "b": 2.0}          # stale city kept (reference behaviour)
     ttl = {r.city for r in merge_latest_city_temperature(prev, batch, ttl_ms=100_000).collect()}
     assert ttl == {"a"}
+
+
+def test_org_report_and_fan_out(spark):
+    rows = [(1, "d1", 0, 10.0, 0.0, 0.0, "Org 1", "a"), (2, "d2", 1_000, 20.0, 0.0, 0.0, "Org 1", "a"),
+            (3, "d3", 2_000, 30.0, 0.0, 0.0, "Org 1", "b"), (4, "d9", 0, 7.0, 0.0, 0.0, "Org 2", "z")]
+    e = _enriched(spark, rows)
+    outs = S.fan_out(e)
+    assert set(outs) == {"city_temperature", "drones_per_city"}
+    temps = S.latest_city_temperature(outs["city_temperature"])
+    latest = S.latest_drone_summary(outs["drones_per_city"])
+    rep = {(r.org, r.city): (r.temperature, r.city_drone_count, r.drone_count)
+           for r in S.org_report(temps, latest).collect()}
+    assert rep == {("Org 1", "a"): (15.0, 2, 3), ("Org 1", "b"): (30.0, 1, 3), ("Org 2", "z"): (7.0, 1, 1)}
