@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query runs to completion on the ``noop`` sink (full execution, nothing
-collected), ``BENCH_RUNS`` times (default 2); the best run is reported, the
+collected), ``BENCH_RUNS`` times (default 3); the best run is reported, the
 first one doubling as warm-up for JIT and code generation.
 """
 
@@ -35,7 +35,7 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app_name="skyledger-bench")
     QUERIES["get_temperature"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
     n_events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     times = {}
     for name in HEADLINE:
         best = None
