@@ -100,9 +100,8 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
     log partitioned by (user, seq bucket), so no user's history has to fit
     one task and the command log is shuffled once: the three running
     steps share their inputs through ``session.materialize`` (persisted,
-    partitioning kept), so no step re-shuffles or recomputes another.  The
-    cached inputs stay until ``spark.catalog.clearCache()`` (or until their
-    DataFrames are garbage collected and the context cleaner drops them).
+    partitioning kept), so no step re-shuffles or recomputes another.  Only
+    the most recent shared inputs stay cached (see ``session.materialize``).
     """
     # Each running step reads its input twice (rows and per-bucket totals);
     # the inputs are materialized so the command log is shuffled once and

@@ -74,16 +74,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SHARED: list = []
+MAX_SHARED = 8
+
+
 def materialize(df):
     """Share a DataFrame that several branches of one plan read, keyed the
-    same way: ``persist(MEMORY_AND_DISK)``.  The cached relation keeps the
-    plan's hash partitioning (AQE does not re-partition cached plans unless
+    same way: ``persist(DISK_ONLY)``.  The cached relation keeps the plan's
+    hash partitioning (AQE does not re-partition cached plans unless
     ``spark.sql.optimizer.canChangeCachedPlanOutputPartitioning`` is set),
-    so the branches neither recompute nor re-shuffle it; a lost cached
-    block is rebuilt from lineage.  (A reliable ``checkpoint()`` would cut
-    lineage but loses the partitioning under AQE.)"""
+    so the branches neither recompute nor re-shuffle it; a lost block is
+    rebuilt from lineage.  Disk-only keeps large inputs off the heap.  At
+    most ``MAX_SHARED`` such inputs stay cached: older ones are unpersisted
+    (a DataFrame that still uses one simply recomputes it).  (A reliable
+    ``checkpoint()`` would cut lineage but loses the partitioning under AQE.)"""
     from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.persist(StorageLevel.DISK_ONLY)
+    _SHARED.append(out)
+    while len(_SHARED) > MAX_SHARED:
+        _SHARED.pop(0).unpersist(blocking=False)
+    return out
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
