@@ -6,9 +6,8 @@ order column (``bucket_col``, non-decreasing along the order): windows run
 inside (key, bucket), and a small per-(key, bucket) table carries the
 totals of all earlier buckets, added back with a join.  If the input is
 hash-partitioned on (key, bucket) the windows and the per-bucket aggregate
-reuse that partitioning, and only the small table moves.  The carries are
-computed the same way one level up (buckets of ``fanout`` buckets), so a
-key spanning very many buckets is split as well.
+reuse that partitioning, and only the small table moves (one row per
+(key, bucket); the carry window runs per key over that small table).
 
 * ``sums``: inclusive running sums
 * ``lasts``: inclusive running last non-null value
@@ -21,15 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-FANOUT = 1 << 16
-
-
 def bucketed_running(df: DataFrame, keys: list[str], order: list[str], bucket_col: str,
                      sums: dict[str, Column] | None = None,
                      lasts: dict[str, Column] | None = None,
                      lasts_before: dict[str, Column] | None = None,
-                     maxs_before: dict[str, Column] | None = None,
-                     fanout: int = FANOUT, _level: int = 0) -> DataFrame:
+                     maxs_before: dict[str, Column] | None = None) -> DataFrame:
     sums, lasts = sums or {}, lasts or {}
     lasts_before, maxs_before = lasts_before or {}, maxs_before or {}
     specs = {**sums, **lasts, **lasts_before, **maxs_before}
@@ -53,29 +48,13 @@ def bucketed_running(df: DataFrame, keys: list[str], order: list[str], bucket_co
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), ordering)).alias(f"_t_{n}")
           for n in [*lasts, *lasts_before]],
         *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in maxs_before])
-    if _level == 0:
-        # The carries are themselves running values over the per-bucket
-        # table, computed the same way over buckets of ``fanout`` buckets,
-        # so no key's bucket list has to fit one window partition either.
-        sup = f"_sup{_level}"
-        t = per_bucket.withColumn(sup, F.floor(F.col(bucket_col) / fanout))
-        c = bucketed_running(
-            t, keys, [bucket_col], sup,
-            sums={f"_c_{n}": F.col(f"_t_{n}") for n in sums},
-            lasts_before={f"_c_{n}": F.col(f"_t_{n}") for n in [*lasts, *lasts_before]},
-            maxs_before={f"_c_{n}": F.col(f"_t_{n}") for n in maxs_before},
-            fanout=fanout, _level=1)
-        carry = c.select(*keys, bucket_col,
-                         *[(F.col(f"_c_{n}") - F.col(f"_t_{n}")).alias(f"_c_{n}") for n in sums],
-                         *[F.col(f"_c_{n}") for n in [*lasts, *lasts_before, *maxs_before]])
-    else:
-        before = W.partitionBy(*keys).orderBy(bucket_col).rowsBetween(W.unboundedPreceding, -1)
-        carry = per_bucket.select(
-            *keys, bucket_col,
-            *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
-            *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}")
-              for n in [*lasts, *lasts_before]],
-            *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxs_before])
+    before = W.partitionBy(*keys).orderBy(bucket_col).rowsBetween(W.unboundedPreceding, -1)
+    carry = per_bucket.select(
+        *keys, bucket_col,
+        *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}")
+          for n in [*lasts, *lasts_before]],
+        *[F.max(f"_t_{n}").over(before).alias(f"_c_{n}") for n in maxs_before])
     out = b.join(carry, [*keys, bucket_col], "left")
     for n in sums:
         out = out.withColumn(n, F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.col(f"_in_{n}"))
