@@ -24,6 +24,7 @@ import base64
 import hashlib
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -50,9 +51,14 @@ class Ranks:
         self.bytes = [b""] * (max(self.rank.values()) + 1)
         for token, rank in self.rank.items():
             self.bytes[rank] = token
-        self.longest = max(map(len, self.rank))
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        #: The tokens that merges can make; no other is part of a longer encoding.
+        self.made = {token: rank for token, rank in self.rank.items() if self.merged(token) == [rank]}
+        self.longest = max(map(len, self.made))
+        self.ends = ahocorasick.Automaton()  # the tokens that end at each byte, longest first
+        for token, rank in self.made.items():
+            self.ends.add_word(token.decode("latin-1"), (len(token), rank))
+        self.ends.make_automaton()
+        self._pairs: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding of a short byte string by merging the lowest rank first."""
@@ -65,18 +71,12 @@ class Ranks:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return [self.rank[p] for p in parts]
 
-    def whole(self, token: int) -> bool:
-        """Whether merges ever make this token."""
-        if token not in self._whole:
-            self._whole[token] = self.merged(self.bytes[token]) == [token]
-        return self._whole[token]
-
     def compatible(self, a: int, b: int) -> bool:
-        found = self._pairs.get((a, b))
+        found = self._pairs.get(a << 32 | b)
         if found is None:
             if len(self._pairs) >= PAIR_MEMO:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self._pairs[a << 32 | b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
 
 
@@ -88,17 +88,13 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        ranks, last = self.ranks, self.last
-        data = self.data = self.data + more
-        for end in range(len(last), len(data) + 1):
-            for size in range(min(end, ranks.longest), 0, -1):
-                token = ranks.rank.get(data[end - size:end])
-                if token is not None and ranks.whole(token) and (
-                        size == end or ranks.compatible(last[end - size], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("bytes that the rank file has no tokens for")
+        ranks, last, known = self.ranks, self.last, len(self.data)
+        self.data += more
+        for at, (size, token) in ranks.ends.iter(self.data.decode("latin-1"), max(0, known + 1 - ranks.longest)):
+            if len(last) == at + 1 and (size > at or ranks.compatible(last[at + 1 - size], token)):
+                last.append(token)
+        if len(last) <= len(self.data):
+            raise ValueError("bytes that the rank file has no tokens for")
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         rest = new + self.data[end:]
@@ -156,10 +152,19 @@ class PrefixBpe(ByteBpe):
     def __init__(self, path: str):
         self.ranks = Ranks(path)
         self.decimal = [str(i).encode() for i in range(len(self.ranks.bytes))]
+        self._matches: dict[str, list[int]] = {}
         self._reset()
 
+    def _match(self, match: str) -> list[int]:
+        ids = self._matches.get(match)
+        if ids is None:
+            ids = self._matches[match] = PrefixTable(self.ranks, match.encode()).ids()
+        return ids
+
     def _encode_new(self, pending):
-        each = [[i for m in PATTERN.findall(self._plain(k)) for i in PrefixTable(self.ranks, m.encode()).ids()] for k in pending]
+        if len(self._matches) >= self.memo.limit // 2:
+            self._matches.clear()
+        each = [[i for m in PATTERN.findall(self._plain(k)) for i in self._match(m)] for k in pending]
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         return np.cumsum(lengths) - lengths, lengths, [i for x in each for i in x]
 
