@@ -8,12 +8,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyledger.session import checkpoint_dir
 
 #: Documents handed to the numpy code at a time; bounds a worker's memory.
 SLICE = 256
+#: The content locator of a document: the Parquet file and row that hold it.
+PLACE = ["_file", "_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and row of each document; documents that are not
+    read from Parquet are written to the shared folder first."""
+    def with_place(df):
+        return df.withColumns(dict(zip(PLACE, (F.col("_metadata.file_path"), F.col("_metadata.row_index")))))
+    try:
+        return with_place(docs)
+    except AnalysisException:
+        return with_place(written(docs, "documents"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):

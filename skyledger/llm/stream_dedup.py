@@ -26,13 +26,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import run_folder, table, written
+from skyledger.llm.common import PLACE, located, run_folder, table, written
 
 COMPARE_ROWS = 256
 FILES_PER_BATCH = 256
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PLACE = ["_file", "_row"]
 
 
 def normalised(text: Column) -> Column:
@@ -46,22 +45,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with the file and row of each document; documents that are not
-    read from Parquet are written to the shared folder first."""
-    def with_place(df):
-        return df.withColumns(dict(zip(_PLACE, (F.col("_metadata.file_path"), F.col("_metadata.row_index")))))
-    try:
-        return with_place(docs)
-    except AnalysisException:
-        return with_place(written(docs, "dedup-documents"))
-
-
 def stream_state(arrivals: str, folder: str, spark: SparkSession, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Run the stream over all arrivals: ``digest, best, size`` at its end."""
     schema = spark.read.parquet(arrivals).schema
     # A struct's order: most code points, smallest doc_id, then the locator.
-    best = F.max(F.struct("chars", F.negative("doc_id").alias("minus_id"), *_PLACE))
+    best = F.max(F.struct("chars", F.negative("doc_id").alias("minus_id"), *PLACE))
     changes = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
                .groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("size")))
 
@@ -90,7 +78,7 @@ def deduplicate(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER
     folder = run_folder(spark, "dedup")
     text = normalised(F.col("text"))
     (docs.select(digest(text).alias("digest"), F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("chars"),
-                 F.col("doc_id").cast("long").alias("doc_id"), *_PLACE, sha256(text).alias("text_sha256"))
+                 F.col("doc_id").cast("long").alias("doc_id"), *PLACE, sha256(text).alias("text_sha256"))
      .write.parquet(f"{folder}/arrivals"))
     arrivals = spark.read.parquet(f"{folder}/arrivals")
     state = stream_state(f"{folder}/arrivals", folder, spark, files_per_batch)
@@ -98,35 +86,35 @@ def deduplicate(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER
 
     # Hits: the texts of groups of two and more, by locator.
     hits = (grouped.filter("size > 1")
-            .select(*_PLACE, "digest", "size", (F.struct("_file", "_row") == F.struct("best._file", "best._row")).alias("held")))
-    texts = written(docs.select(*_PLACE, "text").join(hits, _PLACE).withColumn("content", normalised(F.col("text"))).drop("text"), "dedup-hits")
+            .select(*PLACE, "digest", "size", (F.struct("_file", "_row") == F.struct("best._file", "best._row")).alias("held")))
+    texts = written(docs.select(*PLACE, "text").join(hits, PLACE).withColumn("content", normalised(F.col("text"))).drop("text"), "dedup-hits")
     parts = F.ceil(F.col("size") / COMPARE_ROWS).cast("int")
     held = texts.filter("held").select("digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("content").alias("held_content"))
-    differing = written(texts.withColumn("part", F.pmod(F.xxhash64(*_PLACE), parts).cast("int")).join(held, ["digest", "part"])
-                        .filter(F.col("content") != F.col("held_content")).select("digest", *_PLACE), "dedup-differing")
+    differing = written(texts.withColumn("part", F.pmod(F.xxhash64(*PLACE), parts).cast("int")).join(held, ["digest", "part"])
+                        .filter(F.col("content") != F.col("held_content")).select("digest", *PLACE), "dedup-differing")
 
     best_id = F.negative("best.minus_id")
     result = grouped.select("doc_id", best_id.alias("keep_id"), F.col("size").alias("group_size"),
-                            (F.struct("_file", "_row") == F.struct("best._file", "best._row")).alias("kept"), "text_sha256", *_PLACE, "digest")
+                            (F.struct("_file", "_row") == F.struct("best._file", "best._row")).alias("kept"), "text_sha256", *PLACE, "digest")
     if differing.isEmpty():
         return result.drop("digest")
     collided = differing.select("digest").distinct()
-    members = (texts.join(collided, "digest").join(arrivals.select(*_PLACE, "doc_id", "chars", "text_sha256"), _PLACE))
+    members = (texts.join(collided, "digest").join(arrivals.select(*PLACE, "doc_id", "chars", "text_sha256"), PLACE))
     classes = members.groupBy("digest", "content").agg(
-        F.max(F.struct("chars", F.negative("doc_id").alias("minus_id"), *_PLACE)).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        F.max(F.struct("chars", F.negative("doc_id").alias("minus_id"), *PLACE)).alias("best"), F.count(F.lit(1)).alias("group_size"))
     regrouped = members.drop("size").join(classes, ["digest", "content"]).select(
         "doc_id", best_id.alias("keep_id"), "group_size", (F.struct("_file", "_row") == F.struct("best._file", "best._row")).alias("kept"),
-        "text_sha256", *_PLACE)
+        "text_sha256", *PLACE)
     return result.join(collided, "digest", "left_anti").drop("digest").unionByName(regrouped)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all columns of ``docs``."""
     places = located(docs)
-    dropped = deduplicate(places.select("doc_id", "text")).filter(~F.col("kept")).select(*_PLACE)
-    return places.join(dropped, _PLACE, "left_anti").select(*docs.columns)
+    dropped = deduplicate(places.select("doc_id", "text")).filter(~F.col("kept")).select(*PLACE)
+    return places.join(dropped, PLACE, "left_anti").select(*docs.columns)
 
 
 def op5_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful streaming deduplication of all ``documents``."""
-    return deduplicate(table(spark, sf_dir, "documents")).drop(*_PLACE)
+    return deduplicate(table(spark, sf_dir, "documents")).drop(*PLACE)
