@@ -122,11 +122,12 @@ class Scorer:
         if not len(first):
             return np.zeros(0), first
         logits = self.model.bias + np.add.reduceat(self.sums.values[numbers], first)
-        return 1 / (1 + np.exp(-np.clip(logits, -40, 40))), first
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-np.minimum(logits, 40))), first
 
     def score(self, text: str) -> float:
         p, _ = self.sentence_scores(text)
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+        return 0.0 - float(np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
 def train(texts: list[str], labels: np.ndarray) -> Model:
