@@ -30,8 +30,11 @@ from skyledger.llm.common import PLACE, located, run_folder, table, written
 
 COMPARE_ROWS = 256
 FILES_PER_BATCH = 256
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, without files that reserve megabytes for each state partition.
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -56,13 +59,15 @@ def stream_state(arrivals: str, folder: str, spark: SparkSession, files_per_batc
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE_CONF}
+    for key, value in _STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         (changes.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True)
          .option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination())
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     try:
         written_changes = spark.read.parquet(f"{folder}/changes")
     except AnalysisException:  # no documents: no batch
