@@ -243,7 +243,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                     .join(signature.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
                     .filter(_agree("x", "y")).select("a", "b"), "near-stars")
     links = written(_verified(stars, texts_of(stars), idf, similarity), "near-links")
-    component = components(links)
+    component = components(links.select("a", "b"))
 
     # What stars leave open: buckets whose members are still in different components.
     placed = members.select("band", "key", "node").join(component, "node", "left").withColumn(
@@ -257,7 +257,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     more = written(outside.join(others, ["band", "key"]).filter("ca != cb AND (cb = largest OR a < b)")
                    .filter(_agree("x", "y")).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
-        component = components(links.unionByName(_verified(more, texts_of(more), idf, similarity)))
+        known = component.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        component = components(known.unionByName(_verified(more, texts_of(more), idf, similarity).select("a", "b")))
 
     classes = nodes.select("node", "digest", "first", "size").join(component, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))

@@ -73,7 +73,8 @@ def stream_state(arrivals: str, folder: str, spark: SparkSession, files_per_batc
     except AnalysisException:  # no documents: no batch
         return spark.createDataFrame([], changes.schema)
     # Sizes only grow, so an entry's largest is its last.
-    return written_changes.groupBy("digest").agg(F.max_by("best", "size").alias("best"), F.max("size").alias("size"))
+    # Written, so that the join with a hot digest's documents is one that Spark can split.
+    return written(written_changes.groupBy("digest").agg(F.max_by("best", "size").alias("best"), F.max("size").alias("size")), "dedup-state")
 
 
 def deduplicate(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
