@@ -100,8 +100,9 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
     log partitioned by (user, seq bucket), so no user's history has to fit
     one task and the command log is shuffled once: the three running
     steps share their inputs through ``session.materialize`` (persisted,
-    partitioning kept), so no step re-shuffles or recomputes another.  Only
-    the most recent shared inputs stay cached (see ``session.materialize``).
+    partitioning kept), so no step re-shuffles or recomputes another
+    (``session.release_shared`` drops them).  A commit whose authentication was
+    refused is an error here: the fold in streaming.cart_state has that rule.
     """
     # Each running step reads its input twice (rows and per-bucket totals);
     # the inputs are materialized so the command log is shuffled once and
@@ -124,7 +125,9 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
     c = (c.withColumn("epoch", F.col("_resets") - F.col("reset").cast("long"))
           .withColumn("n", F.col("_vp") - F.coalesce(F.col("_vp_reset"), F.lit(0)))
           .drop("_r0_seg", "_resets", "_vp_reset", "_vp"))
+    refused = F.raise_error(F.lit("cart_epochs takes authenticated commits; use streaming.cart_state for refused ones"))
     outcome = (F.when(F.col("action") != "commit", F.lit(None).cast("string"))
+               .when(~F.coalesce(F.col("auth_ok"), F.lit(True)), refused.cast("string"))
                .when(F.col("n") == 0, OUTCOME_EMPTY)
                .when(F.col("commit_ts") == F.col("ats"), OUTCOME_COMMITTED)
                .otherwise(OUTCOME_OUT_OF_DATE))
@@ -179,14 +182,19 @@ def committed_carts(epochs: DataFrame) -> DataFrame:
                     "product_id", "qty"))
 
 
-def merge_carts(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+def merge_carts(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("user_id",),
+                scalars: tuple[str, ...] = ()) -> DataFrame:
     """Add two item tables (long form ``keys..., product_id, qty``);
-    quantities of the same product add up.  Scalar columns of ``left``
-    (timestamp, status) are the caller's to keep."""
+    quantities of the same product add up.  ``scalars`` (timestamp, status)
+    are those of the left cart, null where only the right one exists."""
     cols = [*keys, "product_id", "qty"]
     both = left.select(*cols).unionByName(right.select(*cols))
-    return (both.where(F.col("product_id").isNotNull())
-            .groupBy(*keys, "product_id").agg(F.sum("qty").cast("long").alias("qty")))
+    merged = (both.where(F.col("product_id").isNotNull())
+              .groupBy(*keys, "product_id").agg(F.sum("qty").cast("long").alias("qty")))
+    if not scalars:
+        return merged
+    of_left = left.groupBy(*keys).agg(*[F.first(c).alias(c) for c in scalars])
+    return merged.join(of_left, list(keys), "left").select(*keys, *scalars, "product_id", "qty")
 
 
 def cart_kpis(commands: DataFrame) -> DataFrame:
@@ -202,13 +210,16 @@ def cart_kpis(commands: DataFrame) -> DataFrame:
 
 
 def cart_reconcile(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Per user, does the server cart equal the expected item counts?
-    Both inputs long form (user_id, product_id, qty); full outer join on
+    """Per user of either side, does the server cart equal the expected
+    item counts?  Both inputs long form (user_id, product_id, qty); a null
+    product is an empty cart, and two empty carts match.  Full outer join on
     (user, product) with null-safe comparison, then ``bool_and``."""
+    users = expected.select("user_id").unionByName(actual.select("user_id")).distinct()
     a = actual.where(F.col("product_id").isNotNull()).select(
         "user_id", "product_id", F.col("qty").cast("long").alias("a_qty"))
     x = expected.where(F.col("product_id").isNotNull()).select(
         "user_id", "product_id", F.col("qty").cast("long").alias("e_qty"))
     j = x.join(a, ["user_id", "product_id"], "full_outer")
-    return (j.groupBy("user_id")
-            .agg(F.bool_and(F.col("e_qty").eqNullSafe(F.col("a_qty"))).alias("matches")))
+    items = j.groupBy("user_id").agg(F.bool_and(F.col("e_qty").eqNullSafe(F.col("a_qty"))).alias("matches"))
+    return users.join(items, "user_id", "left").select(
+        "user_id", F.coalesce("matches", F.lit(True)).alias("matches"))

@@ -32,6 +32,15 @@ def with_org(df: DataFrame, num_orgs: int = DEFAULT_NUM_ORGS, id_col: str = "id"
     return df.withColumn("org", assign_org(id_col, num_orgs))
 
 
+def split_locations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a usable location, and the rejects: a missing, NaN or
+    out-of-range latitude or longitude has no nearest place."""
+    def within(column, limit):
+        return F.coalesce(F.abs(column) <= limit, F.lit(False)) & ~F.isnan(column)
+    usable = within("lat", 90) & within("lon", 180)
+    return df.where(usable), df.where(~usable)
+
+
 def major_only(places: DataFrame, enabled: bool = False) -> DataFrame:
     """Keep feature class ``P`` when enabled; otherwise unchanged."""
     return places.where(F.col("feature_class") == "P") if enabled else places

@@ -20,10 +20,11 @@ def get_cities(requests: DataFrame, latest_temps: DataFrame) -> DataFrame:
 
 
 def get_cities_lists(requests: DataFrame, latest_temps: DataFrame) -> DataFrame:
-    """G1 reply shape: one row per request, ``cities`` sorted (empty when
-    unknown)."""
-    return (get_cities(requests, latest_temps).groupBy("org")
-            .agg(F.array_sort(F.collect_list("city")).alias("cities")))
+    """G1 reply shape: one row per request, a repeated one included, with
+    ``cities`` sorted (empty when unknown)."""
+    known = latest_temps.groupBy("org").agg(F.array_sort(F.collect_set("city")).alias("cities"))
+    return (requests.select("org").join(known, "org", "left")
+            .select("org", F.coalesce("cities", F.array().cast("array<string>")).alias("cities")))
 
 
 def get_temperature(requests: DataFrame, latest_temps: DataFrame) -> DataFrame:

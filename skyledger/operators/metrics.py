@@ -61,16 +61,25 @@ def latency_stats(df: DataFrame, start: str = "start_ms", end: str = "end_ms",
     return df.groupBy(*group_cols).agg(*aggs)
 
 
-def stage_throughput(stages: dict[str, DataFrame], name: str = "telemetry") -> DataFrame:
-    """D15 in batch: rows per (pipeline, stage) as a union of stage counts.
-    Streaming uses ``Dataset.observe`` instead (see streaming.telemetry)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"))
-             .select(F.lit(name).alias("pipeline"), F.lit(stage).alias("stage"), "rows")
-             for stage, df in stages.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: Fixed values that must equal the reference: what each pipeline counts at each stage.
+PACKET_STAGES = [("data-enrichment", "pre-pipeline"), ("data-enrichment", "flatten-data")]
+MEASUREMENT_STAGES = [
+    ("data-enrichment", "broadcast-downstream"),
+    ("summarize-by-org", "pre-pipeline"), ("summarize-by-org", "group-by-org-city"),
+    ("summarize-by-city", "pre-pipeline"), ("summarize-by-city", "group-by-org"),
+]
+
+
+def stage_throughput(packets: DataFrame, enriched: DataFrame) -> DataFrame:
+    """D15 in batch: rows that enter each stage of each pipeline: packets
+    before and at flattening, enriched measurements everywhere else.  Either
+    input is counted once.  Streaming uses ``Dataset.observe`` instead (see
+    streaming.telemetry)."""
+    def counted(df, stages):
+        names = F.array(*[F.struct(F.lit(p).alias("pipeline"), F.lit(s).alias("stage")) for p, s in stages])
+        return (df.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(names).alias("_s"), "rows")
+                .select("_s.pipeline", "_s.stage", "rows"))
+    return counted(packets, PACKET_STAGES).unionByName(counted(enriched, MEASUREMENT_STAGES))
 
 
 def send_stats(packets: DataFrame) -> DataFrame:
@@ -112,8 +121,8 @@ def report_intervals(df: DataFrame, key: str = "id", ts: str = "ts_ms",
 def active_sessions(log: DataFrame, partitions: int | None = None) -> DataFrame:
     """E5: number of open sessions after each start (+1) and stop (-1).
 
-    A running sum over one global order (time, stops before starts, session
-    id) has no partition key.  The events are range-partitioned on that
+    A running sum over one global order (time, starts before stops, so that a
+    session of no length counts up and then down; session id) has no partition key.  The events are range-partitioned on that
     order into balanced, ordered partitions (a busy instant is split too);
     per-partition totals (one row per partition) get a prefix sum, and the
     running sum inside each partition is added to the earlier partitions'
@@ -121,12 +130,13 @@ def active_sessions(log: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     starts = log.select("session_id", F.col("start_ms").alias("t"), F.lit(1).alias("delta"))
     stops = log.select("session_id", F.col("end_ms").alias("t"), F.lit(-1).alias("delta"))
-    ev = ranged(starts.unionByName(stops), ["t", "delta", "session_id"], partitions)
+    events = starts.unionByName(stops).withColumn("_stop", F.col("delta") < 0)
+    ev = ranged(events, ["t", "_stop", "session_id"], partitions)
     totals = ev.groupBy("_rp").agg(F.sum("delta").alias("_pt"))
     before = (totals.withColumn("_base", F.coalesce(F.sum("_pt").over(
         W.orderBy("_rp").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .select("_rp", "_base"))
-    inner = W.partitionBy("_rp").orderBy("t", "delta", "session_id").rowsBetween(
+    inner = W.partitionBy("_rp").orderBy("t", "_stop", "session_id").rowsBetween(
         W.unboundedPreceding, W.currentRow)
     return (ev.join(before, "_rp")
             .withColumn("active", (F.col("_base") + F.sum("delta").over(inner)).cast("long"))

@@ -70,8 +70,9 @@ def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> Da
     (``_rp``), which then are ordered, balanced buckets of the order: the
     partitioner samples the data, so a key or instant holding a large share
     of the rows is split over several partitions (ties are broken by the
-    remaining order columns).  The result is shared (persisted) so every
-    branch of a plan sees the same partition ids."""
-    from skyledger.session import materialize
+    remaining order columns).  The rows and their numbers are written to the
+    shared folder once, so every branch of a plan sees the same ones: the
+    partitioner's sample, taken anew, could draw other borders."""
+    from skyledger.session import shared_table
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartitionByRange(n, *order).withColumn("_rp", F.spark_partition_id()))
+    return shared_table(df.repartitionByRange(n, *order).withColumn("_rp", F.spark_partition_id()), "ranged")

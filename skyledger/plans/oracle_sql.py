@@ -197,11 +197,21 @@ ORACLE: dict[str, str] = {
         ts_ms - lag(ts_ms) OVER (PARTITION BY id ORDER BY ts_ms, arrival_seq) AS interval_ms FROM m""", "m"),
     "send_stats": sql("""SELECT id, count(*) AS packets, CAST(sum(n_measurements) AS BIGINT) AS measurements_sent,
         arg_max(n_measurements, timestamp) AS last_batch_size FROM pk GROUP BY id""", "pk"),
-    "stage_throughput": sql("""SELECT 'telemetry' AS pipeline, 'packets' AS stage, (SELECT count(*) FROM pk) AS rows
-        UNION ALL SELECT 'telemetry', 'flatten-data', (SELECT count(*) FROM m)
-        UNION ALL SELECT 'telemetry', 'enriched', (SELECT count(*) FROM en)
-        UNION ALL SELECT 'telemetry', 'summarize-by-org', (SELECT count(*) FROM d1)
-        UNION ALL SELECT 'telemetry', 'summarize-by-city', (SELECT count(*) FROM d3)""", "pk", "en", "d1", "d3"),
+    "stage_throughput": sql("""SELECT pipeline, stage, rows FROM (
+        SELECT 'data-enrichment' AS pipeline, 'pre-pipeline' AS stage, (SELECT count(*) FROM pk) AS rows
+        UNION ALL SELECT 'data-enrichment', 'flatten-data', (SELECT count(*) FROM pk)
+        UNION ALL SELECT 'data-enrichment', 'broadcast-downstream', (SELECT count(*) FROM m)
+        UNION ALL SELECT 'summarize-by-org', 'pre-pipeline', (SELECT count(*) FROM m)
+        UNION ALL SELECT 'summarize-by-org', 'group-by-org-city', (SELECT count(*) FROM m)
+        UNION ALL SELECT 'summarize-by-city', 'pre-pipeline', (SELECT count(*) FROM m)
+        UNION ALL SELECT 'summarize-by-city', 'group-by-org', (SELECT count(*) FROM m))""", "pk", "m"),
+    "send_errors": sql("""SELECT 'malformed' AS error, count(DISTINCT id) AS errors FROM m
+        UNION ALL SELECT 'null id', count(DISTINCT id) FROM m""", "m"),
+    "get_cities_lists": sql("""SELECT r.org, coalesce(k.cities, '') AS cities FROM preq r LEFT JOIN (
+        SELECT org, string_agg(city, '|' ORDER BY city) AS cities FROM (SELECT DISTINCT org, city FROM d4) GROUP BY org) k
+        ON r.org = k.org""", "preq", "d4"),
+    "sample_places": sql("""SELECT place_id, name, lat, lon FROM p
+        ORDER BY md5('7:' || CAST(place_id AS VARCHAR)), place_id LIMIT 20""", "p"),
     # --- carts -----------------------------------------------------------
     "validate_products": sql("""SELECT user_id, seq, unnest(range(qty)) AS pos, product_id FROM ce
         WHERE action = 'add' AND product_id IN (SELECT id FROM cat)""", "ce", "cat"),
@@ -221,14 +231,15 @@ ORACLE: dict[str, str] = {
         CAST(count_if(outcome = 'CartCommitted') AS BIGINT) AS carts_committed,
         CAST(count_if(outcome = 'CartOutOfDate') AS BIGINT) AS carts_out_of_date,
         CAST(count_if(outcome = 'CartCommitFailed') AS BIGINT) AS cart_commit_failed FROM ep""", "ep"),
-    "cart_reconcile": sql("""SELECT coalesce(x.user_id, a.user_id) AS user_id,
-        bool_and(x.e_qty IS NOT DISTINCT FROM a.a_qty) AS matches
-        FROM (SELECT ep.user_id, ep.product_id, CAST(sum(ep.qty) AS BIGINT) AS e_qty FROM ep
-              JOIN oe ON ep.user_id = oe.user_id AND ep.epoch = oe.epoch
-              WHERE ep.action = 'add' AND ep.qty > 0 GROUP BY ep.user_id, ep.product_id) x
-        FULL OUTER JOIN (SELECT user_id, product_id, qty AS a_qty FROM d9 WHERE product_id IS NOT NULL) a
-          ON x.user_id = a.user_id AND x.product_id = a.product_id
-        GROUP BY coalesce(x.user_id, a.user_id)""", "ep", "oe", "d9"),
+    "cart_reconcile": sql("""SELECT u.user_id, coalesce(bool_and(i.e_qty IS NOT DISTINCT FROM i.a_qty), true) AS matches
+        FROM (SELECT DISTINCT user_id FROM d9) u LEFT JOIN (
+          SELECT coalesce(x.user_id, a.user_id) AS user_id, x.e_qty, a.a_qty, true AS item
+          FROM (SELECT ep.user_id, ep.product_id, CAST(sum(ep.qty) AS BIGINT) AS e_qty FROM ep
+                JOIN oe ON ep.user_id = oe.user_id AND ep.epoch = oe.epoch
+                WHERE ep.action = 'add' AND ep.qty > 0 GROUP BY ep.user_id, ep.product_id) x
+          FULL OUTER JOIN (SELECT user_id, product_id, qty AS a_qty FROM d9 WHERE product_id IS NOT NULL) a
+            ON x.user_id = a.user_id AND x.product_id = a.product_id) i ON u.user_id = i.user_id
+        GROUP BY u.user_id""", "ep", "oe", "d9"),
     "get_cart": sql("""SELECT r.user_id, 'Open' AS status, d9.cart_ts, d9.product_id, d9.qty
         FROM (SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer) r
         LEFT JOIN d9 ON r.user_id = d9.user_id""", "d9"),
@@ -237,7 +248,7 @@ ORACLE: dict[str, str] = {
     "session_outcomes": sql("SELECT success, stage, reason, count(*) AS sessions FROM sess GROUP BY ALL", "sess"),
     "latency_stats": sql("""SELECT count(end_ms - start_ms) AS n, min(end_ms - start_ms) AS min_ms,
         max(end_ms - start_ms) AS max_ms, round(avg(end_ms - start_ms), 6) AS avg_ms FROM sess""", "sess"),
-    "active_sessions": sql("""SELECT session_id, t, delta, CAST(sum(delta) OVER (ORDER BY t, delta, session_id
+    "active_sessions": sql("""SELECT session_id, t, delta, CAST(sum(delta) OVER (ORDER BY t, delta DESC, session_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS active FROM (
           SELECT session_id, start_ms AS t, 1 AS delta FROM sess
           UNION ALL SELECT session_id, end_ms AS t, -1 AS delta FROM sess)""", "sess"),

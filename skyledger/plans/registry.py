@@ -152,6 +152,13 @@ def q_get_cities(spark, d):
     return G.get_cities(req, _summaries(spark, d)["latest_city_temperature"])
 
 
+def q_get_cities_lists(spark, d):
+    """G1 reply shape: one reply a request; requested orgs repeat, some are unknown."""
+    req = _requests(spark, d).select("org")
+    g = G.get_cities_lists(req, _summaries(spark, d)["latest_city_temperature"])
+    return g.select("org", F.array_join("cities", "|").alias("cities"))
+
+
 def q_get_temperature(spark, d):
     g = G.get_temperature(_requests(spark, d), _summaries(spark, d)["latest_city_temperature"])
     return g.select("org", "city", _r6("cityTemperature"))
@@ -167,7 +174,7 @@ def q_sorted_orgs(spark, d):
 
 
 def q_sample_places(spark, d):
-    return sample_places(FX.places(spark, d), n=1000).select("place_id", "name", "lat", "lon")
+    return sample_places(FX.places(spark, d), n=20).select("place_id", "name", "lat", "lon")
 
 
 def q_report_intervals(spark, d):
@@ -181,15 +188,24 @@ def q_send_stats(spark, d):
 
 
 def q_stage_throughput(spark, d):
-    m = FX.measurements(spark, d)
-    e = _enriched(spark, d)
-    return MX.stage_throughput({
-        "packets": _packets(spark, d),
-        "flatten-data": flatten_measurements(_packets(spark, d)),
-        "enriched": e,
-        "summarize-by-org": S.avg_city_temperature(e),
-        "summarize-by-city": S.drones_per_city(e),
-    })
+    return MX.stage_throughput(_packets(spark, d), _enriched(spark, d))
+
+
+def q_send_errors(spark, d):
+    """Errors by kind over the packet files, to which lines that do not
+    parse and packets without an id are added (one for each device)."""
+    from skyledger.sources.derived import derived_path, ensure_written
+    from skyledger.sources.files import read_packets, split_packets
+
+    def write(path):
+        good = _packets(spark, d).select(F.to_json(F.struct("*")).alias("value"))
+        ids = FX.measurements(spark, d).select("id").distinct()
+        bad = ids.select(F.concat(F.lit('{"id": "'), "id", F.lit('", "measurements": [')).alias("value"))
+        no_id = ids.select(F.lit('{"timestamp": 1, "measurements": []}').alias("value"))
+        good.unionByName(bad).unionByName(no_id).write.mode("overwrite").text(path)
+
+    path = ensure_written(spark, derived_path(spark, d, "packets-with-errors"), write)
+    return MX.send_errors(split_packets(read_packets(spark, path, with_arrival=True))[1])
 
 
 # --- carts ----------------------------------------------------------------------

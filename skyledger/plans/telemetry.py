@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from skyledger.functions.geo import qualified_name
 from skyledger.functions.orgs import DEFAULT_NUM_ORGS
 from skyledger.operators import summaries as S
-from skyledger.operators.enrich import with_org
+from skyledger.operators.enrich import split_locations, with_org
 from skyledger.operators.nearest import nearest_place
 
 
 def enrich(measurements: DataFrame, places: DataFrame, num_orgs: int = DEFAULT_NUM_ORGS,
            num_places: int | None = None, depth: int | None = None) -> DataFrame:
-    """Measurements -> org (B2) -> nearest place (C1) -> qualified city."""
-    m = with_org(measurements, num_orgs)
+    """Measurements -> org (B2) -> nearest place (C1) -> qualified city.
+    Measurements without a usable location are ``split_locations``' rejects."""
+    m = with_org(split_locations(measurements)[0], num_orgs)
     m = nearest_place(m, places, num_places=num_places, depth=depth)
     return m.withColumn("city", qualified_name("name", "province", "country"))
 

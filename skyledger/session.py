@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,42 +61,56 @@ def prepare_session(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``, or the
+    one the context was given.
 
-    The cluster's value is used as is.  Only when it is unset (local tests)
-    a scratch folder is created and registered.
+    Only a local session without either gets a scratch folder: on a cluster
+    each machine would have its own, so there a missing setting is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    d = named or sc.getCheckpointDir()
     if not d:
-        d = os.environ.get("SKYLEDGER_LOCAL_CHECKPOINT") or tempfile.mkdtemp(prefix="skyledger-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="skyledger-ckpt-")
+    if not named:
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
 _SHARED: list = []
-MAX_SHARED = 8
 
 
 def materialize(df):
     """Share a DataFrame that several branches of one plan read, keyed the
     same way: ``persist(DISK_ONLY)``.  The cached relation keeps the plan's
-    hash partitioning (AQE does not re-partition cached plans unless
-    ``spark.sql.optimizer.canChangeCachedPlanOutputPartitioning`` is set),
-    so the branches neither recompute nor re-shuffle it; a lost block is
-    rebuilt from lineage.  Disk-only keeps large inputs off the heap.  At
-    most ``MAX_SHARED`` such inputs stay cached: older ones are unpersisted
-    (a DataFrame that still uses one simply recomputes it).  (A reliable
-    ``checkpoint()`` would cut lineage but loses the partitioning under AQE.)"""
+    hash partitioning, so the branches neither recompute nor re-shuffle it; a
+    lost block, or one that the caller's ``clearCache`` dropped, is rebuilt
+    from lineage with the same rows.  It stays until :func:`release_shared`."""
     from pyspark import StorageLevel
     out = df.persist(StorageLevel.DISK_ONLY)
     _SHARED.append(out)
-    while len(_SHARED) > MAX_SHARED:
-        _SHARED.pop(0).unpersist(blocking=False)
     return out
 
 
+def release_shared() -> None:
+    """Drop every shared input; call it once the results are written."""
+    while _SHARED:
+        _SHARED.pop().unpersist(blocking=False)
+
+
+def shared_table(df, name: str):
+    """Write ``df`` under the shared checkpoint folder and read it back: its
+    rows are fixed from there on, whatever is cached or lost."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "shared", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
     """Checkpoint location for a named streaming query under the shared dir."""
     return os.path.join(checkpoint_dir(spark), "streams", name)

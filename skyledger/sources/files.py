@@ -9,31 +9,48 @@ from skyledger.schemas import CART_EVENT, PACKET, PLACE_FILE
 CORRUPT = "_corrupt_record"
 
 
+def _place_rows(spark: SparkSession, path: str) -> DataFrame:
+    raw = (spark.read.schema(PLACE_FILE)
+           .option("sep", "\t").option("quote", "\u0000").option("header", "false")
+           .option("mode", "PERMISSIVE").csv(path))
+    return raw.where(F.col("_metadata.file_name") != "readme.txt")
+
+
+def _coordinate(column: str):
+    value = F.col(column).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def read_places(spark: SparkSession, path: str, major_only: bool = False) -> DataFrame:
     """A1: a geonames-style TSV (19 columns, no header, no quoting).
 
     Used fields (0-based): 0 id, 1 name, 4 lat, 5 lon, 6 feature class,
-    8 country, 10 admin1.  A ``readme.txt`` next to the data is skipped; rows
-    whose coordinates do not parse are dropped.  ``major_only`` keeps
-    feature class ``P`` (B7).
+    8 country, 10 admin1; an empty text field is an empty string.  A
+    ``readme.txt`` next to the data is skipped; rows whose coordinates do not
+    parse are in :func:`read_place_rejects`.  ``major_only`` keeps feature
+    class ``P`` (B7).
     """
-    raw = (spark.read.schema(PLACE_FILE)
-           .option("sep", "\t").option("quote", "\u0000").option("header", "false")
-           .option("mode", "PERMISSIVE").csv(path))
-    raw = raw.where(F.col("_metadata.file_name") != "readme.txt")
-    out = raw.select(
-        F.col("geonameid").cast("long").alias("place_id"),
-        F.col("name"),
-        F.col("admin1_code").alias("province"),
-        F.col("country_code").alias("country"),
-        F.col("feature_class"),
-        F.col("latitude").cast("double").alias("lat"),
-        F.col("longitude").cast("double").alias("lon"),
+    def text(column):
+        return F.coalesce(F.col(column), F.lit(""))
+
+    out = _place_rows(spark, path).select(
+        F.col("geonameid").try_cast("long").alias("place_id"),
+        text("name").alias("name"),
+        text("admin1_code").alias("province"),
+        text("country_code").alias("country"),
+        text("feature_class").alias("feature_class"),
+        _coordinate("latitude").alias("lat"),
+        _coordinate("longitude").alias("lon"),
     ).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     from skyledger.operators.enrich import major_only as _major
     return _major(out, major_only)
 
 
+def read_place_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The rows :func:`read_places` leaves out: all fields as read."""
+    return _place_rows(spark, path).where(_coordinate("latitude").isNull() | _coordinate("longitude").isNull())
+
+
 def write_places_tsv(places: DataFrame, path: str) -> None:
     """Write a place table in the 19-column TSV layout read by :func:`read_places`."""
     cols = {c: F.lit(None).cast("string") for c in PLACE_FILE.fieldNames()}

@@ -13,8 +13,8 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from skyledger.session import build_session
-    os.environ.setdefault("SKYLEDGER_LOCAL_CHECKPOINT", tempfile.mkdtemp(prefix="skyledger-test-ckpt-"))
-    s = build_session("local[4]", 4, app_name="skyledger-tests")
+    shared = tempfile.mkdtemp(prefix="skyledger-test-ckpt-")
+    s = build_session("local[4]", 4, app_name="skyledger-tests", extra={"spark.checkpoint.dir": shared})
     yield s
     s.stop()
 

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import random
 
 import pytest
@@ -132,7 +133,8 @@ def test_validation_and_reconcile(spark):
 
 def test_get_cart_unknown_user_is_empty_open_cart(spark):
     from skyledger.operators.lookups import get_cart
-    ev, cat = _events(spark, EDGE), _catalog(spark)
+    # cart_epochs takes authenticated commits only.
+    ev, cat = _events(spark, EDGE).withColumn("auth_ok", F.lit(True)), _catalog(spark)
     carts = C.cart_contents(C.cart_epochs(ev, cat))
     req = spark.createDataFrame([("u4",), ("nobody",)], "user_id string")
     rows = sorted(get_cart(req, carts).collect(), key=lambda r: (r.user_id, r.product_id or ""))
