@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.llm import tokens
-from skyledger.llm.common import batch_of, slices, table, written
+from skyledger.llm.common import batch_of, ragged, slices, table, written
 
 WINDOW = 1024
 END_ID = 0
@@ -118,8 +118,8 @@ class ShardIndex:
         query = self.terms[row]
         if len(query) > QUERY_TERMS:
             query = query[np.argsort(-self.idf[query], kind="stable")[:QUERY_TERMS]]
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in query])
-        return np.bincount(self.rows[at], self.weights[at], self.n)
+        start, length = self.first[query], self.first[query.astype(np.int64) + 1] - self.first[query]
+        return np.bincount(ragged(self.rows, start, length), ragged(self.weights, start, length), self.n)
 
 
 def pack_shard(lengths: np.ndarray, scores, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
