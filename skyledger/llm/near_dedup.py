@@ -1,25 +1,35 @@
 """MinHash near-deduplication: consistent weighted sampling over TF-IDF shingles.
 
 A document is the multiset of its 5-word shingles (words: runs without white
-space; a shorter document is one shingle of all its words).  A shingle weighs
-its count times ``1 + ln((N + 1) / (df + 1)) / (2 ln(N + 1))``: between 1 and
-1.5, so that the common text of a family with a third of all rows still
+space; a shorter document is one shingle of all its words).  A shingle
+weighs its count times
+``1 + ln((N + 1) / (df + 1)) / (2 ln(N + 2))``: between 1 and 1.5, so that the common text of a family with a third of all rows still
 outweighs its few differences.  N counts all documents, df all documents with
 a shingle of the same one of ``DF_BUCKETS`` hash buckets, a table of fixed size.
 
 Rows with equal words are one *node*.  Improved consistent weighted sampling
 draws ``BANDS * ROWS`` samples (shingle, level) of each node; two nodes agree
 on a sample with the probability of their weighted Jaccard similarity.  Equal
-bands make nodes candidates in two steps:
+bands make nodes candidates in three steps, each after the links found so far
+are joined to components:
 
 1. every node of a band's bucket with the bucket's least node;
-2. once the links found so far are joined to components, every node outside a
-   bucket's largest component with the bucket's nodes of other components.
+2. every node outside a bucket's largest component with the one that agrees
+   most of at most ``CENTRES`` nodes of that component, so that a large family
+   comes together at a cost in proportion to its size;
+3. without any sampling, the nodes of buckets
+   with several components by prefix filtering: two nodes that agree on at
+   least ``LEAST_AGREE`` of their samples share one of the ``PREFIX`` rarest
+   samples of each, so only nodes with such a sample in common are compared,
+   every node outside a sample's largest component with the sample's nodes of
+   other components.
 
 So all pairs of a bucket that could still join components are looked at, but a
-bucket that is one family costs its size, not the square.  Candidates that
-agree on at least ``LEAST_AGREE`` samples are verified by the exact weighted
-Jaccard similarity of their whole texts; those of ``SIMILARITY`` or more are
+bucket that is one family costs its size, not the square, and documents that
+have one common passage and little else are not compared with each other, as
+their rarest samples lie outside it.  Candidates that agree on at least
+``LEAST_AGREE`` samples are verified by the exact weighted Jaccard similarity
+of their whole texts; those of ``SIMILARITY`` or more are
 linked, and a class is a connected component.  A pair of similarity 0.8 shares
 a band with probability 0.998, one of 0.85 with 0.9999.
 
@@ -49,7 +59,13 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 #: Samples that a pair of similarity 0.8 shares but for about one in a thousand.
 LEAST_AGREE = 29
+#: Of two nodes that agree on LEAST_AGREE samples, the rarest ones that must meet.
+PREFIX = SAMPLES - LEAST_AGREE + 1
+#: Nodes of a bucket's largest component that step 2 offers to the others.
+CENTRES = 16
 DF_BUCKETS = 1 << 18
+#: First nodes of pairs that a task holds at once; pairs in a part of the second ones.
+BLOCK, PART_PAIRS = 64, 1 << 16
 SEED = 9
 
 _U = np.uint64
@@ -136,8 +152,11 @@ def _counted(shingles: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def weighted_jaccard(a, b) -> float:
     (ha, ca, wa), (hb, cb, wb) = a, b
-    both, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    least = float((np.minimum(ca[ia], cb[ib]) * wa[ia]).sum())
+    at = np.searchsorted(ha, hb)  # both are sorted and distinct
+    both = at < len(ha)
+    both[both] = ha[at[both]] == hb[both]
+    ia = at[both]
+    least = float((np.minimum(ca[ia], cb[both]) * wa[ia]).sum())
     most = float((ca * wa).sum() + (cb * wb).sum()) - least
     return least / most if most else 1.0
 
@@ -188,33 +207,82 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         run, "doc_id long, _file string, _row long, digest binary, signature array<int>, bands array<long>")
 
 
-def _agree(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= LEAST_AGREE
+def _agreeing(pairs: DataFrame, signature: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that agree on enough samples, with their number."""
+    same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return (pairs.join(signature.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
+            .join(signature.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
+            .select("a", "b", same.alias("same")).filter(F.col("same") >= LEAST_AGREE))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` of nodes whose texts are similar enough."""
+    """The pairs ``(a, b)`` of nodes whose texts are similar enough; ``pairs``
+    is a written table.
+
+    The first nodes are dealt into blocks of about ``BLOCK`` and the second
+    ones into parts.  A text goes once to each block and part that needs it,
+    not once for each pair: a task keeps the first nodes of a block and streams
+    the part's second nodes, each with its partners, past them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
-        shingler, held = Shingler(), {}
-
-        def counted(node, text):
-            if node not in held:
-                if len(held) >= 16:  # pairs come in order of a node
-                    held.clear()
-                held[node] = _counted(shingler(text or "")[1], idf)
-            return held[node]
-
-        for part in slices(batches):
-            a, b, ta, tb = (c.to_pylist() for c in part.columns)
-            value = [weighted_jaccard(counted(*x), counted(*y)) for x, y in zip(zip(a, ta), zip(b, tb))]
-            good = [i for i, v in enumerate(value) if v >= similarity]
-            yield batch_of(schema, [[x[i] for i in good] for x in (a, b, value)])
-
-    return (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double"))
+        shingler, at, held = Shingler(), None, {}
+        for batch in slices(batches):
+            rows = []
+            for *key, node, partners, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    at, held = key, {}
+                counted = _counted(shingler(text or "")[1], idf)
+                if not partners:
+                    held[node] = counted
+                rows += [(a, node, value) for a in partners if (value := weighted_jaccard(held[a], counted)) >= similarity]
+            if rows:
+                yield batch_of(schema, list(zip(*rows)))
+
+    n, firsts = pairs.agg(F.count(F.lit(1)), F.count_distinct("a")).first()
+    blocks, parts = max(1, firsts // BLOCK), max(16, n // PART_PAIRS)
+    keyed = pairs.select(F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block"), F.pmod(F.xxhash64("b"), F.lit(parts)).alias("part"), "a", "b")
+    first = keyed.select("block", "part", F.col("a").alias("node")).distinct().withColumn("partners", F.array().cast("array<long>"))
+    second = keyed.groupBy("block", "part", F.col("b").alias("node")).agg(F.collect_list("a").alias("partners"))  # at most a block
+    return (first.unionByName(second).join(texts, "node").select("block", "part", "node", "partners", "text")
+            .repartition("block", "part").sortWithinPartitions("block", "part", F.size("partners") > 0)
+            .mapInArrow(run, "a long, b long, similarity double"))
+
+
+def _central_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of each node outside its bucket's largest component with at most
+    ``CENTRES`` nodes of that component, from ``band, key, node, component``."""
+    key = ["band", "key"]
+    counts = placed.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = (counts.groupBy(key).agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
+               .filter("components > 1").select(*key, F.col("largest.component").alias("largest")))
+    met = written(placed.join(largest, key), "near-placed")
+    centres = (met.filter("component = largest").groupBy(*key, F.pmod(F.xxhash64("node", "band"), F.lit(CENTRES)).alias("part"))
+               .agg(F.min("node").alias("b")).drop("part"))
+    return met.filter("component != largest").select(*key, F.col("node").alias("a")).join(centres, key).select("a", "b").distinct()
+
+
+def _open_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes (node, component, signature)`` in different
+    components, with every pair that agrees on ``LEAST_AGREE`` samples.
+
+    Samples are ordered by the number of nodes that have them; a pair has to
+    share one of the ``PREFIX`` first of each node."""
+    sampled = nodes.select("node", "component", F.posexplode("signature").alias("sample", "value"))
+    key = ["sample", "value"]
+    common = written(sampled.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-samples")
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), *key))), 1, PREFIX)
+    prefix = written(sampled.join(common, key, "left").groupBy("node", "component").agg(rarest.alias("rarest"))
+                     .select("node", "component", F.explode("rarest").alias("s")).filter("s.n > 1")
+                     .select("node", "component", "s.sample", "s.value"), "near-prefixes")
+    counts = prefix.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = written(counts.groupBy(key).agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
+                      .filter("components > 1").select(*key, F.col("largest.component").alias("largest")), "near-largest")
+    met = prefix.join(largest, key)
+    outside = met.filter("component != largest").select(*key, F.col("node").alias("a"), F.col("component").alias("ca"))
+    others = met.select(*key, F.col("node").alias("b"), F.col("component").alias("cb"), "largest")
+    pairs = outside.join(others, key).filter("ca != cb AND (cb = largest OR a < b)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -239,26 +307,30 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return written(docs.select(*PLACE, "text").join(places, PLACE).select("node", "text"), "near-texts")
 
     stars = members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars.join(signature.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-                    .join(signature.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
-                    .filter(_agree("x", "y")).select("a", "b"), "near-stars")
+    stars = written(_agreeing(stars, signature).select("a", "b"), "near-stars")
     links = written(_verified(stars, texts_of(stars), idf, similarity), "near-links")
     component = components(links.select("a", "b"))
 
-    # What stars leave open: buckets whose members are still in different components.
-    placed = members.select("band", "key", "node").join(component, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    counts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = (counts.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
-               .filter("components > 1").select("band", "key", F.col("largest.component").alias("largest")))
-    still = written(placed.join(largest, ["band", "key"]).join(signature, "node"), "near-open")
-    outside = still.filter("component != largest").select("band", "key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("signature").alias("x"))
-    others = still.select("band", "key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("signature").alias("y"), "largest")
-    more = written(outside.join(others, ["band", "key"]).filter("ca != cb AND (cb = largest OR a < b)")
-                   .filter(_agree("x", "y")).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "near-more")
-    if not more.isEmpty():
+    def placed():
+        return members.select("band", "key", "node").join(component, "node", "left").withColumn(
+            "component", F.coalesce("component", "node"))
+
+    def joined(pairs):
         known = component.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        component = components(known.unionByName(_verified(more, texts_of(more), idf, similarity).select("a", "b")))
+        return components(known.unionByName(_verified(pairs, texts_of(pairs), idf, similarity).select("a", "b")))
+
+    central = written(_agreeing(_central_pairs(placed()), signature).groupBy("a").agg(
+        F.max_by("b", F.struct("same", "b")).alias("b")).join(stars, ["a", "b"], "left_anti"), "near-central")
+    if not central.isEmpty():
+        component = joined(central)
+
+    # What is left: buckets whose members are still in different components.
+    several = placed().groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    still = written(placed().join(several, ["band", "key"]).select("node", "component").distinct().join(signature, "node"), "near-open")
+    seen = stars.unionByName(central.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    more = written(_agreeing(_open_pairs(still), signature).select("a", "b").join(seen, ["a", "b"], "left_anti"), "near-more")
+    if not more.isEmpty():
+        component = joined(more)
 
     classes = nodes.select("node", "digest", "first", "size").join(component, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
