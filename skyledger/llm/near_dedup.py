@@ -2,7 +2,8 @@
 
 A document is the multiset of its 5-word shingles (words: runs without white
 space; a shorter document is one shingle of all its words).  A shingle
-weighs its count times
+weighs ``1 + ln(count)`` (a line repeated a hundred times does not make copies
+of documents that differ in all else) times
 ``1 + ln((N + 1) / (df + 1)) / (2 ln(N + 2))``: between 1 and 1.5, so that the common text of a family with a third of all rows still
 outweighs its few differences.  N counts all documents, df all documents with
 a shingle of the same one of ``DF_BUCKETS`` hash buckets, a table of fixed size.
@@ -145,9 +146,9 @@ def _bands(chosen: np.ndarray) -> np.ndarray:
 
 
 def _counted(shingles: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles, their counts and their weight for one occurrence."""
+    """Distinct shingles, their dampened counts and their weight for one occurrence."""
     distinct, count = np.unique(shingles, return_counts=True)
-    return distinct, count, idf[(distinct & _U(DF_BUCKETS - 1)).astype(np.int64)]
+    return distinct, 1 + np.log(count), idf[(distinct & _U(DF_BUCKETS - 1)).astype(np.int64)]
 
 
 def weighted_jaccard(a, b) -> float:

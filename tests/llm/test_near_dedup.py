@@ -85,3 +85,9 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert N.near_classes(empty(spark)).count() == 0
+
+
+def test_repeated_line_does_not_make_copies():
+    idf, shingler = np.full(N.DF_BUCKETS, 1.2), N.Shingler()
+    a, b = (N._counted(shingler(prose(seed, 60) + " one line that comes back." * 300)[1], idf) for seed in (1, 2))
+    assert N.weighted_jaccard(a, b) < 0.5
