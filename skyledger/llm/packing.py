@@ -38,8 +38,8 @@ from skyledger.llm.common import batch_of, ragged, slices, table, written
 WINDOW = 1024
 END_ID = 0
 SHARD_ROWS = 2048
-#: A seed's query: its terms of the highest weight.
-QUERY_TERMS = 64
+#: A term that more than this share of a shard's tails hold gets a row of weights instead of postings.
+COMMON = 1 / 8
 K1, B = 1.2, 0.75
 _ENCODED = ("item long, doc_id long, start long, length long, doc_tokens long, route int, "
             "ids_crc32 long, ids binary")
@@ -107,19 +107,26 @@ class ShardIndex:
             rows.append(np.full(len(term), i, np.int32))
             terms.append(term)
             weights.append(idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length)))
-        self.n, self.terms, self.idf = len(tails), terms, idf
+        self.n, self.terms = len(tails), terms
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.rows, self.weights = np.concatenate(rows)[order], np.concatenate(weights)[order]
         self.first = np.searchsorted(term[order], np.arange(65537))
+        common = np.flatnonzero(np.diff(self.first) > COMMON * self.n)  # their rows are at most 1 / COMMON times the postings
+        self.row_of, self.common = np.full(65536, -1), np.zeros((len(common), self.n))
+        self.row_of[common] = np.arange(len(common))
+        for i, t in enumerate(common):
+            at = slice(self.first[t], self.first[t + 1])
+            self.common[i, self.rows[at]] = self.weights[at]
 
     def scores(self, row: int) -> np.ndarray:
-        """BM25 of every row against the heaviest terms of ``row``."""
-        query = self.terms[row]
-        if len(query) > QUERY_TERMS:
-            query = query[np.argsort(-self.idf[query], kind="stable")[:QUERY_TERMS]]
-        start, length = self.first[query], self.first[query.astype(np.int64) + 1] - self.first[query]
-        return np.bincount(ragged(self.rows, start, length), ragged(self.weights, start, length), self.n)
+        """BM25 of every row against all terms of ``row``."""
+        query = self.terms[row].astype(np.int64)
+        common = self.row_of[query]
+        query = query[common < 0]
+        start, length = self.first[query], self.first[query + 1] - self.first[query]
+        rare = np.bincount(ragged(self.rows, start, length), ragged(self.weights, start, length), self.n)
+        return rare + self.common[common[common >= 0]].sum(0)
 
 
 def pack_shard(lengths: np.ndarray, scores, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:

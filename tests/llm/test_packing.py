@@ -66,3 +66,28 @@ def test_scores_equal_bm25_and_neighbours_are_retrieved():
     for sequence, row, _, _, _ in pieces:
         together.setdefault(sequence, set()).add(row % 3)
     assert sum(len(x) == 1 for x in together.values()) >= 6  # windows hold one vocabulary
+
+
+def test_all_terms_of_a_long_seed_are_scored():
+    rng = np.random.default_rng(5)
+    own = np.arange(1000, 1100)  # the rarest: in the seed alone
+    shared = np.arange(2000, 2300)
+    tails = [np.concatenate([own, shared]), shared[250:], np.arange(3000, 3400)] + [
+        rng.choice(np.arange(2000, 6000), 300) for _ in range(37)]
+    tails = [t.astype(np.uint16) for t in tails]
+    df = np.zeros(65536)
+    for t in tails:
+        df[np.unique(t)] += 1
+    idf, mean = np.log1p((40 - df + 0.5) / (df + 0.5)), np.mean([len(t) for t in tails])
+    index = ShardIndex(tails, idf, mean)
+    for seed in (0, 2, 7):
+        want = []
+        for t in tails:
+            terms, tf = np.unique(t, return_counts=True)
+            mine = np.isin(terms, tails[seed])
+            want.append((idf[terms] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / mean)))[mine].sum())
+        assert np.allclose(index.scores(seed), want)
+    assert index.scores(0)[1] > 0
+    lengths = np.array([1000, 50, 400] + [300] * 37)
+    pieces = pack_shard(lengths, index.scores, 1024)
+    assert [row for sequence, row, *_ in pieces if sequence == 0][:2] == [0, 1]
