@@ -12,8 +12,8 @@ or an ellipsis, and after ``SENTENCE_WORDS`` words at the latest.
 
 The model is fitted on a bounded sample of labelled documents outside the
 held-out third: at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` others, those
-with the lowest hash of their id among documents of at most ``SAMPLE_CHARS``
-characters.  Scores of all documents read whole texts, and nothing but texts.
+with the lowest hash of their id, whatever their length, as far as they hold
+``SAMPLE_CHARS`` characters a row on average.  Scores of all documents read whole texts, and nothing but texts.
 
 Defined results: null and empty texts have no sentence and score 0; null and
 repeated doc_ids are scored row by row (a null doc_id is not held out and
@@ -39,6 +39,7 @@ THRESHOLD = 0.7
 BUCKETS = 1 << 18
 SENTENCE_WORDS = 40
 TOXIC_ROWS, CLEAN_ROWS = 2_000, 6_000
+#: On average: bounds all characters of the sample, not a document's.
 SAMPLE_CHARS = 20_000
 #: Documents of the sample that must hold a word for it to have a weight.
 LEAST_ROWS = 3
@@ -189,14 +190,18 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     spark = docs.sparkSession
     labels = (labels.filter("doc_id is not null and toxic is not null").filter(~held_out())
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    short = docs.filter(F.char_length(F.col("text").cast("string")) <= SAMPLE_CHARS).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Lowest hashes of either class: two bounded lists of ids.
-    there = labels.join(short.select("doc_id").distinct(), "doc_id")
-    ids = [r for toxic, n in ((1, toxic_rows), (0, clean_rows))
-           for r in there.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    given = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Lowest hashes of either class, of documents of every length: two bounded lists of ids.
+    there = labels.join(given.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("chars")), "doc_id")
+    ids = []
+    for toxic, n in ((1, toxic_rows), (0, clean_rows)):
+        room = n * SAMPLE_CHARS
+        for r in there.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect():
+            if r.chars <= room:
+                ids.append(r)
+                room -= r.chars
     sample = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
-    rows = short.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = given.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id")

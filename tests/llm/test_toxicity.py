@@ -55,3 +55,23 @@ def test_awkward_rows(spark):
     got = X.score(docs, X.fit(docs, none)).collect()
     assert len(got) == docs.count() and {r.score for r in got} == {0.0}
     assert X.score(empty(spark), X.fit(empty(spark), none)).count() == 0
+
+
+def test_long_documents_are_learned_from(spark):
+    """Clean documents of more than 20,000 characters, with a word that short ones have only where they are toxic."""
+    rows, labels = [], []
+    for i in range(120):
+        long, toxic = i % 3 == 0, i % 3 == 1
+        lines = [prose(1000 * i + k, 12) for k in range(450 if long else 9)]
+        for k in range(0, len(lines), 9):
+            lines[k] = lines[k].replace(" ", " blargish " if toxic else " snorfle " if long else " ", 1)
+        if toxic:
+            lines[1] += " snorfle"
+        rows.append((i, "\n".join(lines), "en", "s", 1))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    assert all(len(r[1]) > 20_000 for r in rows[::3])
+    model = X.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in X.score(docs, model).collect()}
+    held = [(t, got[d].predicted) for d, _, t in labels if got[d].held_out]
+    assert len(held) > 20 and all(t == p for t, p in held)
