@@ -16,6 +16,9 @@ _MODULES = {
     "op8_language_evidence": "language",
     "op9_weighted_near_dedup": "near_dedup",
     "op10_license_compression": "licenses",
+    "op11_periodic_runs": "periodic_runs",
+    "op12_embedding_whitening": "whitening",
+    "op13_fourier_quality": "quality_scores",
 }
 QUERIES = {name: getattr(import_module(f"skyledger.llm.{module}"), name) for name, module in _MODULES.items()}
 ORACLE: dict[str, str] = {}
