@@ -76,3 +76,17 @@ def ranged(df: DataFrame, order: list[str], partitions: int | None = None) -> Da
     from skyledger.session import shared_table
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shared_table(df.repartitionByRange(n, *order).withColumn("_rp", F.spark_partition_id()), "ranged")
+
+
+def even_buckets(df: DataFrame, keys: list[str], order_col: str, rows: int = 1 << 16, width: int = 1 << 16) -> DataFrame:
+    """``df`` with ``_bkt``: a key's rows cut along ``order_col`` into buckets of
+    about ``rows`` rows, however its rows lie in the log, so that a table of one
+    row for each (key, bucket) is small beside the log.  A key of up to ``rows``
+    rows is one bucket, 0.  Counts per (key, stretch of ``width``) are summed
+    along the key; stretches go to a bucket whole.  ``df`` is read twice."""
+    part = F.floor(F.col(order_col) / width)
+    counts = df.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    cut = counts.select(*keys, "_part", F.floor(before / rows).alias("_bkt")).where(F.col("_bkt") > 0)
+    return (df.withColumn("_part", part).join(cut, [*keys, "_part"], "left")
+            .withColumn("_bkt", F.coalesce("_bkt", F.lit(0).cast("long"))).drop("_part"))

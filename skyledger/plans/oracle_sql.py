@@ -125,6 +125,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# H2, row by row: the window start and the buffer's first row before row i of a key
+for _name, _keys in (("ht", "org, city"), ("hd", "org")):
+    CTES[f"{_name}_list"] = (("en",), f"SELECT {_keys}, list(ts_ms ORDER BY arrival_seq) AS ts FROM en GROUP BY {_keys}")
+    CTES[f"{_name}_step"] = ((f"{_name}_list",), f"""SELECT {_keys}, 1::BIGINT AS i, ts[1] AS w, 1::BIGINT AS f FROM {_name}_list
+        UNION ALL SELECT {_keys}, i + 1, CASE WHEN ts[i] - w > 60000 THEN w + 10000 ELSE w END,
+        CASE WHEN ts[i] - w > 60000 THEN f + list_position(list_transform(ts[f:i], lambda t: t >= w), true) ELSE f END
+        FROM {_name}_step JOIN {_name}_list USING ({_keys}) WHERE i <= len(ts)""")
+    CTES[f"{_name}_fired"] = ((f"{_name}_step",), f"""SELECT {_keys}, i, w, f, ts[i] AS trigger_ts_ms,
+        row_number() OVER (PARTITION BY {_keys} ORDER BY i) AS emit_no
+        FROM {_name}_step JOIN {_name}_list USING ({_keys}) WHERE ts[i] - w > 60000""")
+    CTES[f"{_name}_rows"] = (("en",), f"SELECT *, row_number() OVER (PARTITION BY {_keys} ORDER BY arrival_seq) AS rn FROM en")
+
+
 def sql(body: str, *needs: str) -> str:
     order: list[str] = []
 
@@ -139,7 +152,8 @@ def sql(body: str, *needs: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    recursive = "RECURSIVE " if any(n.endswith("_step") for n in order) else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
 
 
 R6 = "round({c}, 6) AS {a}"
@@ -163,6 +177,13 @@ ORACLE: dict[str, str] = {
     "avg_city_temperature": sql(f"""SELECT org, city, window_start_ms, window_end_ms,
         {R6.format(c='avg_temperature', a='avg_temperature')}, n, first_id, first_ts_ms, first_lat, first_lon
         FROM d1""", "d1"),
+    "arrival_window_city_temperature": sql("""SELECT org, city, emit_no, w AS window_start_ms, trigger_ts_ms, count(*) AS n,
+        round(avg(temperature), 6) AS avg_temperature, arg_min(id, rn) AS first_id, arg_min(ts_ms, rn) AS first_ts_ms,
+        arg_min(lat, rn) AS first_lat, arg_min(lon, rn) AS first_lon
+        FROM ht_fired JOIN ht_rows USING (org, city) WHERE rn BETWEEN f AND i GROUP BY org, city, emit_no, w, trigger_ts_ms""",
+        "ht_fired", "ht_rows"),
+    "arrival_window_drones": sql("""SELECT DISTINCT org, emit_no, w AS window_start_ms, trigger_ts_ms, city, id
+        FROM hd_fired JOIN hd_rows USING (org) WHERE rn BETWEEN f AND i""", "hd_fired", "hd_rows"),
     "drones_per_org": sql("SELECT * FROM d2", "d2"),
     "drones_per_city": sql("SELECT * FROM d3", "d3"),
     "drone_counts": sql("""SELECT org, window_start_ms, window_end_ms, count(*) AS drone_count FROM d2

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skyledger.operators import arrival as A
 from skyledger.operators import cart as C
 from skyledger.operators import lookups as G
 from skyledger.operators import metrics as MX
@@ -387,7 +388,7 @@ def _stream_run(spark, d, packets, run):
     return spark.read.parquet(out)
 
 
-# --- stateful operators (H2, H5 batch twins) -------------------------------------
+# --- order-dependent operators (H2; H5 batch twin) -------------------------------------
 
 def _fold(spark, d, auth="ok"):
     from skyledger.streaming.cart_state import cart_fold
@@ -423,13 +424,12 @@ def q_cart_fold_refused_auth_kpis(spark, d):
 
 
 def q_arrival_window_city_temperature(spark, d):
-    from skyledger.streaming.arrival_window import arrival_window_temperature
-    return arrival_window_temperature(_enriched(spark, d))
+    t = A.arrival_window_temperature(_enriched(spark, d))
+    return t.withColumn("avg_temperature", _r6("avg_temperature"))
 
 
 def q_arrival_window_drones(spark, d):
-    from skyledger.streaming.arrival_window import arrival_window_drones
-    return arrival_window_drones(_enriched(spark, d))
+    return A.arrival_window_drones(_enriched(spark, d))
 
 
 QUERIES: dict[str, Query] = {

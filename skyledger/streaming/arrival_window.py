@@ -1,4 +1,5 @@
-"""H2: the reference's slide-on-arrival window, exactly.
+"""H2 on a stream: the slide-on-arrival window, exactly (in batch:
+:mod:`skyledger.operators.arrival`, which gives the same rows).
 
 Per group key, in arrival order:
 
@@ -28,10 +29,8 @@ from collections import Counter, deque
 
 from pyspark.sql import DataFrame, types as T
 
-from skyledger.streaming._keyed import fold_sorted, fold_stream
-
-WINDOW_MS = 60_000
-SLIDE_MS = 10_000
+from skyledger.operators.arrival import SLIDE_MS, WINDOW_MS
+from skyledger.streaming._keyed import fold_stream
 
 BUFFER_ROW = T.StructType([
     T.StructField("ts_ms", T.LongType()), T.StructField("temperature", T.DoubleType()),
@@ -116,28 +115,6 @@ def _setup(mode):
     return keys, (TEMPERATURE_OUT if mode == "temperature" else DRONES_OUT)
 
 
-def _batch(enriched, mode, window_ms, slide_ms, initial_start, order_cols):
-    keys, out = _setup(mode)
-    order = [c for c in order_cols if c in enriched.columns]
-    return fold_sorted(enriched, keys, order,
-                       lambda: ArrivalWindowFold(mode, window_ms, slide_ms, initial_start),
-                       IN_COLS, out)
-
-
-def arrival_window_temperature(enriched: DataFrame, window_ms: int = WINDOW_MS,
-                               slide_ms: int = SLIDE_MS, initial_start: int | None = None,
-                               order_cols: tuple[str, ...] = ("arrival_seq", "arrival_pos")) -> DataFrame:
-    """H2 + D1 (batch twin): averages per (org, city) by the arrival rule."""
-    return _batch(enriched, "temperature", window_ms, slide_ms, initial_start, order_cols)
-
-
-def arrival_window_drones(enriched: DataFrame, window_ms: int = WINDOW_MS,
-                          slide_ms: int = SLIDE_MS, initial_start: int | None = None,
-                          order_cols: tuple[str, ...] = ("arrival_seq", "arrival_pos")) -> DataFrame:
-    """H2 + D2/D3 (batch twin): distinct (city, id) per emitted org window."""
-    return _batch(enriched, "drones", window_ms, slide_ms, initial_start, order_cols)
-
-
 def arrival_window_stream(enriched_stream: DataFrame, mode: str = "temperature",
                           window_ms: int = WINDOW_MS, slide_ms: int = SLIDE_MS,
                           initial_start: int | None = None,

@@ -6,7 +6,8 @@ from skyledger.operators.enrich import flatten_measurements, pack_measurements
 from skyledger.plans import telemetry as T
 from skyledger.sources import fixtures as FX
 from skyledger.streaming import telemetry as ST
-from skyledger.streaming.arrival_window import arrival_window_stream, arrival_window_temperature
+from skyledger.operators.arrival import arrival_window_temperature
+from skyledger.streaming.arrival_window import arrival_window_stream
 from skyledger.streaming.cart_state import cart_fold, cart_fold_stream
 from skyledger.streaming.supervision import PipelineListener, run_with_restart
 from tests.conftest import SF001
