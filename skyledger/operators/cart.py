@@ -4,17 +4,20 @@ Input: cart commands ``user_id, seq, ts_ms, action, product_ids,
 commit_ts, auth_ok`` (``seq`` unique per user, defines the order).
 
 The batch fold here uses running aggregates per user in ``seq`` order
-(bucketed, see :mod:`skyledger.operators.prefix`) and covers the
-synchronous model in which every commit's authentication succeeds.  Commands with refused authentication move the
-cart version recursively; :mod:`skyledger.streaming.cart_state` folds those
-(streaming and batch).
+(bucketed, see :mod:`skyledger.operators.prefix`) in the synchronous model: a
+commit and its authentication verdict are one event.  A refused commit moves
+the cart version, so whether a later one meets the version depends on the
+refused ones before it; :func:`commit_hits` follows those moves by doubling.
+:mod:`skyledger.streaming.cart_state` has the same rules as a stateful fold.
 
 Rules (one user):
 * add: valid ids are added one each (duplicates kept), the cart version
   becomes the command time, also when no id was valid.
 * clear: new empty cart at the command time.
 * commit(ct): empty cart -> CartEmpty; version != ct -> CartOutOfDate;
-  else CartCommitted, the cart is stored under ct and a new empty one opens.
+  else the cart moves out and a new version opens at the command time: with
+  ``auth_ok`` (null: yes) it is stored under ct (CartCommitted) and the new one
+  is empty; refused, its items stay in the new one (CartCommitFailed).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from skyledger.operators.prefix import bucketed_running
-from skyledger.session import materialize
+from skyledger.session import materialize, shared_table
 from skyledger.schemas import (CART_STATUS_COMMITTED, OUTCOME_COMMITTED,
                                OUTCOME_EMPTY, OUTCOME_FAILED, OUTCOME_OUT_OF_DATE)
 
@@ -86,8 +89,10 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
     """E1 + E2: every command with its cart epoch and, for commits, the outcome.
 
     seg   running count of adds (a new segment starts at each add)
-    ats   time of the latest add (the cart version while the cart holds items)
-    r0    clear, or commit whose timestamp equals ats
+    ats   time of the latest add (the cart version while the cart holds items
+          and no commit was refused)
+    r0    clear, or commit whose timestamp equals ats; where any commit was
+          refused: clear, or a successful commit among the ``commit_hits``
     reset first r0 of its (user, seg): from there the cart is empty until the
           next add, so later r0 rows of the segment meet an empty cart.  As
           segments never decrease, "an earlier r0 in my segment" is "the
@@ -101,8 +106,8 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
     one task and the command log is shuffled once: the three running
     steps share their inputs through ``session.materialize`` (persisted,
     partitioning kept), so no step re-shuffles or recomputes another
-    (``session.release_shared`` drops them).  A commit whose authentication was
-    refused is an error here: the fold in streaming.cart_state has that rule.
+    (``session.release_shared`` drops them).  Logs with refused commits take
+    one more small table, the hits, joined on (user, bucket, seq).
     """
     # Each running step reads its input twice (rows and per-bucket totals);
     # the inputs are materialized so the command log is shuffled once and
@@ -113,8 +118,19 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
                          sums={"seg": is_add.cast("long"),
                                "_vp": F.when(is_add, F.col("n_valid")).otherwise(0).cast("long")},
                          lasts={"ats": F.when(is_add, F.col("ts_ms"))})
-    r0 = (F.col("action") == "clear") | ((F.col("action") == "commit") & (F.col("commit_ts") == F.col("ats")))
-    c = materialize(c.withColumn("r0", F.coalesce(r0, F.lit(False))))
+    if events.where((F.col("action") == "commit") & ~F.col("auth_ok")).isEmpty():
+        met = (F.col("action") == "commit") & (F.col("commit_ts") == F.col("ats"))
+        closes = met
+    else:
+        c = materialize(c)
+        n_parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hits = commit_hits(c).withColumn("_hit", F.lit(True)).repartition(n_parts, "user_id", "_bkt")
+        c = c.join(hits, ["user_id", "_bkt", "seq"], "left")
+        met = F.col("_hit").isNotNull()
+        closes = met & _authenticated()
+    c = c.withColumns({"met": F.coalesce(met, F.lit(False)),
+                       "r0": F.coalesce((F.col("action") == "clear") | closes, F.lit(False))}).drop("_hit")
+    c = materialize(c)
     c = bucketed_running(c, ["user_id"], ["seq"], "_bkt",
                          maxs_before={"_r0_seg": F.when(F.col("r0"), F.col("seg"))})
     c = c.withColumn("reset", F.col("r0") & ~F.coalesce(F.col("_r0_seg") == F.col("seg"), F.lit(False)))
@@ -125,13 +141,58 @@ def cart_epochs(events: DataFrame, catalog: DataFrame, seq_bucket: int = SEQ_BUC
     c = (c.withColumn("epoch", F.col("_resets") - F.col("reset").cast("long"))
           .withColumn("n", F.col("_vp") - F.coalesce(F.col("_vp_reset"), F.lit(0)))
           .drop("_r0_seg", "_resets", "_vp_reset", "_vp"))
-    refused = F.raise_error(F.lit("cart_epochs takes authenticated commits; use streaming.cart_state for refused ones"))
     outcome = (F.when(F.col("action") != "commit", F.lit(None).cast("string"))
-               .when(~F.coalesce(F.col("auth_ok"), F.lit(True)), refused.cast("string"))
                .when(F.col("n") == 0, OUTCOME_EMPTY)
-               .when(F.col("commit_ts") == F.col("ats"), OUTCOME_COMMITTED)
+               .when(F.col("met") & _authenticated(), OUTCOME_COMMITTED)
+               .when(F.col("met"), OUTCOME_FAILED)
                .otherwise(OUTCOME_OUT_OF_DATE))
-    return c.withColumn("outcome", outcome)
+    return c.withColumn("outcome", outcome).drop("met")
+
+
+def _authenticated():
+    return F.coalesce(F.col("auth_ok"), F.lit(True))
+
+
+def commit_hits(commands: DataFrame) -> DataFrame:
+    """The commits whose timestamp meets the cart's version, were the cart not
+    empty: user_id, _bkt, seq.  Input: commands with ``seg`` and ``_bkt``.
+
+    Within a segment (an add and what follows it up to the next add) the
+    version starts as the add's time; a commit that meets it ends the cart, or
+    if refused makes its own time the version.  So each of these *sources* of a
+    version leads to the first later commit of that timestamp.  With the number
+    of commits of a timestamp before a source, and each commit's number among
+    them, that is an equal join.  The links of refused commits are composed
+    with themselves, 1, 2, 4, ... steps at a time, until none is left: rounds
+    grow with the logarithm of the longest chain of refused commits.
+    A clear empties the cart, and no commit behind it in the segment counts as
+    one that the cart's items see (see ``cart_epochs``).
+    """
+    key = ["user_id", "seg", "value"]
+    is_commit, is_refused = F.col("action") == "commit", (F.col("action") == "commit") & ~_authenticated()
+    target = F.struct(F.col("commit_ts").alias("value"), F.lit(0).alias("kind"))
+    source = F.when((F.col("action") == "add") | is_refused, F.struct(F.col("ts_ms").alias("value"), F.lit(1).alias("kind")))
+    events = (commands.select("user_id", "seg", "_bkt", "seq", "action", is_refused.alias("refused"),
+                              F.explode(F.array(F.when(is_commit, target), source)).alias("_e"))
+              .where(F.col("_e.value").isNotNull()).select("*", "_e.value", "_e.kind").drop("_e"))
+    n = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a commit is a target before it is a source
+    numbered = bucketed_running(events.repartition(n, *key, "_bkt"), key, ["seq", "kind"], "_bkt",
+                                sums={"_targets": (F.col("kind") == 0).cast("long")})
+    numbered = shared_table(numbered, "cart-versions")
+    to = numbered.where("kind = 0").select(*key, (F.col("_targets") - 1).alias("_targets"), F.col("seq").alias("to"),
+                                           F.col("_bkt").alias("to_bkt"))
+    links = numbered.where("kind = 1").select(*key, "_targets", "action", "seq").join(to, [*key, "_targets"])
+    links = shared_table(links.select("user_id", "action", "seq", "to", "to_bkt"), "cart-links")
+    steps = links.where("action = 'commit'").drop("action")
+    hits = links.where("action = 'add'").select("user_id", F.col("to").alias("seq"), F.col("to_bkt").alias("_bkt"))
+    while not steps.isEmpty():
+        ahead = hits.select("user_id", "seq").join(steps, ["user_id", "seq"])
+        hits = shared_table(hits.unionByName(ahead.select("user_id", F.col("to").alias("seq"), F.col("to_bkt").alias("_bkt"))).distinct(), "cart-hits")
+        second = steps.select("user_id", F.col("seq").alias("to"), F.col("to").alias("_last"), F.col("to_bkt").alias("_last_bkt"))
+        steps = shared_table(steps.select("user_id", "seq", "to").join(second, ["user_id", "to"])
+                             .select("user_id", "seq", F.col("_last").alias("to"), F.col("_last_bkt").alias("to_bkt")), "cart-steps")
+    return hits.select("user_id", "_bkt", "seq").distinct()
 
 
 def commit_outcomes(epochs: DataFrame) -> DataFrame:
@@ -153,15 +214,15 @@ def cart_contents(epochs: DataFrame) -> DataFrame:
 
     The open cart is the last epoch unless that epoch was closed (by a clear
     or a successful commit), in which case it is empty.  The version is the
-    time of the last add/clear/successful commit, or of the user's first
+    time of the last add, clear, or successful or refused commit, or of the user's first
     command when there was none (the first cart's creation).  An empty open cart is one
     row with null product_id.
     """
     last = (epochs.groupBy("user_id").agg(
         F.max_by(F.struct("epoch", "reset", "action", "ts_ms", "ats"), F.col("seq")).alias("l"),
-        F.coalesce(F.max(F.when(F.col("action").isin("add", "clear") |
-                                (F.col("outcome") == OUTCOME_COMMITTED), F.col("ts_ms"))),
-                   F.min("ts_ms")).alias("cart_ts")))
+        F.coalesce(F.max_by("ts_ms", F.when(F.col("action").isin("add", "clear") |
+                                            F.col("outcome").isin(OUTCOME_COMMITTED, OUTCOME_FAILED), F.col("seq"))),
+                   F.min_by("ts_ms", "seq")).alias("cart_ts")))
     # The open epoch: the last row's epoch, plus one if the last row closed it.
     open_epoch = last.select("user_id", "cart_ts",
                              (F.col("l.epoch") + F.col("l.reset").cast("long")).alias("epoch"))

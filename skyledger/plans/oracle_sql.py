@@ -137,6 +137,21 @@ for _name, _keys in (("ht", "org, city"), ("hd", "org")):
         FROM {_name}_step JOIN {_name}_list USING ({_keys}) WHERE ts[i] - w > 60000""")
     CTES[f"{_name}_rows"] = (("en",), f"SELECT *, row_number() OVER (PARTITION BY {_keys} ORDER BY arrival_seq) AS rn FROM en")
 
+# carts with refused authentication, command by command: the state after command rn
+CTES["rc"] = (("v",), "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn, seq % 7 <> 0 AS ok FROM v")
+CTES["rc_step"] = (("rc",), """SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, ts_ms, NULL::BIGINT AS commit_ts, NULL::VARCHAR AS action,
+        NULL::VARCHAR AS product_id, 0::BIGINT AS n_valid, ts_ms AS version, 0::BIGINT AS n, 0::BIGINT AS epoch, NULL::VARCHAR AS outcome
+        FROM rc WHERE rn = 1
+        UNION ALL SELECT c.user_id, c.rn, c.seq, c.ts_ms, c.commit_ts, c.action, c.product_id, c.n_valid,
+        CASE WHEN c.action <> 'commit' OR (s.n > 0 AND c.commit_ts = s.version) THEN c.ts_ms ELSE s.version END,
+        CASE WHEN c.action = 'add' THEN s.n + c.n_valid WHEN c.action = 'clear' OR (c.commit_ts = s.version AND c.ok) THEN 0 ELSE s.n END,
+        s.epoch + CASE WHEN c.action = 'clear' OR (c.action = 'commit' AND s.n > 0 AND c.commit_ts = s.version AND c.ok) THEN 1 ELSE 0 END,
+        CASE WHEN c.action <> 'commit' THEN NULL WHEN s.n = 0 THEN 'CartEmpty'
+             WHEN c.commit_ts = s.version THEN CASE WHEN c.ok THEN 'CartCommitted' ELSE 'CartCommitFailed' END ELSE 'CartOutOfDate' END
+        FROM rc_step s JOIN rc c ON c.user_id = s.user_id AND c.rn = s.rn + 1""")
+CTES["rc_items"] = (("rc_step",), """SELECT user_id, epoch, product_id, CAST(sum(n_valid) AS BIGINT) AS qty FROM rc_step
+        WHERE n_valid > 0 GROUP BY user_id, epoch, product_id""")
+
 
 def sql(body: str, *needs: str) -> str:
     order: list[str] = []
@@ -159,6 +174,11 @@ def sql(body: str, *needs: str) -> str:
 R6 = "round({c}, 6) AS {a}"
 
 
+REFUSED_KPIS = sql("""SELECT CAST(coalesce(sum(n_valid), 0) AS BIGINT) AS products_added,
+        count(*) FILTER (outcome = 'CartCommitted') AS carts_committed,
+        count(*) FILTER (outcome = 'CartOutOfDate') AS carts_out_of_date,
+        count(*) FILTER (outcome = 'CartCommitFailed') AS cart_commit_failed FROM rc_step""", "rc_step")
+
 ORACLE: dict[str, str] = {
     # --- telemetry -------------------------------------------------------
     "pack_measurements": sql("SELECT * FROM pk", "pk"),
@@ -242,6 +262,15 @@ ORACLE: dict[str, str] = {
         qty AS n_ids FROM ce WHERE action = 'add'""", "ce"),
     "cart_epochs": sql("""SELECT user_id, seq, action, CAST(epoch AS BIGINT) AS epoch, reset,
         CAST(n AS BIGINT) AS n FROM ep""", "ep"),
+    "refused_commit_outcomes": sql("SELECT user_id, seq, ts_ms, commit_ts, outcome FROM rc_step WHERE action = 'commit'", "rc_step"),
+    "refused_cart_contents": sql("""SELECT l.user_id, l.version AS cart_ts, i.product_id, i.qty
+        FROM (SELECT user_id, arg_max(version, rn) AS version, arg_max(epoch, rn) AS epoch FROM rc_step GROUP BY user_id) l
+        LEFT JOIN rc_items i ON l.user_id = i.user_id AND l.epoch = i.epoch""", "rc_items"),
+    "refused_committed_carts": sql("""SELECT w.user_id, w.commit_ts, 'Committed' AS status, i.product_id, i.qty
+        FROM (SELECT user_id, commit_ts, arg_max(epoch, rn) - 1 AS epoch FROM rc_step WHERE outcome = 'CartCommitted'
+              GROUP BY user_id, commit_ts) w JOIN rc_items i ON w.user_id = i.user_id AND w.epoch = i.epoch""", "rc_items"),
+    "refused_cart_kpis": REFUSED_KPIS,
+    "cart_fold_refused_auth_kpis": REFUSED_KPIS,
     "commit_outcomes": sql("SELECT user_id, seq, ts_ms, commit_ts, outcome FROM ep WHERE action = 'commit'", "ep"),
     "cart_contents": sql("SELECT * FROM d9", "d9"),
     "committed_carts": sql("SELECT * FROM d11", "d11"),

@@ -255,6 +255,27 @@ def q_cart_kpis(spark, d):
     return C.cart_kpis(_epochs(spark, d))
 
 
+def _refused_epochs(spark, d):
+    """Every seventh command's authentication fails."""
+    return C.cart_epochs(FX.cart_events(spark, d, auth="seq7"), FX.catalog(spark, d))
+
+
+def q_refused_commit_outcomes(spark, d):
+    return C.commit_outcomes(_refused_epochs(spark, d))
+
+
+def q_refused_cart_contents(spark, d):
+    return C.cart_contents(_refused_epochs(spark, d)).withColumn("qty", F.col("qty").cast("long"))
+
+
+def q_refused_committed_carts(spark, d):
+    return C.committed_carts(_refused_epochs(spark, d)).withColumn("qty", F.col("qty").cast("long"))
+
+
+def q_refused_cart_kpis(spark, d):
+    return C.cart_kpis(_refused_epochs(spark, d))
+
+
 def q_cart_reconcile(spark, d):
     """Expected = every id the client added in the open epoch (valid or not);
     actual = the server's open cart."""

@@ -99,6 +99,61 @@ def test_window_version_equals_python_fold(spark, seed):
     assert com == {(u, ct): items for u, (_, _, _, c) in ref.items() for ct, items in c.items()}
 
 
+def _check_epochs(ep, ref):
+    want = {(u, s): o for u, (outs, _, _, _) in ref.items() for s, o in outs.items()}
+    assert {(r.user_id, r.seq): r.outcome for r in C.commit_outcomes(ep).collect()} == want
+    carts = {}
+    for r in C.cart_contents(ep).collect():
+        carts.setdefault(r.user_id, [r.cart_ts, {}])
+        if r.product_id is not None:
+            carts[r.user_id][1][r.product_id] = r.qty
+    assert carts == {u: [ver, items] for u, (_, items, ver, _) in ref.items()}
+    com = {}
+    for r in C.committed_carts(ep).collect():
+        com.setdefault((r.user_id, r.commit_ts), {})[r.product_id] = r.qty
+    assert com == {(u, ct): items for u, (_, _, _, c) in ref.items() for ct, items in c.items()}
+    kpis = C.cart_kpis(ep).first()
+    assert [kpis.carts_committed, kpis.carts_out_of_date, kpis.cart_commit_failed] == [
+        sum(o == x for o in want.values()) for x in ("CartCommitted", "CartOutOfDate", "CartCommitFailed")]
+    return set(want.values())
+
+
+def _retry_rows(seed, n=300):
+    """Clients that retry refused commits with the version they moved to: long
+    chains, equal times of neighbouring commands, clears and useless adds between."""
+    rnd = random.Random(seed)
+    rows, version, ts = [], {}, 1000
+    for seq in range(n):
+        u = f"u{rnd.randrange(3)}"
+        ts += rnd.choice([0, 0, 1, 5])
+        a = rnd.choices(["add", "clear", "commit"], [2, 1, 12])[0]
+        ids = [rnd.choice(CAT_IDS + ["bad", "bad"]) for _ in range(rnd.randint(0, 3))] if a == "add" else []
+        ct = rnd.choice([version.get(u, 0)] * 5 + [version.get(u, 0) - 1, ts, None]) if a == "commit" else None
+        ok = rnd.random() < 0.1
+        if a != "commit" or ct == version.get(u):
+            version[u] = ts
+        rows.append((u, seq, ts, a, ids, ct, ok))
+    return rows
+
+
+@pytest.mark.parametrize("seq_bucket", [16, 1 << 16])
+def test_window_version_with_refusals_equals_python_fold(spark, seq_bucket):
+    for rows in (EDGE, _random_rows(3, refuse=True), _retry_rows(5), _retry_rows(6)):
+        ep = C.cart_epochs(_events(spark, rows), _catalog(spark), seq_bucket)
+        seen = _check_epochs(ep, _py(rows, auth=None))
+        assert "CartCommitFailed" in seen
+
+
+def test_one_long_chain_of_refused_commits(spark):
+    n = 150
+    rows = [("u", 0, 100, "add", ["1"], None, True)]
+    rows += [("u", i, 100 + i, "commit", [], 99 + i, i == n) for i in range(1, n + 1)]
+    rows += [("u", n + 1, 500, "commit", [], 100 + n, True)]
+    ep = C.cart_epochs(_events(spark, rows), _catalog(spark), 32)
+    outs = {r.seq: r.outcome for r in C.commit_outcomes(ep).collect()}
+    assert outs == {**{i: "CartCommitFailed" for i in range(1, n)}, n: "CartCommitted", n + 1: "CartEmpty"}
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_stateful_fold_with_refusals_equals_python_fold(spark, seed):
     rows = _random_rows(seed, refuse=True)
@@ -133,7 +188,6 @@ def test_validation_and_reconcile(spark):
 
 def test_get_cart_unknown_user_is_empty_open_cart(spark):
     from skyledger.operators.lookups import get_cart
-    # cart_epochs takes authenticated commits only.
     ev, cat = _events(spark, EDGE).withColumn("auth_ok", F.lit(True)), _catalog(spark)
     carts = C.cart_contents(C.cart_epochs(ev, cat))
     req = spark.createDataFrame([("u4",), ("nobody",)], "user_id string")

@@ -1,6 +1,6 @@
 import __spark_entry__ as E
 
-NO_ORACLE = {"cart_fold_refused_auth_kpis", "temperature_replies_json"}
+NO_ORACLE = {"temperature_replies_json"}
 
 
 def test_entry_runs(spark):
