@@ -1,10 +1,9 @@
 """Sliding-window summaries of enriched measurements.
 
 Windows are event-time windows of ``window`` length every ``slide``
-(defaults 60 s / 10 s), [start, end), as Spark's ``window``; they work the
-same on a batch and on a stream with a watermark.  The reference's own
-slide-on-arrival rule is a different function: see
-:mod:`skyledger.streaming.arrival_window`.
+(defaults 60 s / 10 s), [start, end), as Spark's ``window``, made from panes
+(:mod:`skyledger.operators.panes`).  The reference's own slide-on-arrival rule
+is a different function: see :mod:`skyledger.operators.arrival`.
 
 Sets (drone ids per org, per city) are kept as long rows ``(keys..., id)``
 rather than collected arrays, so no group is gathered into one row; the
@@ -15,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.operators import panes as P
+
 WINDOW = "60 seconds"
 SLIDE = "10 seconds"
 
@@ -23,41 +24,44 @@ MAX_ORG_CITY_GROUPS = 50000
 MAX_ORG_GROUPS = 10000
 
 
-def _window(window: str, slide: str):
-    return F.window(F.timestamp_millis("ts_ms"), window, slide).alias("w")
-
-
-def _window_cols():
-    return [F.unix_millis(F.col("w.start")).alias("window_start_ms"),
-            F.unix_millis(F.col("w.end")).alias("window_end_ms")]
-
-
 def avg_city_temperature(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE,
                          order_cols: tuple[str, ...] = ("arrival_seq",)) -> DataFrame:
     """D1 (+E3): mean temperature per (org, city, window); id, timestamp and
     location come from the first arrived row of the window.  Averages use
-    double precision."""
+    double precision.  Rows without a time are in no window."""
+    s = P.Sliding.of(window, slide)
     order = [c for c in order_cols if c in enriched.columns] or ["ts_ms"]
-    first = F.min_by(F.struct("id", "ts_ms", "lat", "lon"), F.struct(*order))
-    g = (enriched.groupBy("org", "city", _window(window, slide))
-         .agg(F.avg("temperature").alias("avg_temperature"),
-              F.count(F.lit(1)).alias("n"),
-              first.alias("_first")))
-    return g.select("org", "city", *_window_cols(), "avg_temperature", "n",
-                    F.col("_first.id").alias("first_id"), F.col("_first.ts_ms").alias("first_ts_ms"),
-                    F.col("_first.lat").alias("first_lat"), F.col("_first.lon").alias("first_lon"))
+    return P.windows_of_panes(P.city_panes(enriched.where(F.col("ts_ms").isNotNull()), s, order), s)
+
+
+def _ids(enriched: DataFrame, keys: list[str], window: str, slide: str) -> DataFrame:
+    s = P.Sliding.of(window, slide)
+    panes = P.id_panes(enriched.where(F.col("ts_ms").isNotNull()), s, keys)
+    return P.id_windows(panes, s, keys).select("org", *s.columns("k"), *keys[1:], "id")
 
 
 def drones_per_org(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
     """Distinct drone ids per org and window, one row per (org, window, id)."""
-    return (enriched.select("org", _window(window, slide), "id").distinct()
-            .select("org", *_window_cols(), "id"))
+    return _ids(enriched, ["org"], window, slide)
 
 
 def drones_per_city(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
     """D3: distinct drone ids per (org, window, city), one row per id."""
-    return (enriched.select("org", _window(window, slide), "city", "id").distinct()
-            .select("org", *_window_cols(), "city", "id"))
+    return _ids(enriched, ["org", "city"], window, slide)
+
+
+def newest_city_temperature(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
+    """D4 straight from the measurements: equals ``latest_city_temperature`` of
+    D1, without making its windows."""
+    s = P.Sliding.of(window, slide)
+    return P.latest_city_state(P.latest_city_rows(enriched.where(F.col("ts_ms").isNotNull()), s), s)
+
+
+def newest_drone_summary(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE) -> DataFrame:
+    """D5 straight from the measurements: equals ``latest_drone_summary`` of D3,
+    without making its windows."""
+    s = P.Sliding.of(window, slide)
+    return P.latest_id_state(P.latest_id_rows(enriched.where(F.col("ts_ms").isNotNull()), s), s)
 
 
 def drone_counts(per_org: DataFrame) -> DataFrame:

@@ -34,12 +34,12 @@ def _r6(c: str, alias: str | None = None):
 
 # --- shared building blocks -------------------------------------------------
 
-def _enriched(spark, d):
-    return T.enrich(FX.measurements(spark, d), FX.places(spark, d))
+def _enriched(spark, d, orgs=None):
+    return T.enrich(FX.measurements(spark, d), FX.places(spark, d), orgs=orgs)
 
 
-def _summaries(spark, d):
-    return T.summaries(_enriched(spark, d))
+def _summaries(spark, d, orgs=None):
+    return T.summaries(_enriched(spark, d, orgs))
 
 
 def _requests(spark, d):
@@ -150,24 +150,25 @@ def q_fan_out(spark, d):
 
 def q_get_cities(spark, d):
     req = _requests(spark, d).select("org").distinct()
-    return G.get_cities(req, _summaries(spark, d)["latest_city_temperature"])
+    return G.get_cities(req, _summaries(spark, d, req)["latest_city_temperature"])
 
 
 def q_get_cities_lists(spark, d):
     """G1 reply shape: one reply a request; requested orgs repeat, some are unknown."""
     req = _requests(spark, d).select("org")
-    g = G.get_cities_lists(req, _summaries(spark, d)["latest_city_temperature"])
+    g = G.get_cities_lists(req, _summaries(spark, d, req)["latest_city_temperature"])
     return g.select("org", F.array_join("cities", "|").alias("cities"))
 
 
 def q_get_temperature(spark, d):
-    g = G.get_temperature(_requests(spark, d), _summaries(spark, d)["latest_city_temperature"])
+    req = _requests(spark, d)
+    g = G.get_temperature(req, _summaries(spark, d, req)["latest_city_temperature"])
     return g.select("org", "city", _r6("cityTemperature"))
 
 
 def q_get_drone_summary(spark, d):
     req = _requests(spark, d).select("org").distinct()
-    return G.get_drone_summary(req, _summaries(spark, d)["latest_drone_summary"])
+    return G.get_drone_summary(req, _summaries(spark, d, req)["latest_drone_summary"])
 
 
 def q_sorted_orgs(spark, d):

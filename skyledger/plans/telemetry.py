@@ -12,10 +12,15 @@ from skyledger.operators.nearest import nearest_place
 
 
 def enrich(measurements: DataFrame, places: DataFrame, num_orgs: int = DEFAULT_NUM_ORGS,
-           num_places: int | None = None, depth: int | None = None) -> DataFrame:
+           num_places: int | None = None, depth: int | None = None,
+           orgs: DataFrame | None = None) -> DataFrame:
     """Measurements -> org (B2) -> nearest place (C1) -> qualified city.
-    Measurements without a usable location are ``split_locations``' rejects."""
+    Measurements without a usable location are ``split_locations``' rejects.
+    ``orgs`` (a column ``org``) keeps those orgs' measurements only: the org is
+    known before C1, so others never meet a place."""
     m = with_org(split_locations(measurements)[0], num_orgs)
+    if orgs is not None:
+        m = m.join(orgs.select("org").distinct(), "org", "left_semi")
     m = nearest_place(m, places, num_places=num_places, depth=depth)
     return m.withColumn("city", qualified_name("name", "province", "country"))
 
@@ -23,15 +28,11 @@ def enrich(measurements: DataFrame, places: DataFrame, num_orgs: int = DEFAULT_N
 def summaries(enriched: DataFrame, window: str = S.WINDOW, slide: str = S.SLIDE,
               order_cols: tuple[str, ...] = ("arrival_seq",)) -> dict[str, DataFrame]:
     """Both summaries and their latest-state tables from one enriched input."""
-    temps = S.avg_city_temperature(enriched, window, slide, order_cols)
-    per_city = S.drones_per_city(enriched, window, slide)
-    latest_temps = S.latest_city_temperature(temps)
-    latest_summary = S.latest_drone_summary(per_city)
     return {
-        "city_temperature": temps,
-        "drones_per_city": per_city,
-        "latest_city_temperature": latest_temps,
-        "latest_drone_summary": latest_summary,
+        "city_temperature": S.avg_city_temperature(enriched, window, slide, order_cols),
+        "drones_per_city": S.drones_per_city(enriched, window, slide),
+        "latest_city_temperature": S.newest_city_temperature(enriched, window, slide),
+        "latest_drone_summary": S.newest_drone_summary(enriched, window, slide),
     }
 
 
