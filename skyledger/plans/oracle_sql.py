@@ -206,6 +206,28 @@ ORACLE: dict[str, str] = {
         FROM hd_fired JOIN hd_rows USING (org) WHERE rn BETWEEN f AND i""", "hd_fired", "hd_rows"),
     "drones_per_org": sql("SELECT * FROM d2", "d2"),
     "drones_per_city": sql("SELECT * FROM d3", "d3"),
+    "kept_drones_per_city": sql("SELECT * FROM d3", "d3"),
+    "kept_get_drone_summary": sql("""SELECT r.org, d5.city, d5.id FROM (SELECT DISTINCT org FROM preq) r
+        LEFT JOIN d5 ON r.org = d5.org""", "preq", "d5"),
+    "kept_get_cities": sql("""SELECT r.org, k.city FROM (SELECT DISTINCT org FROM preq) r
+        LEFT JOIN (SELECT DISTINCT org, city FROM d4) k ON r.org = k.org""", "preq", "d4"),
+    # packets carry single-precision temperatures
+    "kept_get_temperature": sql("""SELECT r.org, r.city, round(f.t, 6) AS cityTemperature FROM preq r LEFT JOIN (
+        SELECT org, city, arg_max(t, window_end_ms) AS t FROM (SELECT org, city, window_end_ms,
+            avg(CAST(CAST(temperature AS FLOAT) AS DOUBLE)) AS t FROM w GROUP BY org, city, window_end_ms) GROUP BY org, city) f
+        ON r.org = f.org AND r.city = f.city""", "preq", "w"),
+    "kept_city_temperature_windows": sql("""SELECT org, city, window_start_ms, window_end_ms,
+        round(avg(CAST(CAST(temperature AS FLOAT) AS DOUBLE)), 6) AS avg_temperature, count(*) AS n,
+        arg_min(id, at) AS first_id, arg_min(ts_ms, at) AS first_ts_ms
+        FROM (SELECT w.*, q.at FROM w JOIN (SELECT arrival_seq,
+                min(arrival_seq) OVER (PARTITION BY id, ts_ms // 10000) * 1000000
+                + row_number() OVER (PARTITION BY id, ts_ms // 10000 ORDER BY ts_ms) AS at FROM m) q USING (arrival_seq))
+        GROUP BY org, city, window_start_ms, window_end_ms""", "w", "m"),
+    "drone_summary_replies": sql("""SELECT o.org, o.ids AS drone_ids, c.cities AS drones_per_city
+        FROM (SELECT org, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT org, id FROM d5) GROUP BY org) o
+        JOIN (SELECT org, string_agg(city || '=' || ids, '|' ORDER BY city || '=' || ids) AS cities FROM (
+            SELECT org, city, string_agg(id, ',' ORDER BY id) AS ids FROM d5 GROUP BY org, city) GROUP BY org) c
+        ON o.org = c.org""", "d5"),
     "drone_counts": sql("""SELECT org, window_start_ms, window_end_ms, count(*) AS drone_count FROM d2
         GROUP BY ALL""", "d2"),
     "city_drone_counts": sql("""SELECT org, window_start_ms, window_end_ms, city, count(*) AS city_drone_count

@@ -358,56 +358,109 @@ def q_commit_outcomes_from_files(spark, d):
     return C.commit_outcomes(C.cart_epochs(read_cart_events(spark, path), FX.catalog(spark, d)))
 
 
-def q_stream_latest_city_temperature(spark, d):
-    """H1 + H4 + A5 + C6 end to end: the packets (JSON files) go through the
-    enrichment stream and the summary streams (several micro-batches, each
-    writing a new version of the latest table); the latest city temperature
-    table is returned.  Each call runs in a fresh folder under the shared
-    checkpoint dir.  The watermark (1 day) keeps every row of the test span.
-    Streaming micro-batches run without AQE, so for this run the shuffle
-    partitions (which also fix the state-store partitions of the new
-    checkpoints) are sized to the default parallelism and restored after."""
+def _state_run(spark, d, run):
+    """The packets (JSON files) through the enrichment stream and the summary
+    streams, in several micro-batches, to the state tables under ``run``.  Every
+    packet file spans the whole time, so from the second micro-batch on most rows
+    come hours late.  Streaming micro-batches run without AQE, so for this run
+    the shuffle partitions are sized to the default parallelism and restored."""
     import os
-    import uuid
-    from skyledger.session import checkpoint_dir
     from skyledger.sources.derived import derived_path, ensure_written
+    from skyledger.streaming import telemetry as ST
     packets = ensure_written(spark, derived_path(spark, d, "packets-json"),
                              lambda p: _packets(spark, d).write.mode("overwrite").json(p))
-    run = os.path.join(checkpoint_dir(spark), "stream-runs", uuid.uuid4().hex)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions",
                    str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
     try:
-        return _stream_run(spark, d, packets, run)
+        name = os.path.basename(run)
+        # about four micro-batches per stage, whatever the number of files
+        files = len(spark.read.text(packets).inputFiles())
+        ST.start_enrichment(spark, packets, FX.places(spark, d), os.path.join(run, "enriched"),
+                            os.path.join(run, "rejects"), name=f"enrich-{name}",
+                            max_files_per_trigger=max(1, -(-files // 4)),
+                            checkpoint=os.path.join(run, "ck-enrich")).awaitTermination()
+        enriched = spark.read.parquet(os.path.join(run, "enriched"))
+        per_trigger = max(1, -(-len(enriched.inputFiles()) // 4))
+        for q in ST.start_summaries(spark, os.path.join(run, "enriched"), enriched.drop("batch_id").schema,
+                                    os.path.join(run, "state"), max_files_per_trigger=per_trigger, fan=3,
+                                    prefix=f"summary-{name}", checkpoint_root=os.path.join(run, "ck-summary")):
+            q.awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+    return os.path.join(run, "state")
+
 
+def _new_state(spark, d):
+    import os
+    import uuid
+    from skyledger.session import checkpoint_dir
+    return _state_run(spark, d, os.path.join(checkpoint_dir(spark), "stream-runs", uuid.uuid4().hex))
 
-def _stream_run(spark, d, packets, run):
+
+def _kept_state(spark, d):
+    """The state tables of an earlier run of the streams over these tables; made
+    once under the shared folder, then only read."""
     import os
+    from skyledger.sources.derived import derived_path, ensure_written
+    at = derived_path(spark, d, "kept-state")
+
+    def write(path):
+        state = _new_state(spark, d)
+        spark.createDataFrame([(state,)], "state string").write.mode("overwrite").parquet(path)
+
+    ensure_written(spark, at, write)
+    return spark.read.parquet(at).first()["state"]
+
+
+def q_stream_latest_city_temperature(spark, d):
+    """H1 + H3 + H4 + A5 + C6 end to end: the latest table that the streams keep,
+    each call from a run of its own."""
+    from skyledger.streaming import telemetry as ST
+    t = ST.read_state(spark, _new_state(spark, d), "latest_city_temperature")
+    return t.select("org", "city", "window_start_ms", "window_end_ms", _r6("avg_temperature"), "n")
+
+
+def q_kept_city_temperature_windows(spark, d):
+    """H1 + H3 + D1: every window of the kept panes, late rows included."""
+    from skyledger.streaming import telemetry as ST
+    t = ST.read_state(spark, _kept_state(spark, d), "city_temperature_windows")
+    return t.select("org", "city", "window_start_ms", "window_end_ms", _r6("avg_temperature"), "n", "first_id", "first_ts_ms")
+
+
+def q_kept_drones_per_city(spark, d):
+    """H1 + H3 + D3 from the kept panes."""
+    from skyledger.streaming import telemetry as ST
+    return ST.read_state(spark, _kept_state(spark, d), "drones_per_city_windows")
+
+
+def q_kept_get_temperature(spark, d):
+    """G2 from kept state: no raw event is read, and only the requested orgs' folders."""
     from skyledger.streaming import telemetry as ST
-    places = FX.places(spark, d)
-    # about four micro-batches per stage, whatever the number of files
-    n_packet_files = len(spark.read.text(packets).inputFiles())
-    q = ST.start_enrichment(spark, packets, places, os.path.join(run, "enriched"),
-                            os.path.join(run, "rejects"), name=f"enrich-{os.path.basename(run)}",
-                            max_files_per_trigger=max(1, -(-n_packet_files // 4)),
-                            checkpoint=os.path.join(run, "ck-enrich"))
-    q.awaitTermination()
-    enriched = spark.read.parquet(os.path.join(run, "enriched"))
-    per_trigger = max(1, -(-len(enriched.inputFiles()) // 4))
-    for sq in ST.start_summaries(spark, os.path.join(run, "enriched"), enriched.drop("batch_id").schema,
-                                 os.path.join(run, "state"), watermark="1 day",
-                                 max_files_per_trigger=per_trigger,
-                                 prefix=f"summary-{os.path.basename(run)}",
-                                 checkpoint_root=os.path.join(run, "ck-summary")):
-        sq.awaitTermination()
-    t = ST.read_state(spark, os.path.join(run, "state"), "latest_city_temperature")
-    # materialized while the run's settings hold; the result is a small table
-    out = os.path.join(run, "result")
-    t.select("org", "city", "window_start_ms", "window_end_ms", _r6("avg_temperature"), "n") \
-        .write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    req = _requests(spark, d)
+    g = G.get_temperature(req, ST.read_state(spark, _kept_state(spark, d), "latest_city_temperature", req))
+    return g.select("org", "city", _r6("cityTemperature"))
+
+
+def q_kept_get_cities(spark, d):
+    """G1 from kept state."""
+    from skyledger.streaming import telemetry as ST
+    req = _requests(spark, d).select("org").distinct()
+    return G.get_cities(req, ST.read_state(spark, _kept_state(spark, d), "latest_city_temperature", req))
+
+
+def q_kept_get_drone_summary(spark, d):
+    """G3 from kept state."""
+    from skyledger.streaming import telemetry as ST
+    req = _requests(spark, d).select("org").distinct()
+    return G.get_drone_summary(req, ST.read_state(spark, _kept_state(spark, d), "latest_drone_summary", req))
+
+
+def q_drone_summary_replies(spark, d):
+    """G3 reply shape: the ids of an org and of each of its cities as sorted lists."""
+    sets = S.drone_summary_sets(_summaries(spark, d)["latest_drone_summary"])
+    cities = F.array_sort(F.transform(F.map_entries("dronesPerCity"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ","))))
+    return sets.select("org", F.array_join("droneIds", ",").alias("drone_ids"), F.array_join(cities, "|").alias("drones_per_city"))
 
 
 # --- order-dependent operators (H2; H5 batch twin) -------------------------------------

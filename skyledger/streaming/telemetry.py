@@ -7,10 +7,14 @@ Two stages, each a Structured Streaming query with its own checkpoint:
    aggregates, which a stream cannot do before the window aggregation).
    Each batch is written once to ``<out>/batch_id=<n>``: a replayed batch
    that already committed is skipped, so the enriched table is exactly once.
-2. :func:`start_summaries` - the enriched table as a stream -> event-time
-   sliding windows with a watermark (H1) -> update mode -> versioned
-   latest-state tables (H4/A5).  Both summaries read every enriched row
-   (C6): one query each, sharing the input.
+2. :func:`start_summaries` - the enriched table as a stream -> panes ->
+   state tables kept as change logs (H1/H4/A5), which late rows correct (H3).
+   Both summaries read every enriched row (C6): one query each, sharing the
+   input.
+
+:func:`city_temperature_stream` and :func:`drones_per_city_stream` are the
+windows as plain streams with a watermark, which drops rows behind it, for
+sinks of one's own.
 
 Rate control (H6) is the source's ``maxFilesPerTrigger``; nothing is
 dropped.  Throughput (D15) is published with ``observe``.
@@ -18,10 +22,9 @@ dropped.  Throughput (D15) is published with ``observe``.
 
 from __future__ import annotations
 
-import functools
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.functions.orgs import DEFAULT_NUM_ORGS
@@ -31,32 +34,42 @@ from skyledger.operators.nearest import place_stats
 from skyledger.plans.telemetry import enrich
 from skyledger.session import stream_checkpoint
 from skyledger.sources.files import CORRUPT, read_packets, split_packets
-from skyledger.streaming.state_tables import (VersionedTable, hadoop_path_exists,
-                                              merge_latest_city_temperature,
-                                              merge_latest_drone_summary, merge_windows)
+from skyledger.streaming.state_tables import StateTables, hadoop_path_exists
 
 ENRICHED_COLUMNS = ["id", "arrival_seq", "arrival_pos", "ts_ms", "temperature", "lat", "lon",
                     "org", "place_id", "name", "province", "country", "city"]
 
 
+def numbered(batch: DataFrame, name: str) -> DataFrame:
+    """``batch`` with ``name``: its rows' numbers from 0, without gaps, in the order
+    of its partitions.  ``batch`` is persisted, so both reads see the same ones;
+    the table of partition sizes has one row for each."""
+    at = batch.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    sizes = at.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return at.join(before, "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+
+
 def _enrich_batch(places: DataFrame, out: str, rejects_out: str, num_orgs: int,
                   stats: dict[str, int]):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = f"{out}/batch_id={batch_id}"
         if hadoop_path_exists(spark, f"{target}/_SUCCESS"):
-            return   # replay of a committed batch
+            return   # replay of a committed batch; its rejects were written before it
         batch = batch.persist()   # read once, used by the valid and reject branches
-        valid, rejected = split_packets(batch)
-        # Packets without an arrival_seq: the batch, then the position in the
-        # batch (monotonic id; assumes fewer than 128 input partitions per batch).
-        valid = valid.withColumn("arrival_seq", F.coalesce(
-            F.col("arrival_seq"), F.lit(batch_id).cast("long") * (1 << 40) + F.monotonically_increasing_id()))
-        flat = flatten_measurements(valid)
-        e = enrich(flat, places, num_orgs, **stats).select(*ENRICHED_COLUMNS)
-        e.write.mode("overwrite").parquet(target)
-        rejected.write.mode("overwrite").parquet(f"{rejects_out}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            valid, rejected = split_packets(batch)
+            rejected.write.mode("overwrite").parquet(f"{rejects_out}/batch_id={batch_id}")
+            # Packets without an arrival_seq: the batch, then the position in the batch.
+            valid = numbered(valid, "_no")
+            valid = valid.withColumn("arrival_seq", F.coalesce(
+                F.col("arrival_seq"), F.lit(batch_id).cast("long") * (1 << 40) + F.col("_no"))).drop("_no")
+            flat = flatten_measurements(valid)
+            e = enrich(flat, places, num_orgs, **stats).select(*ENRICHED_COLUMNS)
+            e.write.mode("overwrite").parquet(target)
+        finally:
+            batch.unpersist()
     return write
 
 
@@ -110,37 +123,21 @@ def drones_per_city_stream(enriched: DataFrame, watermark: str = "2 minutes",
 
 
 def start_summaries(spark: SparkSession, enriched_path: str, schema, state_path: str, *,
-                    watermark: str = "2 minutes", max_files_per_trigger: int | None = None,
+                    max_files_per_trigger: int | None = None,
                     available_now: bool = True, prefix: str = "summary",
-                    checkpoint_root: str | None = None,
-                    latest_ttl_ms: int | None = None) -> list[StreamingQuery]:
+                    checkpoint_root: str | None = None, fan: int = 8) -> list[StreamingQuery]:
     """Stage 2: both summaries over the enriched stream (C6), each kept as a
-    windows table and a latest table (H4/A5).  Checkpoints go under
-    ``checkpoint_root`` or else the session's shared checkpoint dir.
-    ``latest_ttl_ms`` bounds the latest city temperatures (D4 keeps stale
-    cities for good otherwise)."""
+    table of panes and a latest table (H4/A5, see ``state_tables``).  What a
+    micro-batch adds is written as changes, so a row may come as late as it
+    likes (H3): its pane, and with it every window that holds the row, is
+    corrected.  Checkpoints go under ``checkpoint_root`` or else the session's
+    shared checkpoint dir."""
     src = enriched_stream(spark, enriched_path, schema, max_files_per_trigger)
     src = src.observe("enriched", F.count(F.lit(1)).alias("rows"))
-    temps_windows = VersionedTable(os.path.join(state_path, "city_temperature_windows"), merge_windows)
-    temps_latest = VersionedTable(os.path.join(state_path, "latest_city_temperature"),
-                                  functools.partial(merge_latest_city_temperature, ttl_ms=latest_ttl_ms))
-    drones_latest = VersionedTable(os.path.join(state_path, "latest_drone_summary"),
-                                   merge_latest_drone_summary)
-    drones_windows = VersionedTable(os.path.join(state_path, "drones_per_city_windows"), merge_windows)
-
-    def temps_sink(batch, bid):
-        temps_windows(batch, bid)
-        temps_latest(batch.select("org", "city", "window_start_ms", "window_end_ms",
-                                  "avg_temperature", "n"), bid)
-
-    def drones_sink(batch, bid):
-        drones_windows(batch, bid)
-        drones_latest(batch, bid)
-
+    tables = StateTables(state_path, fan=fan)
     queries = []
-    for name, df, sink in ((f"{prefix}-by-org", city_temperature_stream(src, watermark), temps_sink),
-                           (f"{prefix}-by-city", drones_per_city_stream(src, watermark), drones_sink)):
-        w = (df.writeStream.queryName(name).outputMode("update").foreachBatch(sink)
+    for name, sink in ((f"{prefix}-by-org", tables.add_temperatures), (f"{prefix}-by-city", tables.add_drones)):
+        w = (src.writeStream.queryName(name).foreachBatch(sink)
              .option("checkpointLocation", os.path.join(checkpoint_root, name) if checkpoint_root
                      else stream_checkpoint(spark, name)))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -148,8 +145,7 @@ def start_summaries(spark: SparkSession, enriched_path: str, schema, state_path:
     return queries
 
 
-def read_state(spark: SparkSession, state_path: str, table: str) -> DataFrame | None:
-    merge = {"city_temperature_windows": merge_windows, "drones_per_city_windows": merge_windows,
-             "latest_city_temperature": merge_latest_city_temperature,
-             "latest_drone_summary": merge_latest_drone_summary}[table]
-    return VersionedTable(os.path.join(state_path, table), merge).read(spark)
+def read_state(spark: SparkSession, state_path: str, table: str, orgs: DataFrame | None = None,
+               ttl_ms: int | None = None) -> DataFrame:
+    """A table kept by ``start_summaries`` (see ``StateTables.read``)."""
+    return StateTables(state_path).read(spark, table, orgs, ttl_ms)

@@ -48,7 +48,7 @@ def test_telemetry_stream_equals_batch(spark, scratch):
 
     state = os.path.join(scratch, "state")
     schema = enriched.drop("batch_id").schema
-    qs = ST.start_summaries(spark, enriched_dir, schema, state, watermark="1 hour",
+    qs = ST.start_summaries(spark, enriched_dir, schema, state, fan=2,
                             max_files_per_trigger=1, prefix="t-summary",
                             checkpoint_root=os.path.join(scratch, "ck-summary"))
     for x in qs:

@@ -90,7 +90,7 @@ def test_summaries_resume_from_checkpoint(spark, scratch):
         part.where(F.col("_p") == i).drop("_p").coalesce(1).write.parquet(os.path.join(src, f"b{i}"))
         time.sleep(1.1)
     run = lambda: [q.awaitTermination() for q in ST.start_summaries(
-        spark, src + "/*", e.schema, state, watermark="1 hour", max_files_per_trigger=1,
+        spark, src + "/*", e.schema, state, max_files_per_trigger=1,
         prefix="resume", checkpoint_root=ck)]
     run()
     for i in (3, 4):

@@ -48,15 +48,15 @@ def test_drone_summaries_and_lookups(spark):
     assert guard.org_city_groups == 3 and guard.within_limits is False
 
 
-def test_latest_city_temperature_ttl(spark):
-    from skyledger.streaming.state_tables import merge_latest_city_temperature
-    cols = "org string, city string, window_start_ms long, window_end_ms long, avg_temperature double, n long, batch_id long"
-    prev = spark.createDataFrame([("Org 1", "a", 0, 60_000, 1.0, 1, 0), ("Org 1", "b", 0, 60_000, 2.0, 1, 0)], cols)
-    batch = spark.createDataFrame([("Org 1", "a", 500_000, 560_000, 3.0, 2, 1)], cols)
-    keep = {r.city: r.avg_temperature for r in merge_latest_city_temperature(prev, batch).collect()}
+def test_latest_city_temperature_ttl(spark, scratch):
+    from skyledger.streaming.state_tables import StateTables
+    cols = "org string, city string, k long, total double, n_temperature long, n long"
+    tables = StateTables(scratch + "/state")
+    tables.city_latest.add(spark.createDataFrame([("Org 1", "a", 0, 1.0, 1, 1), ("Org 1", "b", 0, 2.0, 1, 1)], cols), 0)
+    tables.city_latest.add(spark.createDataFrame([("Org 1", "a", 50, 6.0, 2, 2)], cols), 1)
+    keep = {r.city: r.avg_temperature for r in tables.read(spark, "latest_city_temperature").collect()}
     assert keep == {"a": 3.0, "b": 2.0}          # stale city kept (reference behaviour)
-    ttl = {r.city for r in merge_latest_city_temperature(prev, batch, ttl_ms=100_000).collect()}
-    assert ttl == {"a"}
+    assert {r.city for r in tables.read(spark, "latest_city_temperature", ttl_ms=100_000).collect()} == {"a"}
 
 
 def test_org_report_and_fan_out(spark):
