@@ -218,10 +218,10 @@ ORACLE: dict[str, str] = {
         ON r.org = f.org AND r.city = f.city""", "preq", "w"),
     "kept_city_temperature_windows": sql("""SELECT org, city, window_start_ms, window_end_ms,
         round(avg(CAST(CAST(temperature AS FLOAT) AS DOUBLE)), 6) AS avg_temperature, count(*) AS n,
-        arg_min(id, at) AS first_id, arg_min(ts_ms, at) AS first_ts_ms
-        FROM (SELECT w.*, q.at FROM w JOIN (SELECT arrival_seq,
+        arg_min(id, ord) AS first_id, arg_min(ts_ms, ord) AS first_ts_ms
+        FROM (SELECT w.*, q.ord FROM w JOIN (SELECT arrival_seq,
                 min(arrival_seq) OVER (PARTITION BY id, ts_ms // 10000) * 1000000
-                + row_number() OVER (PARTITION BY id, ts_ms // 10000 ORDER BY ts_ms) AS at FROM m) q USING (arrival_seq))
+                + row_number() OVER (PARTITION BY id, ts_ms // 10000 ORDER BY ts_ms) AS ord FROM m) q USING (arrival_seq))
         GROUP BY org, city, window_start_ms, window_end_ms""", "w", "m"),
     "drone_summary_replies": sql("""SELECT o.org, o.ids AS drone_ids, c.cities AS drones_per_city
         FROM (SELECT org, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT org, id FROM d5) GROUP BY org) o
