@@ -8,16 +8,21 @@ from skyledger.operators.prefix import bucketed_running, ranged
 from skyledger.schemas import OUTCOME_COMMITTED, OUTCOME_EMPTY, OUTCOME_OUT_OF_DATE
 
 # Fixed values that must equal the reference: session stage names and the
-# failure reasons of the commit stage.
+# failure reasons of the commit and cart query stages.
 STAGE_COMMIT = "CommitCart"
+STAGE_QUERY_CART = "QueryShoppingCart"
+REASON_MISMATCH = "shopping cart doesn't match"
 REASON_CONFLICT = "cart timestamp out of date or empty cart"
 REASON_COMMIT_ERROR = "error committing to cart with status: 500 Internal Server Error"
 
 
-def session_log(commands: DataFrame, seq_bucket: int = 1 << 16) -> DataFrame:
+def session_log(commands: DataFrame, seq_bucket: int = 1 << 16, verify: bool = False) -> DataFrame:
     """Session log from folded cart commands (``user_id, seq, ts_ms, action,
     outcome``): a session is a user's commands up to and including a commit.
     The commit count per user runs bucketed by ``seq`` (see operators.prefix).
+    With ``verify`` the client compares its cart before it commits (needs
+    ``epoch``, ``product_ids``, ``n_valid``): ids of the commit's epoch that the
+    catalog lacks are in the client's cart only, so the session fails there.
     Columns: session_id, stage, reason, success, start_ms, end_ms."""
     is_commit = (F.col("action") == "commit").cast("long")
     if "_bkt" not in commands.columns:
@@ -26,16 +31,19 @@ def session_log(commands: DataFrame, seq_bucket: int = 1 << 16) -> DataFrame:
     s = s.withColumn("session_no", F.col("_commits") - is_commit)
     g = (s.groupBy("user_id", "session_no")
          .agg(F.min("ts_ms").alias("start_ms"),
-              F.max_by(F.struct("action", "outcome", "ts_ms"), F.col("seq")).alias("l")))
+              F.max_by(F.struct("action", "outcome", "ts_ms", *(["epoch"] if verify else [])), F.col("seq")).alias("l"),
+              *([F.max(F.when((F.col("action") == "add") & (F.size("product_ids") > F.col("n_valid")), F.col("epoch"))).alias("_bad")]
+                if verify else [])))
     g = g.where(F.col("l.action") == "commit")
     outcome = F.col("l.outcome")
-    success = outcome == OUTCOME_COMMITTED
-    reason = (F.when(success, F.lit(None).cast("string"))
+    mismatch = F.coalesce(F.col("_bad") == F.col("l.epoch"), F.lit(False)) if verify else F.lit(False)
+    success = (outcome == OUTCOME_COMMITTED) & ~mismatch
+    reason = (F.when(success, F.lit(None).cast("string")).when(mismatch, REASON_MISMATCH)
               .when(outcome.isin(OUTCOME_OUT_OF_DATE, OUTCOME_EMPTY), REASON_CONFLICT)
               .otherwise(REASON_COMMIT_ERROR))
     return g.select(
         F.concat_ws("-", "user_id", F.col("session_no").cast("string")).alias("session_id"),
-        F.when(success, F.lit(None).cast("string")).otherwise(STAGE_COMMIT).alias("stage"),
+        F.when(success, F.lit(None).cast("string")).when(mismatch, STAGE_QUERY_CART).otherwise(STAGE_COMMIT).alias("stage"),
         reason.alias("reason"), success.alias("success"),
         "start_ms", F.col("l.ts_ms").alias("end_ms"))
 

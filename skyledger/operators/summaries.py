@@ -14,7 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from skyledger.functions.hashing import java_string_hash
 from skyledger.operators import panes as P
+from skyledger.operators.quantiles import admission
+from skyledger.session import shared_table
 
 WINDOW = "60 seconds"
 SLIDE = "10 seconds"
@@ -22,6 +25,8 @@ SLIDE = "10 seconds"
 # Group limits of the reference's stream groupBy (fixed values).
 MAX_ORG_CITY_GROUPS = 50000
 MAX_ORG_GROUPS = 10000
+# Summary workers that the orgs are dealt to (fixed value).
+WORKERS = 9
 
 
 def avg_city_temperature(enriched: DataFrame, window: str = WINDOW, slide: str = SLIDE,
@@ -118,6 +123,22 @@ def group_limit_guard(enriched: DataFrame, max_org_city: int = MAX_ORG_CITY_GROU
     return row
 
 
+def admitted_rows(enriched: DataFrame, keys: list[str], limit: int, workers: int = WORKERS,
+                  order_cols: tuple[str, ...] = ("arrival_seq", "arrival_pos")) -> tuple[DataFrame, DataFrame]:
+    """D8 as admission: each worker (``abs(hash(org)) % workers``) takes the first
+    ``limit`` groups that reach it, in order of arrival; rows of further groups
+    are refused.  Returns (kept rows, refused rows); no worker's groups are
+    gathered (see ``quantiles.admission``)."""
+    order = [c for c in order_cols if c in enriched.columns]
+    first = F.min(F.struct(*order)).alias("_at")
+    groups = enriched.groupBy(*keys).agg(first).select(
+        *keys, (F.abs(java_string_hash("org")) % workers).alias("_worker"), F.col(f"_at.{order[0]}").alias("_first"),
+        (F.col(f"_at.{order[1]}") if len(order) > 1 else F.lit(0)).alias("_tie"))
+    groups = shared_table(groups, "groups")   # read by each step of the selection
+    admitted = admission(groups, "_worker", "_first", "_tie", limit).where("admitted").select(*keys)
+    return enriched.join(admitted, keys, "left_semi"), enriched.join(admitted, keys, "left_anti")
+
+
 def org_report(latest_temps: DataFrame, latest_summary: DataFrame) -> DataFrame:
     """C4: per org, its known cities with their latest temperature, plus the
     drone counts from the latest drone summary (one query, not one lookup

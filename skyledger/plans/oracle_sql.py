@@ -174,6 +174,12 @@ def sql(body: str, *needs: str) -> str:
 R6 = "round({c}, 6) AS {a}"
 
 
+CTES["lat"] = (("sess", "ce", "pk"), """SELECT 'session' AS kind, end_ms - start_ms AS ms FROM sess
+        UNION ALL SELECT 'commit', ts_ms - commit_ts FROM ce WHERE action = 'commit' AND commit_ts IS NOT NULL
+        UNION ALL SELECT 'send', timestamp - first_ts_ms FROM pk""")
+CTES["adm"] = (("en",), f"""SELECT *, row_number() OVER (PARTITION BY abs({_signed(_JAVA_HASH.format(c='org'))}) % 9 ORDER BY first_seq) <= 20 AS admitted
+        FROM (SELECT org, city, min(arrival_seq) AS first_seq FROM en GROUP BY org, city)""")
+
 REFUSED_KPIS = sql("""SELECT CAST(coalesce(sum(n_valid), 0) AS BIGINT) AS products_added,
         count(*) FILTER (outcome = 'CartCommitted') AS carts_committed,
         count(*) FILTER (outcome = 'CartOutOfDate') AS carts_out_of_date,
@@ -317,6 +323,35 @@ ORACLE: dict[str, str] = {
         LEFT JOIN d9 ON r.user_id = d9.user_id""", "d9"),
     "catalog_listing": """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_type AS description,
         p_brand AS category, CAST(p_retailprice AS FLOAT) AS unit_price FROM part""",
+    "session_outcomes_all_stages": sql("""SELECT success, stage, reason, count(*) AS sessions FROM (
+        SELECT o = 'CartCommitted' AND NOT bad AS success,
+          CASE WHEN bad THEN 'QueryShoppingCart' WHEN o <> 'CartCommitted' THEN 'CommitCart' END AS stage,
+          CASE WHEN bad THEN 'shopping cart doesn''t match' WHEN o IN ('CartOutOfDate', 'CartEmpty') THEN 'cart timestamp out of date or empty cart'
+               WHEN o = 'CartCommitFailed' THEN 'error committing to cart with status: 500 Internal Server Error' END AS reason
+        FROM (SELECT arg_max(action, seq) AS a, arg_max(outcome, seq) AS o,
+                coalesce(max(CASE WHEN wrong THEN epoch END) = arg_max(epoch, seq), false) AS bad
+              FROM (SELECT s.user_id, s.seq, s.action, s.outcome, s.action = 'add' AND rc.qty > s.n_valid AS wrong,
+                      s.epoch - CASE WHEN s.action = 'clear' OR coalesce(s.outcome = 'CartCommitted', false) THEN 1 ELSE 0 END AS epoch,
+                      coalesce(sum(CASE WHEN s.action = 'commit' THEN 1 ELSE 0 END) OVER (PARTITION BY s.user_id ORDER BY s.seq
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS session_no
+                    FROM rc_step s JOIN rc ON s.user_id = rc.user_id AND s.seq = rc.seq)
+              GROUP BY user_id, session_no) WHERE a = 'commit') GROUP BY ALL""", "rc_step"),
+    "latency_quantiles": sql("""SELECT kind, count(*) AS n, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95,
+        quantile_disc(ms, 0.99) AS p99 FROM lat GROUP BY kind""", "lat"),
+    "latency_sketch_bounds": sql("""SELECT kind, q, min(ms) AS low, max(ms) AS high FROM (
+        SELECT l.kind, w.q, l.ms, l.b = max(CASE WHEN l.ms = w.v THEN l.b END) OVER (PARTITION BY l.kind, w.q) AS here
+        FROM (SELECT kind, ms, (ms >> greatest(length(bin(ms)) - 7, 0)) << greatest(length(bin(ms)) - 7, 0) AS b FROM lat) l
+        JOIN (SELECT kind, unnest([0.5, 0.95, 0.99])::DOUBLE AS q,
+                unnest([quantile_disc(ms, 0.5), quantile_disc(ms, 0.95), quantile_disc(ms, 0.99)]) AS v FROM lat GROUP BY kind) w
+        ON l.kind = w.kind) WHERE here GROUP BY kind, q""", "lat"),
+    "group_admission": sql("SELECT en.arrival_seq, en.org, en.city, adm.admitted FROM en JOIN adm USING (org, city)", "adm"),
+    "merge_carts_of_left": sql("""SELECT m.user_id, l.cart_ts, l.status, m.product_id, m.qty FROM (
+          SELECT user_id, product_id, CAST(sum(qty) AS BIGINT) AS qty FROM (
+            SELECT user_id, product_id, qty FROM d9 UNION ALL SELECT user_id, product_id, qty FROM d11)
+          WHERE product_id IS NOT NULL GROUP BY user_id, product_id) m
+        LEFT JOIN (SELECT DISTINCT user_id, cart_ts, 'Open' AS status FROM d9) l ON m.user_id = l.user_id""", "d9", "d11"),
+    "temperature_replies_json": sql("""SELECT CAST(to_json({'org': r.org, 'city': r.city, 'cityTemperature': round(d4.avg_temperature, 6)}) AS VARCHAR) AS json
+        FROM preq r LEFT JOIN d4 ON r.org = d4.org AND r.city = d4.city""", "preq", "d4"),
     "session_outcomes": sql("SELECT success, stage, reason, count(*) AS sessions FROM sess GROUP BY ALL", "sess"),
     "latency_stats": sql("""SELECT count(end_ms - start_ms) AS n, min(end_ms - start_ms) AS min_ms,
         max(end_ms - start_ms) AS max_ms, round(avg(end_ms - start_ms), 6) AS avg_ms FROM sess""", "sess"),

@@ -15,6 +15,7 @@ from skyledger.operators import arrival as A
 from skyledger.operators import cart as C
 from skyledger.operators import lookups as G
 from skyledger.operators import metrics as MX
+from skyledger.operators import quantiles as QT
 from skyledger.operators import summaries as S
 from skyledger.operators.enrich import (country_filter, flatten_measurements, major_only,
                                         pack_measurements, with_org)
@@ -22,6 +23,7 @@ from skyledger.operators.ordering import sample_places, sorted_orgs
 from skyledger.functions.geo import qualified_name, unit_sphere_point
 from skyledger.functions.hashing import java_string_hash
 from skyledger.plans import telemetry as T
+from skyledger.session import shared_table
 from skyledger.sources import fixtures as FX
 from skyledger.sources.catalog import list_catalog
 
@@ -312,6 +314,51 @@ def q_latency_stats(spark, d):
     return MX.latency_stats(_session_log(spark, d)).select("n", "min_ms", "max_ms", _r6("avg_ms"))
 
 
+def q_session_outcomes_all_stages(spark, d):
+    """D13 with the cart check and with refused authentication: every kind of
+    outcome that the command log holds."""
+    return MX.session_outcomes(MX.session_log(_refused_epochs(spark, d), verify=True))
+
+
+def _latencies(spark, d):
+    """D14's kinds: session length; commit: from the version committed to the
+    commit; send: from a packet's first sample to its sending."""
+    sessions = _session_log(spark, d).select(F.lit("session").alias("kind"), (F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    commits = (FX.cart_events(spark, d).where(F.col("action") == "commit")
+               .select(F.lit("commit").alias("kind"), (F.col("ts_ms") - F.col("commit_ts")).alias("ms")))
+    sends = _packets(spark, d).select(F.lit("send").alias("kind"),
+                                      (F.col("timestamp") - F.col("measurements")[0]["timestamp"]).alias("ms"))
+    return sessions.unionByName(commits).unionByName(sends)
+
+
+def q_latency_quantiles(spark, d):
+    return QT.exact_quantiles(_latencies(spark, d), ["kind"], "ms", [0.5, 0.95, 0.99])
+
+
+def q_latency_sketch_bounds(spark, d):
+    """The same quantiles' bounds from mergeable histograms, kept for each part
+    of the log (here: ms modulo 7) and added up."""
+    parts = _latencies(spark, d).withColumn("part", F.col("ms") % 7)
+    kept = QT.histogram(parts, ["kind", "part"], "ms")
+    b = QT.bounds(QT.merged(kept, ["kind"]), ["kind"], [0.5, 0.95, 0.99])
+    return b.select("kind", "q", "low", "high")
+
+
+def q_group_admission(spark, d):
+    """D8 as admission, with a limit that refuses groups: 20 (org, city) groups a worker."""
+    enriched = shared_table(_enriched(spark, d).select("arrival_seq", "org", "city"), "enriched")
+    kept, refused = S.admitted_rows(enriched, ["org", "city"], 20)
+    return (kept.select("arrival_seq", "org", "city", F.lit(True).alias("admitted"))
+            .unionByName(refused.select("arrival_seq", "org", "city", F.lit(False).alias("admitted"))))
+
+
+def q_merge_carts_of_left(spark, d):
+    """D10 with the left cart's timestamp and status."""
+    ep = _epochs(spark, d)
+    left = C.cart_contents(ep).withColumn("status", F.lit("Open"))
+    return C.merge_carts(left, C.committed_carts(ep), scalars=("cart_ts", "status"))
+
+
 def q_active_sessions(spark, d):
     return MX.active_sessions(_session_log(spark, d))
 
@@ -344,8 +391,9 @@ def q_read_packets_json(spark, d):
 def q_temperature_replies_json(spark, d):
     """The temperature lookup replies as JSON objects (null kept)."""
     from skyledger.sources.sinks import to_json_rows
-    g = G.get_temperature(_requests(spark, d), _summaries(spark, d)["latest_city_temperature"])
-    return to_json_rows(g, ["org", "city", "cityTemperature"])
+    req = _requests(spark, d)
+    g = G.get_temperature(req, _summaries(spark, d, req)["latest_city_temperature"])
+    return to_json_rows(g.withColumn("cityTemperature", _r6("cityTemperature")), ["org", "city", "cityTemperature"])
 
 
 def q_commit_outcomes_from_files(spark, d):
