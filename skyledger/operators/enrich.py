@@ -52,7 +52,8 @@ def country_filter(places: DataFrame, codes: Iterable[str] | None) -> DataFrame:
     return places.where(F.col("country").isin(codes)) if codes else places
 
 
-def pack_measurements(measurements: DataFrame, send_interval: str = "10 seconds") -> DataFrame:
+def pack_measurements(measurements: DataFrame, send_interval: str = "10 seconds",
+                      watermark: str | None = None) -> DataFrame:
     """The inverse of B1.  Buffer each device's samples and emit one
     packet per send interval, measurements in time order.
 
@@ -60,8 +61,17 @@ def pack_measurements(measurements: DataFrame, send_interval: str = "10 seconds"
     ``arrival_seq`` the smallest member arrival (when present).  A group is
     one device's samples in one interval, so its size is bounded by the
     sampling rate, not by the data size.
+
+    On a stream give a ``watermark`` and write in append mode: the samples of an
+    interval are state until event time (of any device) has passed its end by
+    the watermark; then the packet leaves, without a further sample of its
+    device, and its state goes.  Samples that come later than that are dropped
+    by the stream.
     """
-    ev = F.timestamp_millis("ts_ms")
+    measurements = measurements.withColumn("_at", F.timestamp_millis("ts_ms"))
+    if watermark is not None:
+        measurements = measurements.withWatermark("_at", watermark)
+    ev = F.col("_at")
     m = F.struct(
         F.col("ts_ms").alias("timestamp"),
         F.col("temperature").cast("float").alias("temperature"),

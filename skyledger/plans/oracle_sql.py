@@ -188,6 +188,7 @@ REFUSED_KPIS = sql("""SELECT CAST(coalesce(sum(n_valid), 0) AS BIGINT) AS produc
 ORACLE: dict[str, str] = {
     # --- telemetry -------------------------------------------------------
     "pack_measurements": sql("SELECT * FROM pk", "pk"),
+    "stream_pack_measurements": sql("SELECT * FROM pk", "pk"),
     "flatten_measurements": sql("""SELECT id,
         min(arrival_seq) OVER (PARTITION BY id, ts_ms // 10000) AS arrival_seq,
         row_number() OVER (PARTITION BY id, ts_ms // 10000 ORDER BY ts_ms) - 1 AS arrival_pos,

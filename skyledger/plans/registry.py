@@ -439,6 +439,38 @@ def _state_run(spark, d, run):
     return os.path.join(run, "state")
 
 
+def q_stream_pack_measurements(spark, d):
+    """B9 on a stream: the measurements as four files in order of time, one a
+    micro-batch, stopped and started again from its checkpoint after the second;
+    a last sample of another device, a day later, lets every interval end."""
+    import os
+    import uuid
+    from skyledger.session import checkpoint_dir
+    run = os.path.join(checkpoint_dir(spark), "stream-runs", uuid.uuid4().hex)
+    m = FX.measurements(spark, d)
+    low, high = m.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    part = F.least(F.floor((F.col("ts_ms") - low) * 4 / (high - low + 1)), F.lit(3))
+    last = m.limit(1).select("arrival_seq", F.lit("end of log").alias("id"), F.lit(high + 86_400_000).alias("ts_ms"),
+                             "temperature", "lat", "lon")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), max(1, spark.sparkContext.defaultParallelism))))
+    try:
+        for i in range(5):
+            rows = last if i == 4 else m.where(part == i)
+            rows.write.parquet(os.path.join(run, "in", f"b{i}"))
+            if i in (1, 4):
+                stream = spark.readStream.schema(m.schema).parquet(os.path.join(run, "in", "*"))
+                (pack_measurements(stream, watermark="0 seconds").writeStream.format("parquet")
+                 .option("path", os.path.join(run, "out")).option("checkpointLocation", os.path.join(run, "ck"))
+                 .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    p = spark.read.parquet(os.path.join(run, "out"))
+    return p.select("id", "timestamp", F.size("measurements").cast("long").alias("n_measurements"),
+                    F.col("measurements")[0]["timestamp"].alias("first_ts_ms"),
+                    F.element_at("measurements", -1)["timestamp"].alias("last_ts_ms"), "arrival_seq")
+
+
 def _new_state(spark, d):
     import os
     import uuid
