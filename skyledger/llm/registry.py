@@ -1,5 +1,6 @@
-"""The subpackage's registered queries; none has a SQL form that runs on whole
-tables (each module's tests hold it against brute force instead)."""
+"""The subpackage's registered queries.  SQL that runs on whole tables exists for
+op5 only (DuckDB has no crc32, no compression and no model fitting); the others
+are held against brute force, round trips or held-out labels by their tests."""
 
 from __future__ import annotations
 
@@ -21,4 +22,10 @@ _MODULES = {
     "op13_fourier_quality": "quality_scores",
 }
 QUERIES = {name: getattr(import_module(f"skyledger.llm.{module}"), name) for name, module in _MODULES.items()}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_stream_dedup": r"""SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+        row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, length(coalesce(text, '')) AS chars,
+                regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+        WINDOW w AS (PARTITION BY t ORDER BY chars DESC, doc_id)""",
+}
