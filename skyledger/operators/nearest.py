@@ -287,7 +287,9 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
 
     # -- descent for the rest ----------------------------------------------------
     rest = best.where(~F.col("_ok")).select(*_LOC, *_Q)
-    resolved = settled.unionByName(_descend(rest, pl, depth, leaf_size, small))
+    # a pyramid row has about eight times the bytes of a copy, and there is one a level
+    small_pyramid = num_places * (depth + 1) * 8 <= broadcast_max_copies
+    resolved = settled.unionByName(_descend(rest, pl, depth, leaf_size, small_pyramid))
 
     attrs = places.select("place_id", *place_cols)
     out = (points.join(resolved,
