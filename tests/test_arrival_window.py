@@ -86,7 +86,7 @@ def test_step_functions_of_ladders(spark):
         want[i] = k.get(key, 0)
         k[key] = want[i] + (want[i] < c)
     df = spark.createDataFrame(log, "key string, i long, c long")
-    for size in (5, 40, 1000):
+    for size in (7, 1000):
         buckets = (df.groupBy("key", F.floor(F.col("i") / size).alias("b"))
                    .agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("rows")))
         out = counts_before(buckets, ["key"], "b", "rows", {"k": lambda r: r["c"], "k2": lambda r: r["c"] - 1})
