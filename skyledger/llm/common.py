@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,17 +37,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _put_by(columns: list[str]) -> dict[str, str]:
+    """Other names for columns of a table that are called like a locator's."""
+    taken, out = {c.lower() for c in columns}, {}
+    for c in columns:
+        if c.lower() in PLACE:
+            name = c + "_of_table"
+            while name.lower() in taken:
+                name += "_"
+            out[c] = name
+    return out
+
+
+def _quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with the file and row of each document; documents that are not
-    read from Parquet are written to the shared folder first."""
+    read from Parquet are written to the shared folder first.  Columns of
+    ``docs`` with a locator's name are put by until ``unlocated``."""
+    other = _put_by(docs.columns)
+
     def with_place(df):
-        return df.withColumns(dict(zip(PLACE, (F.col("_metadata.file_path"), F.col("_metadata.row_index")))))
+        place = df.metadataColumn("_metadata")
+        return df.select(*(F.col(_quoted(c)).alias(other.get(c, c)) for c in df.columns),
+                         place["file_path"].alias(PLACE[0]), place["row_index"].alias(PLACE[1]))
     try:
-        return with_place(docs)
-    except AnalysisException:
+        out = with_place(docs)
+        out.schema  # an analysis error shows here at the latest
+        return out
+    except (AnalysisException, IllegalArgumentException):
         return with_place(written(docs, "documents"))
 
 
+def unlocated(places: DataFrame, columns: list[str]) -> DataFrame:
+    """The table's own ``columns`` of what ``located`` returned."""
+    other = _put_by(columns)
+    return places.select(*(F.col(_quoted(other.get(c, c))).alias(c) for c in columns))
+
+
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):

@@ -14,8 +14,9 @@ For each document and page the posterior of a language is the product of
 Counts for markup, suffixes, hosts and domains are sums of the text-only
 posteriors, by grouped aggregation.  A row's own share is taken out of its
 host's and domain's counts.  A document has no markup or address; its source
-is its host.  Languages are those of the given labels, the ``MAX_LANGUAGES``
-most frequent.
+is its host.  Languages are those of the given labels: the ``MAX_LANGUAGES``
+most frequent ones by name, and one further class, ``OTHER``, learned from the
+documents of all further labels, so that none of these is taken for a frequent one.
 
 Defined results: null or empty text has no text evidence, so the priors decide;
 null urls and sources have no host; no labels at all give null languages; an
@@ -40,6 +41,8 @@ TEMPER = 1 / 3
 #: Rows' worth of weight that a level of the host hierarchy gets from the level above.
 SMOOTHING = 5.0
 MAX_LANGUAGES = 200
+#: The class of all less frequent labels (ISO 639-2: languages without a code of their own).
+OTHER = "mis"
 LEAST_PROBABILITY = 0.5
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>")
 _DECLARED = r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
@@ -57,21 +60,25 @@ def page_text(page: str) -> str:
     return html_module.unescape(_MARKUP.sub(" ", page))
 
 
-def languages_of(docs: DataFrame) -> list[str]:
-    rows = (docs.filter("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    return sorted(r.lang for r in rows)
+def languages_of(docs: DataFrame, most: int = MAX_LANGUAGES) -> list[str]:
+    """The ``most`` most frequent labels, and ``OTHER`` if there are further ones."""
+    rows = (docs.filter("lang IS NOT NULL").groupBy(F.col("lang").cast("string").alias("lang")).count()
+            .orderBy(F.desc("count"), "lang").limit(most + 1).collect())
+    return sorted({r.lang for r in rows[:most]} | ({OTHER} if len(rows) > most else set()))
 
 
 def text_model(docs: DataFrame, languages: list[str]) -> np.ndarray:
     """Log probability of each bucket by language, from every labelled document."""
     number = {lang: i for i, lang in enumerate(languages)}
+    other = number.get(OTHER)
 
     def count(batches):
         sums = {}
         for part in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if lang in number and text:
-                    sums.setdefault(number[lang], np.zeros(BUCKETS, np.int64))[:] += np.bincount(trigrams(text), minlength=BUCKETS)
+                at = number.get(lang, other) if lang is not None else None
+                if at is not None and text:
+                    sums.setdefault(at, np.zeros(BUCKETS, np.int64))[:] += np.bincount(trigrams(text), minlength=BUCKETS)
         for i, s in sums.items():
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i), pa.int32()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], ["language", "bucket", "n"])
@@ -131,9 +138,9 @@ def _sums(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
     return parts.select(*keys, F.array(*(F.col(f"_{i}") for i in range(n))).alias(name))
 
 
-def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, pages: DataFrame, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """``kind, doc_id, page_id, lang, probability, text_lang, kept``."""
-    languages = languages_of(docs)
+    languages = languages_of(docs, max_languages)
     n = len(languages)
     model = text_model(docs, languages)
     # The text-only posterior is the row's share of every count.

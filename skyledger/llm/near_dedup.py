@@ -9,7 +9,7 @@ outweighs its few differences.  N counts all documents, df all documents with
 a shingle of the same one of ``DF_BUCKETS`` hash buckets, a table of fixed size.
 
 Rows with equal words are one *node*.  Improved consistent weighted sampling
-draws ``BANDS * ROWS`` samples (shingle, level) of each node; two nodes agree
+draws ``SAMPLES`` samples (shingle, level) of each node; two nodes agree
 on a sample with the probability of their weighted Jaccard similarity.  Equal
 bands make nodes candidates in three steps, each after the links found so far
 are joined to components:
@@ -20,7 +20,7 @@ are joined to components:
    comes together at a cost in proportion to its size;
 3. without any sampling, the nodes of buckets
    with several components by prefix filtering: two nodes that agree on at
-   least ``LEAST_AGREE`` of their samples share one of the ``PREFIX`` rarest
+   least 29 of their 48 samples share one of the 20 rarest
    samples of each, so only nodes with such a sample in common are compared,
    every node outside a sample's largest component with the sample's nodes of
    other components.
@@ -29,10 +29,11 @@ So all pairs of a bucket that could still join components are looked at, but a
 bucket that is one family costs its size, not the square, and documents that
 have one common passage and little else are not compared with each other, as
 their rarest samples lie outside it.  Candidates that agree on at least
-``LEAST_AGREE`` samples are verified by the exact weighted Jaccard similarity
+29 samples are verified by the exact weighted Jaccard similarity
 of their whole texts; those of ``SIMILARITY`` or more are
 linked, and a class is a connected component.  A pair of similarity 0.8 shares
-a band with probability 0.998, one of 0.85 with 0.9999.
+a band with probability 0.998, one of 0.85 with 0.9999.  These figures are for
+0.8; ``drawn`` derives them for any least similarity of 0.2 or more.
 
 Defined results: null text counts as empty; rows without words are one class;
 in a class the row with the smallest doc_id (nulls last; of repeated rows one
@@ -44,6 +45,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +53,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import PLACE, Growing, Numbered, batch_of, located, slices, table, written
+from skyledger.llm.common import PLACE, Growing, Numbered, batch_of, located, slices, table, unlocated, written
 from skyledger.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 4
-SAMPLES = BANDS * ROWS
-#: Samples that a pair of similarity 0.8 shares but for about one in a thousand.
-LEAST_AGREE = 29
-#: Of two nodes that agree on LEAST_AGREE samples, the rarest ones that must meet.
-PREFIX = SAMPLES - LEAST_AGREE + 1
+SAMPLES = 48
+#: Of pairs at the least similarity, so many may share no band, and so many too few samples.
+NO_BAND, TOO_FEW = 0.0025, 0.001
 #: Nodes of a bucket's largest component that step 2 offers to the others.
 CENTRES = 16
 DF_BUCKETS = 1 << 18
@@ -138,9 +137,26 @@ def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def _bands(chosen: np.ndarray) -> np.ndarray:
-    out = np.arange(1, BANDS + 1).astype(_U)
-    for column in chosen.reshape(BANDS, ROWS).T:
+def drawn(similarity: float) -> tuple[int, int]:
+    """Samples in a band, and samples that two nodes must agree on, for pairs of
+    at least ``similarity``: the widest bands and the most samples that lose
+    no more of them than ``NO_BAND`` and ``TOO_FEW``.  At 0.8: 4 and 29."""
+    if not 0.2 <= similarity <= 1:
+        raise ValueError("similarity must lie between 0.2 and 1")
+    rows = max(r for r in (1, 2, 3, 4, 6, 8) if (1 - similarity ** r) ** (SAMPLES // r) <= NO_BAND)
+    below, least = 0.0, 0
+    while least < SAMPLES:
+        below += comb(SAMPLES, least) * similarity ** least * (1 - similarity) ** (SAMPLES - least)
+        if below > TOO_FEW:
+            break
+        least += 1
+    return rows, least
+
+
+def _bands(chosen: np.ndarray, rows: int) -> np.ndarray:
+    bands = SAMPLES // rows
+    out = np.arange(1, bands + 1).astype(_U)
+    for column in chosen.reshape(bands, rows).T:
         out = _mixed(out * _U(0x9E3779B97F4A7C15) + column)
     return out.view(np.int64)
 
@@ -183,7 +199,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return 1 + np.log((n + 1) / (df + 1)) / (2 * np.log(n + 2))
 
 
-def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def _signatures(docs: DataFrame, idf: np.ndarray, rows: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("_file", pa.string()), ("_row", pa.int64()), ("digest", pa.binary()),
                         ("signature", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
 
@@ -198,7 +214,7 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     distinct, count, weight = _counted(h, idf)
                     chosen = samples(distinct, count * weight)
                     signatures.append((chosen >> _U(32)).astype(np.uint32).view(np.int32))
-                    bands.append(_bands(chosen))
+                    bands.append(_bands(chosen, rows))
                 else:
                     signatures.append([])
                     bands.append([])
@@ -208,12 +224,12 @@ def _signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         run, "doc_id long, _file string, _row long, digest binary, signature array<int>, bands array<long>")
 
 
-def _agreeing(pairs: DataFrame, signature: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, signature: DataFrame, least: int) -> DataFrame:
     """The pairs ``(a, b)`` that agree on enough samples, with their number."""
     same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return (pairs.join(signature.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
             .join(signature.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a")
-            .select("a", "b", same.alias("same")).filter(F.col("same") >= LEAST_AGREE))
+            .select("a", "b", same.alias("same")).filter(F.col("same") >= least))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
@@ -263,16 +279,16 @@ def _central_pairs(placed: DataFrame) -> DataFrame:
     return met.filter("component != largest").select(*key, F.col("node").alias("a")).join(centres, key).select("a", "b").distinct()
 
 
-def _open_pairs(nodes: DataFrame) -> DataFrame:
+def _open_pairs(nodes: DataFrame, least: int) -> DataFrame:
     """Pairs ``(a, b)`` of ``nodes (node, component, signature)`` in different
-    components, with every pair that agrees on ``LEAST_AGREE`` samples.
+    components, with every pair that agrees on ``least`` samples.
 
     Samples are ordered by the number of nodes that have them; a pair has to
-    share one of the ``PREFIX`` first of each node."""
+    share one of the ``SAMPLES - least + 1`` first of each node."""
     sampled = nodes.select("node", "component", F.posexplode("signature").alias("sample", "value"))
     key = ["sample", "value"]
     common = written(sampled.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-samples")
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), *key))), 1, PREFIX)
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), *key))), 1, SAMPLES - least + 1)
     prefix = written(sampled.join(common, key, "left").groupBy("node", "component").agg(rarest.alias("rarest"))
                      .select("node", "component", F.explode("rarest").alias("s")).filter("s.n > 1")
                      .select("node", "component", "s.sample", "s.value"), "near-prefixes")
@@ -288,10 +304,10 @@ def _open_pairs(nodes: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document with its locator: ``doc_id, class_id, class_size,
-    kept, _file, _row``."""
-    docs = located(docs)
+    kept, _file, _row``, of the columns ``doc_id, text``."""
+    docs, (band, least) = located(docs.select("doc_id", "text")), drawn(similarity)
     idf = document_frequencies(docs)
-    rows = written(_signatures(docs, idf), "near-rows")
+    rows = written(_signatures(docs, idf, band), "near-rows")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *PLACE)
     nodes = written(rows.groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size"),
                                                F.first("signature").alias("signature"), F.first("bands").alias("bands"))
@@ -308,7 +324,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return written(docs.select(*PLACE, "text").join(places, PLACE).select("node", "text"), "near-texts")
 
     stars = members.filter("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(_agreeing(stars, signature).select("a", "b"), "near-stars")
+    stars = written(_agreeing(stars, signature, least).select("a", "b"), "near-stars")
     links = written(_verified(stars, texts_of(stars), idf, similarity), "near-links")
     component = components(links.select("a", "b"))
 
@@ -320,7 +336,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         known = component.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         return components(known.unionByName(_verified(pairs, texts_of(pairs), idf, similarity).select("a", "b")))
 
-    central = written(_agreeing(_central_pairs(placed()), signature).groupBy("a").agg(
+    central = written(_agreeing(_central_pairs(placed()), signature, least).groupBy("a").agg(
         F.max_by("b", F.struct("same", "b")).alias("b")).join(stars, ["a", "b"], "left_anti"), "near-central")
     if not central.isEmpty():
         component = joined(central)
@@ -329,7 +345,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     several = placed().groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     still = written(placed().join(several, ["band", "key"]).select("node", "component").distinct().join(signature, "node"), "near-open")
     seen = stars.unionByName(central.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    more = written(_agreeing(_open_pairs(still), signature).select("a", "b").join(seen, ["a", "b"], "left_anti"), "near-more")
+    more = written(_agreeing(_open_pairs(still, least), signature, least).select("a", "b").join(seen, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
         component = joined(more)
 
@@ -346,7 +362,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The kept documents, with all columns of ``docs``."""
     places = located(docs)
     dropped = near_classes(places.select("doc_id", "text")).filter(~F.col("kept")).select(*PLACE)
-    return places.join(dropped, PLACE, "left_anti").select(*docs.columns)
+    return unlocated(places.join(dropped, PLACE, "left_anti"), docs.columns)
 
 
 def op9_weighted_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ Texts are equal if they are identical after deleting space, tab, line feed,
 vertical tab, form feed and carriage return.  Of equal texts the row with the
 most code points, then the smallest doc_id stays (a null doc_id loses; of rows
 alike in both, one by locator).  Null text counts as empty; empty texts are
-one group; an empty table gives no rows; other columns are ignored.
+one group; an empty table gives no rows; other columns are ignored, also those
+called like a locator's (``_file``, ``_row``, ``_metadata``), which ``keep_first`` returns as they were.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import PLACE, located, run_folder, table, written
+from skyledger.llm.common import PLACE, located, run_folder, table, unlocated, written
 
 COMPARE_ROWS = 256
 FILES_PER_BATCH = 256
@@ -48,11 +49,16 @@ def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
+def _falling(doc_id: str) -> Column:
+    """Falls as ``doc_id`` rises, over all longs (a negation overflows at the least); its own inverse."""
+    return F.bitwise_not(F.col(doc_id))
+
+
 def stream_state(arrivals: str, folder: str, spark: SparkSession, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """Run the stream over all arrivals: ``digest, best, size`` at its end."""
     schema = spark.read.parquet(arrivals).schema
     # A struct's order: most code points, smallest doc_id, then the locator.
-    best = F.max(F.struct("chars", F.negative("doc_id").alias("minus_id"), *PLACE))
+    best = F.max(F.struct("chars", _falling("doc_id").alias("falling_id"), *PLACE))
     changes = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
                .groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("size")))
 
@@ -99,7 +105,7 @@ def deduplicate(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER
     differing = written(texts.withColumn("part", F.pmod(F.xxhash64(*PLACE), parts).cast("int")).join(held, ["digest", "part"])
                         .filter(F.col("content") != F.col("held_content")).select("digest", *PLACE), "dedup-differing")
 
-    best_id = F.negative("best.minus_id")
+    best_id = _falling("best.falling_id")
     result = grouped.select("doc_id", best_id.alias("keep_id"), F.col("size").alias("group_size"),
                             (F.struct("_file", "_row") == F.struct("best._file", "best._row")).alias("kept"), "text_sha256", *PLACE, "digest")
     if differing.isEmpty():
@@ -107,7 +113,7 @@ def deduplicate(docs: DataFrame, digest=sha256, files_per_batch: int = FILES_PER
     collided = differing.select("digest").distinct()
     members = (texts.join(collided, "digest").join(arrivals.select(*PLACE, "doc_id", "chars", "text_sha256"), PLACE))
     classes = members.groupBy("digest", "content").agg(
-        F.max(F.struct("chars", F.negative("doc_id").alias("minus_id"), *PLACE)).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        F.max(F.struct("chars", _falling("doc_id").alias("falling_id"), *PLACE)).alias("best"), F.count(F.lit(1)).alias("group_size"))
     regrouped = members.drop("size").join(classes, ["digest", "content"]).select(
         "doc_id", best_id.alias("keep_id"), "group_size", (F.struct("_file", "_row") == F.struct("best._file", "best._row")).alias("kept"),
         "text_sha256", *PLACE)
@@ -118,7 +124,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all columns of ``docs``."""
     places = located(docs)
     dropped = deduplicate(places.select("doc_id", "text")).filter(~F.col("kept")).select(*PLACE)
-    return places.join(dropped, PLACE, "left_anti").select(*docs.columns)
+    return unlocated(places.join(dropped, PLACE, "left_anti"), docs.columns)
 
 
 def op5_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

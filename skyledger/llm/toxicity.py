@@ -12,8 +12,8 @@ or an ellipsis, and after ``SENTENCE_WORDS`` words at the latest.
 
 The model is fitted on a bounded sample of labelled documents outside the
 held-out third: at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` others, those
-with the lowest hash of their id, whatever their length, as far as they hold
-``SAMPLE_CHARS`` characters a row on average.  Scores of all documents read whole texts, and nothing but texts.
+with the lowest hash of their id, whatever their length, up to the first with which
+they would hold more than ``SAMPLE_CHARS`` characters a permitted row.  Scores of all documents read whole texts, and nothing but texts.
 
 Defined results: null and empty texts have no sentence and score 0; null and
 repeated doc_ids are scored row by row (a null doc_id is not held out and
@@ -197,9 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     for toxic, n in ((1, toxic_rows), (0, clean_rows)):
         room = n * SAMPLE_CHARS
         for r in there.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect():
-            if r.chars <= room:
-                ids.append(r)
-                room -= r.chars
+            room -= r.chars
+            if room < 0:  # the list ends here: going on with shorter ones would choose by length
+                break
+            ids.append(r)
     sample = spark.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int")
     rows = given.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 

@@ -36,3 +36,15 @@ def test_awkward_rows(spark):
     assert L.identify(clashing(docs), none).count() == docs.count()
     assert L.identify(empty(spark), none).count() == 0
     assert L.identify(docs.withColumn("lang", docs.lang.substr(9, 1)), none).count() == docs.count()
+
+
+def test_labels_beyond_the_named_ones_are_one_class(spark):
+    """No row of a rare language is taken for a frequent one."""
+    words = {"aa": "der die das und nicht ein ", "bb": "the of and that was with ", "cc": "les des est une pour dans ", "dd": "och det att som inte var "}
+    often = {"aa": 30, "bb": 30, "cc": 4, "dd": 3}
+    rows = [(1000 * k + i, w * 9, lang, f"s{lang}", 1) for k, (lang, w) in enumerate(words.items()) for i in range(often[lang])]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    none = spark.createDataFrame([], PAGES)
+    label = {r[0]: r[2] if r[2] in ("aa", "bb") else L.OTHER for r in rows}
+    assert {r.doc_id: r.lang for r in L.identify(docs, none, 2).collect()} == label
+    assert {r.doc_id: r.lang for r in L.identify(docs, none).collect()} == {r[0]: r[2] for r in rows}

@@ -91,3 +91,32 @@ def test_repeated_line_does_not_make_copies():
     idf, shingler = np.full(N.DF_BUCKETS, 1.2), N.Shingler()
     a, b = (N._counted(shingler(prose(seed, 60) + " one line that comes back." * 300)[1], idf) for seed in (1, 2))
     assert N.weighted_jaccard(a, b) < 0.5
+
+
+def test_columns_called_like_locators(spark):
+    rows = [(1, prose(1, 60), "f", "r", 7), (2, prose(1, 60) + " end", "f", "r", 8), (3, prose(2, 60), None, "r", 9)]
+    kept = N.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _file string, _ROW string, _metadata int"))
+    assert kept.columns == ["doc_id", "text", "_file", "_ROW", "_metadata"]
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_figures_follow_the_similarity(spark):
+    """Planted pairs of 0.55 and more are linked when 0.5 is asked for."""
+    assert N.drawn(0.8) == (4, 29) and N.drawn(0.5) == (2, 13) and N.drawn(0.95)[0] == 8 and N.drawn(1)[1] == 48
+    with pytest.raises(ValueError):
+        N.drawn(0.1)
+    rng, rows = np.random.default_rng(5), []
+    for i in range(60):
+        words = [f"w{rng.integers(1 << 40)}" for _ in range(200)]
+        other = list(words)
+        for at in rng.choice(range(5, 195), 8, replace=False):
+            other[at] = "changed" + str(at)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf, shingler, text = N.document_frequencies(docs), N.Shingler(), dict(rows)
+    pairs = {i: N.weighted_jaccard(*(N._counted(shingler(text[j])[1], idf) for j in (2 * i, 2 * i + 1))) for i in range(60)}
+    wanted = {i for i, s in pairs.items() if s >= 0.5}
+    assert len(wanted) > 40 and max(pairs.values()) < 0.8
+    got = {r.doc_id: r.class_id for r in N.near_classes(docs, 0.5).collect()}
+    assert {i for i in range(60) if got[2 * i] == got[2 * i + 1]} == wanted
+    assert all(r.class_id == r.doc_id for r in N.near_classes(docs).collect())

@@ -52,3 +52,20 @@ def test_empty_table(spark):
 def test_main_path_has_no_python(spark, docs):
     plan = D.deduplicate(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_called_like_locators_and_the_least_id(spark):
+    """``_file``, ``_row`` and ``_metadata`` are the table's own; -2**63 has no negation."""
+    least = -2 ** 63
+    rows = [(least, "a b", "f0", 10, "m0"), (5, "ab", "f1", 11, "m1"), (least, "x", "f2", 12, None), (None, "x", "f3", 13, "m3"),
+            (2 ** 63 - 1, "y", None, None, "m4"), (least + 1, "y", "f5", 15, "m5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _FILE string, _row int, _metadata string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in D.deduplicate(docs).collect()), key=str)
+    assert got == sorted([(least, least, 2), (5, least, 2), (least, least, 2), (None, least, 2), (2 ** 63 - 1, least + 1, 2), (least + 1, least + 1, 2)], key=str)
+    kept = D.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[5]], key=str)
+    path = D.run_folder(spark, "test-locators")
+    docs.write.parquet(path)
+    read = spark.read.parquet(path)
+    assert sorted(map(tuple, D.keep_first(read).collect()), key=str) == sorted([rows[0], rows[2], rows[5]], key=str)

@@ -75,3 +75,22 @@ def test_long_documents_are_learned_from(spark):
     got = {r.doc_id: r for r in X.score(docs, model).collect()}
     held = [(t, got[d].predicted) for d, _, t in labels if got[d].held_out]
     assert len(held) > 20 and all(t == p for t, p in held)
+
+
+def test_the_sample_is_not_chosen_by_length(spark, monkeypatch):
+    """Where the characters run out the list ends; no shorter document goes before."""
+    seen = []
+    monkeypatch.setattr(X, "SAMPLE_CHARS", 100)
+    docs = spark.createDataFrame([(i, ("long " * 100 if i % 4 == 0 else "short one ") + str(i), None, None, 0) for i in range(40)], documents(spark).schema)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    made = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, *a, **k: (seen.append(rows), made(rows, *a, **k))[1])
+    X.fit(docs, labels, 12, 12)
+    order = [r.doc_id for r in docs.filter("crc32(string(doc_id)) % 3 != 1 AND doc_id % 2 = 0").orderBy(X.F.xxhash64("doc_id"), "doc_id").collect()]
+    room, want = 1200, []
+    for d in order[:12]:
+        room -= len(("long " * 100 if d % 4 == 0 else "short one ") + str(d))
+        if room < 0:
+            break
+        want.append(d)
+    assert [d for d, t in seen[-1] if t == 0] == want
