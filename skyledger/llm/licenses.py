@@ -5,17 +5,18 @@ license-like if it holds a keyword or if most of its longer words are words of t
 templates; a candidate block is a run of such units with a keyword in it.
 The templates are notices, headers and openings of licenses (``TEMPLATES``)
 and the terms of whole licenses (``license_texts``).  Templates of at least
-``WHOLE_WORDS`` words are first fitted into the words of the whole text, then
-all of them into the words of each run of what is left.  A place is a
-confirmed span if zstandard with the template as raw dictionary makes it
-enough smaller than zstandard alone and if its words, aligned with the
+``WHOLE_WORDS`` words are first looked for in the words of the whole text, then
+all of them in the words of each run of what is left: places that share
+enough words with a template, and places that overlap are one block.  Every
+block is compressed by zstandard with each of the templates as raw
+dictionary, and the templates are ranked by how much smaller than zstandard
+alone they make it.  In this order a template's place in the block is a confirmed span if
+the template makes it enough smaller and if its words, aligned with the
 template's, agree; the words that differ are returned, and no word that tells
 a license from others (its name, version or clause) may be among them.
-Confirmed spans are cut out, those with the most shared words over differing
-ones first, and what is left is searched again until no template is
+Confirmed spans are cut out, and what is left is searched again until no template is
 confirmed.  What then still is a candidate is returned as unconfirmed blocks of
-at most ``BLOCK_UNITS`` units, with the notice ranked first by how much
-smaller it makes the block.
+at most ``BLOCK_UNITS`` units, with the template ranked first.
 
 Texts are read whole, one document at a time; nothing is shuffled.
 
@@ -224,6 +225,19 @@ def fitted(template: np.ndarray, own: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def overlapping(places: list[tuple]) -> Iterator[list[tuple]]:
+    """``places (first, after, ...)`` in groups that overlap."""
+    group, end = [], -1
+    for place in sorted(places):
+        if place[0] >= end and group:
+            yield group
+            group = []
+        group.append(place)
+        end = max(end, place[1]) if len(group) > 1 else place[1]
+    if group:
+        yield group
+
+
 class Templates:
     def __init__(self):
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
@@ -232,7 +246,6 @@ class Templates:
         for license, texts in TEMPLATES.items():
             for text in texts:
                 self._add(license, text, params)
-        self.notices = len(self.each)
         self.vocabulary = {w for _, ws, _ in self.each for w in ws}
         for license, text in TEXTS.items():
             self._add(license, text, params)
@@ -244,6 +257,7 @@ class Templates:
 
     def _add(self, license: str, text: str, params) -> None:
         raw = zstandard.ZstdCompressionDict(_plain(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=params)
         self.each.append((license, words(text), zstandard.ZstdCompressor(dict_data=raw, compression_params=params)))
 
     def runs(self, text: str) -> Iterator[list[re.Match]]:
@@ -308,7 +322,7 @@ class Templates:
         own = [text[a:b].lower() for a, b in at]
         ids = np.array([self.number.get(w, -1) for w in own], np.int64)
         following = [*own, *words(after)[:4]]
-        out, left, seen = [], [(0, len(own))], {}
+        out, left, seen, ranks = [], [(0, len(own))], {}, {}
         while left:
             first, last = left.pop()
             some = ids[first:last]
@@ -318,21 +332,26 @@ class Templates:
                 which, often = self.counted[k]
                 # A confirmed span has so many of the template's words; most templates end here.
                 if np.minimum(there[which], often).sum() >= LEAST_SHARED * len(self.coded[k]):
-                    fits += [(-score, k, first + a, first + b) for score, a, b in fitted(self.coded[k], some)]
+                    fits += [(first + a, first + b, k, score) for score, a, b in fitted(self.coded[k], some)]
             taken, used = [], bytearray(last - first)
-            for _, k, a, b in sorted(fits):
-                if any(used[a - first:b - first]):
-                    continue
-                start, end = at[a][0], _CLOSING.match(text, at[b - 1][1]).end()
-                if self.goes_on(k, following[b:b + 4]):
-                    continue
-                key = k, text[start:end]
-                if key not in seen:
-                    seen[key] = self.compared(k, own[a:b], key[1])
-                if seen[key][2]:
-                    used[a - first:b - first] = b"\1" * (b - a)
-                    taken.append((a, b))
-                    out.append((start, end, *seen[key]))
+            for places in overlapping(fits):
+                block = text[at[min(a for a, *_ in places)][0]:at[max(b for _, b, *_ in places) - 1][1]]
+                if block not in ranks:
+                    ranks[block] = {k: -reduction for reduction, _, k in self.ranked(block)}
+                rank = ranks[block]
+                for a, b, k, _ in sorted(places, key=lambda x: (rank[x[2]], -x[3], x[2], x[0])):
+                    if any(used[a - first:b - first]):
+                        continue
+                    start, end = at[a][0], _CLOSING.match(text, at[b - 1][1]).end()
+                    if self.goes_on(k, following[b:b + 4]):
+                        continue
+                    key = k, text[start:end]
+                    if key not in seen:
+                        seen[key] = self.compared(k, own[a:b], key[1])
+                    if seen[key][2]:
+                        used[a - first:b - first] = b"\1" * (b - a)
+                        taken.append((a, b))
+                        out.append((start, end, *seen[key]))
             if taken:
                 taken.sort()
                 left += [(a, b) for a, b in zip([first, *(b for _, b in taken)], [*(a for a, _ in taken), last]) if a < b]
@@ -349,10 +368,10 @@ class Templates:
         return _judged(license, 1 - len(compressor.compress(data)) / len(self.alone.compress(data)), ws, own)
 
     def ranked(self, block: str) -> list[tuple[float, str, int]]:
-        """Size reduction, license and number of each notice, best first."""
+        """Size reduction, license and number of each template, best first."""
         data = _plain(block)
         plain = len(self.alone.compress(data))
-        out = [(1 - len(c.compress(data)) / plain, license, k) for k, (license, _, c) in enumerate(self.each[:self.notices])]
+        out = [(1 - len(c.compress(data)) / plain, license, k) for k, (license, _, c) in enumerate(self.each)]
         return sorted(out, key=lambda x: (-x[0], x[1], len(self.each[x[2]][1])))
 
     def judge(self, block: str, after: str = "") -> tuple[str, float, bool, float, list[str], list[str]]:
@@ -362,7 +381,10 @@ class Templates:
         for reduction, license, k in ranked:
             if first is not None and reduction < LEAST_REDUCTION:
                 break
-            found = _judged(license, reduction, self.each[k][1], own)
+            ws = self.each[k][1]
+            if first is not None and min(len(ws), len(own)) < LEAST_SHARED * max(len(ws), len(own)):
+                continue  # could not be confirmed, whatever the words
+            found = _judged(license, reduction, ws, own)
             if found[2] and self.goes_on(k, following):
                 found = *found[:2], False, *found[3:]
             if found[2] and (best is None or len(found[4]) + len(found[5]) < len(best[4]) + len(best[5])):

@@ -1,5 +1,8 @@
 import textwrap
 
+import numpy as np
+import zstandard
+
 from skyledger.llm import licenses as L
 from tests.llm.helpers import clashing, documents, empty, prose
 
@@ -97,3 +100,48 @@ def test_whole_licenses():
     both = L.TEXTS["ISC"] + "\n\n" + L.TEXTS["Apache-2.0"] + "\n\n" + MIT
     assert [x[1] for x in confirmed(both)] == ["ISC", "Apache-2.0", "MIT"]
     assert confirmed(L.TEXTS["GPL-3.0"].replace("GNU General", "GNU Affero General")) == []
+
+
+def brute_reductions(block):
+    """Of every template, by a compressor made for it alone."""
+    plain = " ".join(block.lower().split()).encode()
+    params = zstandard.ZstdCompressionParameters.from_level(L.LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
+
+    def size(text):
+        raw = {"dict_data": zstandard.ZstdCompressionDict(" ".join(text.lower().split()).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if text else {}
+        return len(zstandard.ZstdCompressor(compression_params=params, **raw).compress(plain))
+
+    every = [(license, text) for license, texts in L.TEMPLATES.items() for text in texts] + list(L.TEXTS.items())
+    return [(license, 1 - size(text) / size("")) for license, text in every]
+
+
+def test_every_template_compresses_every_block():
+    for block in (MIT, APACHE, L.TEMPLATES["GPL-3.0"][1], L.TEXTS["ISC"], "All rights of copyright are reserved by the owner of the house."):
+        ranked, want = L.templates().ranked(block), brute_reductions(block)
+        got = {k: (license, reduction) for reduction, license, k in ranked}
+        assert len(got) == len(want) and [got[k][0] for k in range(len(want))] == [w[0] for w in want]
+        assert max(abs(got[k][1] - w[1]) for k, w in enumerate(want)) < 0.05
+        assert [r for r, *_ in ranked] == sorted((r for r, *_ in ranked), reverse=True)
+
+
+def test_the_size_reduction_decides_between_templates():
+    """MIT-0 with a small part of MIT's condition: more words agree with MIT-0's, but MIT makes the block smaller."""
+    known, decided = L.templates(), 0
+    mit = L.TEMPLATES["MIT"][1].split()
+    at, behind = mit.index("subject"), mit.index("THE")
+    for n in range(1, behind - at):
+        text = " ".join(mit[:at + n] + mit[behind:])
+        own = L.words(text)
+        ids = np.array([known.number.get(w, -1) for w in own])
+        score = {}
+        for k, (license, *_) in enumerate(known.each):
+            if license in ("MIT", "MIT-0"):
+                for s, *_ in L.fitted(known.coded[k], ids):
+                    score[license] = max(score.get(license, 0), s)
+        reduction = {}
+        for license, r in brute_reductions(text):
+            reduction[license] = max(r, reduction.get(license, 0))
+        first = max(("MIT", "MIT-0"), key=reduction.get)
+        assert confirmed(text)[0][1] == first, (n, score, reduction)
+        decided += score.get("MIT-0", 0) > score.get("MIT", 0) and first == "MIT"
+    assert decided
