@@ -69,7 +69,8 @@ def counted_rows(enriched: DataFrame, keys: list[str], window_ms: int, slide_ms:
     def drops(at):  # k <= at / slide
         return (F.floor(at / slide_ms) + 1).cast("long")
 
-    both = counts_before(timed, keys, "_bkt", "_at", {"_fired": emissions, "_dropped": drops})
+    single = buckets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    both = counts_before(timed, keys, "_bkt", "_at", {"_fired": emissions, "_dropped": drops}, single)
     each = both.select(*keys, "_bkt", "start", F.explode(F.arrays_zip("_rows", "_fired", "_dropped")).alias("z"))
     at = F.col("z._rows.ts_ms") - F.col("start")
     return shared_table(each.select(*keys, "_bkt", "start", *[F.col(f"z._rows.{c}").alias(c) for c in dict.fromkeys([*order, *columns]) if c not in keys],

@@ -103,15 +103,18 @@ def _step_function(lo: Column, hi: Column, rows: Column, threshold: Callable[[Co
 
 
 def counts_before(buckets: DataFrame, keys: list[str], bucket: str, rows: str,
-                  ladders: dict[str, Callable[[Column], Column]]) -> DataFrame:
+                  ladders: dict[str, Callable[[Column], Column]], single: bool = False) -> DataFrame:
     """``buckets`` (one row for each key and bucket, ``rows`` its sorted array)
     with one column for each ladder: its count before each of the rows, an
     array of longs.
 
     ``ladders`` maps a column's name to its threshold: an array element to a
     long, not null.  ``buckets`` is read four times; hand in a written or
-    persisted table.
+    persisted table.  ``single``: no key has a second bucket, so every count
+    starts at 0 and the steps that find the starts are left out.
     """
+    if single:
+        return buckets.withColumns({n: scanned(F.col(rows), long(0), climbed(t)) for n, t in ladders.items()})
     by_bucket = W.partitionBy(*keys).orderBy(bucket)
     earlier = by_bucket.rowsBetween(W.unboundedPreceding, -1)
     own = [*keys, bucket]
