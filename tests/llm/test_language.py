@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 
 from skyledger.llm import language as L
@@ -48,3 +51,74 @@ def test_labels_beyond_the_named_ones_are_one_class(spark):
     label = {r[0]: r[2] if r[2] in ("aa", "bb") else L.OTHER for r in rows}
     assert {r.doc_id: r.lang for r in L.identify(docs, none, 2).collect()} == label
     assert {r.doc_id: r.lang for r in L.identify(docs, none).collect()} == {r[0]: r[2] for r in rows}
+
+
+def brute(docs, pages):
+    """Posteriors by plain loops: ``{(kind, id): (lang, probability, text_lang)}``, ids unique."""
+    def grams(text):
+        b = text.lower().encode()
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2 ** 32) >> 16 for i in range(len(b) - 2)]
+
+    langs = sorted({lang for _, _, lang, _ in docs if lang is not None})
+    counts = {lang: {} for lang in langs}
+    for _, text, lang, _ in docs:
+        for g in grams(text or "") if lang is not None else ():
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    totals = {lang: sum(c.values()) + 0.5 * L.BUCKETS for lang, c in counts.items()}
+
+    def normal(x):
+        return [v / sum(x) for v in x]
+
+    def softmax(x):
+        return normal([math.exp(v - max(x)) for v in x])
+
+    rows = []
+    for doc_id, text, _, source in docs:
+        host = None if source is None else "source:" + source
+        rows.append((("document", doc_id), text or "", host, host, None, None))
+    for page_id, url, html in pages:
+        host = re.match(r"[a-z]+://([^/:?#]+)", url or "")
+        host = host[1].lower() if host else None
+        declared = re.search(r"<html\b[^<>]*lang='([a-z]+)'", html or "")
+        rows.append((("page", page_id), re.sub(r"<[^<>]*>", " ", html or ""), host, host and ".".join(host.split(".")[-2:]),
+                     declared and declared[1], host and host.split(".")[-1]))
+    loglik = [[sum(math.log((counts[x].get(g, 0) + 0.5) / totals[x]) for g in grams(r[1])) / 3 for x in langs] for r in rows]
+    own = [softmax(x) for x in loglik]
+
+    def sums(at, only=None):
+        out = {}
+        for r, o in zip(rows, own):
+            if r[at] is not None and (only is None or r[0][0] == only):
+                out[r[at]] = [a + b for a, b in zip(out.get(r[at], [0.0] * len(langs)), o)]
+        return out
+
+    hosts, domains, declared, suffixes = sums(2), sums(3), sums(4, "page"), sums(5, "page")
+    overall = normal([1 + sum(o[i] for o in own) for i in range(len(langs))])
+    of_pages = [sum(o[i] for r, o in zip(rows, own) if r[0][0] == "page") for i in range(len(langs))]
+    out = {}
+    for r, ll, o in zip(rows, loglik, own):
+        prior = overall
+        for of, at in ((domains, 3), (hosts, 2)):
+            prior = normal([max(c - x, 0.0) + L.SMOOTHING * p for c, x, p in zip(of.get(r[at], o), o, prior)])
+        logits = [x + math.log(p + 1e-9) for x, p in zip(ll, prior)]
+        for of, at in ((declared, 4), (suffixes, 5)):
+            if r[at] is not None:
+                logits = [x + math.log((c + 0.5) / (t + 10)) for x, c, t in zip(logits, of[r[at]], of_pages)]
+        post = softmax(logits)
+        out[r[0]] = langs[post.index(max(post))], max(post), langs[o.index(max(o))] if any(ll) else None
+    return out
+
+
+def test_posteriors_equal_brute_force(spark):
+    mixed = ["der die das und ", "the of and that ", "les des est une "]
+    docs = [(i, (mixed[i % 3] + mixed[(i // 3) % 3][:6]) * (1 + i % 4), [None, "de", "en", "fr"][0 if i % 5 == 4 else 1 + i % 3], None if i % 7 == 3 else f"s{i % 4}") for i in range(40)]
+    docs += [(90, None, "de", "s1"), (91, "", None, None), (92, "xy", "en", "s2")]
+    pages = [(i, f"http://{'abc'[i % 3]}.site{i % 2}.{['de', 'com'][i % 2]}/x", f"<html lang='{['de', 'en', 'fr'][i % 3]}'><p>{mixed[i % 3][:9]}</p>") for i in range(20)]
+    pages += [(90, None, None), (91, "http://a.site0.de/", ""), (92, "http://solo/", "<p>the</p>")]
+    want = brute(docs, pages)
+    got = L.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(pages, PAGES)).collect()
+    assert len(got) == len(want) == 66
+    for r in got:
+        lang, probability, text_lang = want[r.kind, r.doc_id if r.kind == "document" else r.page_id]
+        assert abs(r.probability - probability) < 1e-4 and r.kept == (r.probability >= L.LEAST_PROBABILITY)
+        assert r.lang == lang and (r.text_lang == text_lang or probability < 0.5)
