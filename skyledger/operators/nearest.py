@@ -4,8 +4,8 @@ Both sides are mapped to unit-sphere points (x, y, z); chord distance
 orders like great-circle distance.  Ties go to the lowest ``place_id``.
 
 **Fast path (one grid level).**  Places are copied into the 27 cells around
-their own cell of size ``c`` (about the mean place spacing) and each
-distinct point location is equi-joined with the copies in its cell.  Any
+their own cell of size ``c`` (about the mean place spacing), listed by cell, and
+each distinct point location is equi-joined with the list of its cell.  Any
 place within chord distance ``c`` of a point lies in one of those cells, so
 a best candidate within ``c`` (more exactly, within ``c`` plus the
 point's distance to the nearest face of its own cell) is the exact answer.  A point takes this path
@@ -260,20 +260,22 @@ def nearest_place(points: DataFrame, places: DataFrame, *, lat: str = "lat", lon
     per_cell = own.groupBy("_own").agg(F.count(F.lit(1)).alias("_n"))
     around = (per_cell.select("_own", "_n", offsets)
               .groupBy((F.col("_own") + F.col("_off")).alias("_cell")).agg(F.sum("_n").alias("_nbr")))
-    probe = (locs.withColumn("_cell", _cell_key(F.col("qx"), F.col("qy"), F.col("qz"), c0))
-             .join(_maybe_broadcast(around, small), "_cell", "left"))
-    fast_ok = F.coalesce(F.col("_nbr").between(1, max_candidates), F.lit(False))
     copies = (own.select("place_id", "px", "py", "pz", "_own", offsets)
-              .select("place_id", "px", "py", "pz", (F.col("_own") + F.col("_off")).alias("_pcell")))
-    d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"), F.col("px"), F.col("py"), F.col("pz"))
-    # One chain for every location: locations outside the fast path get no
-    # candidate (left join on a false condition) and go on to the descent.
-    cp = _maybe_broadcast(copies, small)
-    probe = probe.withColumn("_fast", fast_ok)
-    best = (probe.join(cp, (probe["_cell"] == cp["_pcell"]) & probe["_fast"], "left")
-            .groupBy(*_LOC, *_Q)
-            .agg(F.min(F.when(F.col("place_id").isNotNull(),
-                              F.struct(d2.alias("d2"), F.col("place_id")))).alias("_b")))
+              .select("place_id", "px", "py", "pz", (F.col("_own") + F.col("_off")).alias("_cell")))
+    # The places a cell's points meet, as one list of at most max_candidates: a
+    # location stays one row, so its candidates are neither sorted nor shuffled.
+    listed = around.where(F.col("_nbr").between(1, max_candidates)).select("_cell")
+    near = (copies.join(_maybe_broadcast(listed, small), "_cell", "left_semi").groupBy("_cell")
+            .agg(F.collect_list(F.struct("place_id", "px", "py", "pz")).alias("_near")))
+
+    def candidate(p):
+        d2 = chord_distance_sq(F.col("qx"), F.col("qy"), F.col("qz"), p["px"], p["py"], p["pz"])
+        return F.struct(d2.alias("d2"), p["place_id"].alias("place_id"))
+    # Locations outside the fast path get no candidate and go on to the descent.
+    # explode: the least candidate is worked out once, not again in each filter on it.
+    best = (locs.withColumn("_cell", _cell_key(F.col("qx"), F.col("qy"), F.col("qz"), c0))
+            .join(_maybe_broadcast(near, small), "_cell", "left")
+            .select(*_LOC, *_Q, F.explode(F.array(F.array_min(F.transform("_near", candidate)))).alias("_b")))
     # The 27 cells cover every place closer than c0 * (1 + m), m the point's
     # smallest distance (in cells) to a face of its own cell.
     def frac(v):

@@ -1,4 +1,5 @@
 import random
+import re
 
 from skyledger.operators.nearest import fine_cell_size, nearest_place
 from tests.folds import nearest
@@ -85,3 +86,10 @@ def test_far_points_meet_few_places(spark):
     assert _run(spark, pts2, places) == nearest(pts2, places)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_candidates_are_neither_sorted_nor_shuffled(spark):
+    pts = spark.createDataFrame([(1, 0.0, 1.0)], "k long, lat double, lon double")
+    pl = spark.createDataFrame([(1, 0.0, 0.0, "a", "p", "c")], "place_id long, lat double, lon double, name string, province string, country string")
+    plan = nearest_place(pts, pl)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortAggregate\(key=\[_lat#\d+, _lon#\d+, qx", plan) and "array_min" in plan
