@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from skyledger.llm import quality as Q
 from tests.llm.helpers import clashing, documents, empty, prose
@@ -87,3 +88,17 @@ def test_held_out_labels(spark):
     rows = [(r.quality, got[r.doc_id]) for r in labels.filter("doc_id % 3 = 1").collect() if not got[r.doc_id].base_failed]
     assert np.mean([x.kept for q, x in rows if q == 1]) > 0.97
     assert np.mean([x.kept for q, x in rows if q == 0]) < 0.1
+
+
+def test_every_trusted_document_counts(spark):
+    n = 20_050  # all trusted: the target is the corpus, so no ratio differs from 0
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 500).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert not Q.fit(docs, labels).ratio.any()
+
+
+def test_quantile_of_the_lowest_rows(spark):
+    values = np.random.default_rng(3).normal(size=2_500)
+    rows = spark.createDataFrame([(float(v),) for v in values], "value double")
+    assert abs(Q.quantile(rows, "value", 0.001) - np.quantile(values, 0.001)) < 1e-12
+    assert Q.quantile(rows.limit(1), "value", 0.001) == rows.first().value and Q.quantile(rows.limit(0), "value", 0.5) == float("-inf")
