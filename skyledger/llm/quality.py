@@ -43,6 +43,9 @@ MAX_REPEAT = 50
 QUANTILE = 0.001
 MARGIN = 0.15
 
+#: So many ids of trusted documents are broadcast (tens of MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\v\f\r"
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -138,6 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, target_rows: int | None = None) -> I
     good = (labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     if target_rows is not None:
         good = good.join(texts.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_rows)
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
 
     def sums_of(found):
         sums, seen = np.zeros(BUCKETS, np.int64), False
