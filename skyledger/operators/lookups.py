@@ -19,12 +19,33 @@ def get_cities(requests: DataFrame, latest_temps: DataFrame) -> DataFrame:
     return requests.select("org").join(known, "org", "left")
 
 
-def get_cities_lists(requests: DataFrame, latest_temps: DataFrame) -> DataFrame:
+# Replies of one org that one task makes from one copy of its list.
+REPLIES_PER_LIST = 512
+
+
+def get_cities_lists(requests: DataFrame, latest_temps: DataFrame, separator: str | None = None) -> DataFrame:
     """G1 reply shape: one row per request, a repeated one included, with
-    ``cities`` sorted (empty when unknown)."""
-    known = latest_temps.groupBy("org").agg(F.array_sort(F.collect_set("city")).alias("cities"))
-    return (requests.select("org").join(known, "org", "left")
-            .select("org", F.coalesce("cities", F.array().cast("array<string>")).alias("cities")))
+    ``cities`` sorted (empty when unknown); with ``separator`` as one text.
+
+    A list may be megabytes long and an org requested any number of times, so
+    requests are counted, an org's list (or text) is made once, and its replies
+    are dealt in parts of ``REPLIES_PER_LIST``: a task holds the list it repeats,
+    and what is shuffled is one list a part."""
+    cities = F.array_sort(F.collect_set("city"))
+    none = F.array().cast("array<string>")
+    if separator is not None:
+        cities, none = F.array_join(cities, separator), F.lit("")
+    known = latest_temps.groupBy("org").agg(cities.alias("cities"))
+    counts = requests.groupBy("org").agg(F.count(F.lit(1)).alias("_n"))
+    last = F.floor((F.col("_n") - 1) / REPLIES_PER_LIST)
+    parts = (counts.join(known, "org", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+             .withColumn("_left", F.col("_n") - F.col("_part") * REPLIES_PER_LIST))
+    # a given number of partitions: by their bytes, which the replies outgrow, they would be merged
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (parts.repartition(tasks, "org", "_part")
+            .select("org", F.coalesce("cities", none).alias("cities"),
+                    F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_left"), F.lit(REPLIES_PER_LIST).cast("long")))).alias("_reply"))
+            .drop("_reply"))
 
 
 def get_temperature(requests: DataFrame, latest_temps: DataFrame) -> DataFrame:

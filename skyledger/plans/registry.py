@@ -158,8 +158,7 @@ def q_get_cities(spark, d):
 def q_get_cities_lists(spark, d):
     """G1 reply shape: one reply a request; requested orgs repeat, some are unknown."""
     req = _requests(spark, d).select("org")
-    g = G.get_cities_lists(req, _summaries(spark, d, req)["latest_city_temperature"])
-    return g.select("org", F.array_join("cities", "|").alias("cities"))
+    return G.get_cities_lists(req, _summaries(spark, d, req)["latest_city_temperature"], separator="|")
 
 
 def q_get_temperature(spark, d):

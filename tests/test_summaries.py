@@ -1,4 +1,6 @@
 
+from pyspark.sql import functions as F
+
 from skyledger.operators import lookups as G
 from skyledger.operators import summaries as S
 
@@ -70,3 +72,20 @@ def test_org_report_and_fan_out(spark):
     rep = {(r.org, r.city): (r.temperature, r.city_drone_count, r.drone_count)
            for r in S.org_report(temps, latest).collect()}
     assert rep == {("Org 1", "a"): (15.0, 2, 3), ("Org 1", "b"): (30.0, 1, 3), ("Org 2", "z"): (7.0, 1, 1)}
+
+
+def test_city_lists_of_many_requests_are_dealt_over_tasks(spark):
+    temps = spark.createDataFrame([("A", "b"), ("A", "a"), ("A", "a"), ("B", "c"), ("C", "d"), (None, "e")], "org string, city string")
+    asked = {"A": 3 * G.REPLIES_PER_LIST, "B": G.REPLIES_PER_LIST + 1, "Z": 2, None: 3}
+    req = spark.createDataFrame([(o, n) for o, n in asked.items()], "org string, n int").select(
+        "org", F.explode(F.sequence(F.lit(1), "n")).alias("request"))
+    got = G.get_cities_lists(req, temps, separator="|")
+    assert {(r.org, r.cities): r["count"] for r in got.groupBy("org", "cities").count().collect()} == {
+        ("A", "a|b"): asked["A"], ("B", "c"): asked["B"], ("Z", ""): 2, (None, ""): 3}
+    of_a = got.where("org = 'A'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(of_a) > 1 and sum(r["count"] for r in of_a) == asked["A"]
+    # a reply's text is not put together again for each request
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("array_join")
+    lists = {(r.org, tuple(r.cities)) for r in G.get_cities_lists(req, temps).collect()}
+    assert lists == {("A", ("a", "b")), ("B", ("c",)), ("Z", ()), (None, ())}
