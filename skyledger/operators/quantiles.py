@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from skyledger.session import shared_table
+
 BITS = 7
 
 
@@ -77,8 +79,10 @@ def ranked(df: DataFrame, keys: list[str], value: str, ranks: Column, bins: Data
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
-    """``keys``, ``n`` and a column ``p<percent>`` for each quantile, exact."""
+    """``keys``, ``n`` and a column ``p<percent>`` for each quantile, exact.  The
+    numbers are read by several steps, so they are written once."""
     names = {q: f"p{100 * q:g}".replace(".", "_") for q in qs}
+    df = shared_table(df.select(*keys, F.col(value).cast("long").alias(value)), "numbers")
     bins = histogram(df, keys, value)
     found = ranked(df, keys, value, F.array(*[_rank(F.lit(float(q))) for q in qs]), bins)
     totals = bins.groupBy(*keys).agg(F.sum("n").alias("_all"))

@@ -63,3 +63,10 @@ def test_admission_by_first_arrival(spark):
         assert sorted((r.arrival_seq, r.arrival_pos) for r in kept.collect()) == want
         assert kept.count() + refused.count() == len(rows)
         assert all(not admitted[(r.org, r.city) if len(keys) == 2 else (r.org,)] for r in refused.collect())
+
+
+def test_exact_quantiles_work_the_numbers_out_once(spark):
+    df = spark.range(1, 1001).select(F.lit("a").alias("kind"), F.col("id").alias("v"))
+    got = Q.exact_quantiles(df, ["kind"], "v", QS)
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.asDict() for r in got.collect()][0]["n"] == 1000
