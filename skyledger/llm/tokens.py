@@ -120,26 +120,52 @@ class ByteBpe(_Encoder):
 
 
 class WordBpe(_Encoder):
-    """word_bpe_49k.json: white space is dropped, words stand alone."""
+    """word_bpe_49k.json: white space is dropped, words stand alone.
+
+    The library lowers a text and cuts it into pieces (letters, one digit, signs,
+    some endings behind an apostrophe) that it merges one by one.  Texts of
+    Latin-1 characters are cut here by the same rule, so the memo holds a piece
+    once, whatever its case and the signs around it; other texts are cut at
+    white space only.  The last token of a piece, and no other, ends a word: new
+    pieces go to the library in one text and are told apart by that."""
 
     _MARK = "\x01"
+    _NOT_LATIN = re.compile("[^\t\n\r -~\xa1-\xac\xae-\xff]")
+    _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+                         "|[^\\s0-9a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
+    #: Pieces that stay one piece in any text.
+    _PIECE = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[!-&(-/:-@\\[-`{-~]+")
 
     def __init__(self, path: str):
         super().__init__(path)
         self.mark, = self._library([self._MARK])[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self.ends[number] = token.endswith("</w>")
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
+    def _chunks(self, text: str) -> list[str]:
+        if not self._NOT_LATIN.search(text):
+            return self._PIECES.findall(text.lower())
         return text.split() if not _SEPARATORS.search(text) else _WORD.findall(text)
 
     def _encode_new(self, pending):
-        simple = np.fromiter((self._MARK not in k for k in pending), bool, len(pending))
-        ids = np.array(self._library([f" {self._MARK} ".join(k for k, s in zip(pending, simple) if s)])[0], np.uint16)
+        simple = np.fromiter((self._PIECE.fullmatch(k) is not None for k in pending), bool, len(pending))
+        ids = np.array(self._library([" ".join(k for k, s in zip(pending, simple) if s)])[0], np.uint16)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        odd_ids, odd_lengths = self._marked([k for k, s in zip(pending, simple) if not s])
+        return self._placed(simple, np.diff(ends, prepend=0), odd_lengths, np.concatenate([ids, odd_ids]))
+
+    def _marked(self, chunks):
+        """Ids and lengths of any chunks: those without a mark in one text, with marks between them."""
+        plain = np.fromiter((self._MARK not in k for k in chunks), bool, len(chunks))
+        ids = np.array(self._library([f" {self._MARK} ".join(k for k, s in zip(chunks, plain) if s)])[0], np.uint16)
         marks = np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])
-        each = self._library([k for k, s in zip(pending, simple) if not s])
+        each = self._library([k for k, s in zip(chunks, plain) if not s])
         flat = np.concatenate([ids[ids != self.mark], *(np.array(x, np.uint16) for x in each)])
-        lengths = np.diff(marks)[:int(simple.sum())] - 1
-        return self._placed(simple, lengths, np.fromiter(map(len, each), np.int64, len(each)), flat)
+        lengths = np.diff(marks)[:int(plain.sum())] - 1
+        starts, lengths, flat = self._placed(plain, lengths, np.fromiter(map(len, each), np.int64, len(each)), flat)
+        return ragged(flat, starts, lengths), lengths
 
 
 @lru_cache(maxsize=None)

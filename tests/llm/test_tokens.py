@@ -28,3 +28,20 @@ def test_ids_equal_the_library_on_whole_texts(name, make):
             assert list(ids) == whole.encode(text, add_special_tokens=False).ids, repr(text)
     encoder.memo.limit = 10
     assert all(np.array_equal(a, b) for a, b in zip(encoder.encode(given), got))
+
+
+def test_words_that_differ_in_case_or_signs_share_pieces():
+    encoder = tokens.WordBpe(P.path("word_bpe_49k.json"))
+    encoder.encode(["Word word, WORD! (word). word Word, wORD"])
+    assert set(encoder.memo) == {"word", ",", "!", "(", ").", "!"}
+
+
+def test_latin_texts_are_cut_as_the_library_cuts_them():
+    whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    whole.encode_special_tokens = True
+    encoder, rng = tokens.WordBpe(P.path("word_bpe_49k.json")), random.Random(6)
+    parts = [chr(i) for i in range(256)] + ["'s", "'LL", "'re", "don't", "Ünder", "</w>", "<|endoftext|>", "12", "ß", " ", "\n", " "]
+    given = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
+    given += ["".join(rng.choices([p for p in parts if p.isprintable()], k=20)) for _ in range(3000)] + [a + c + b for c in parts for a, b in ("aB", "1.", "'s", " '")]
+    for text, ids in zip(given, encoder.encode(given)):
+        assert list(ids) == whole.encode(text, add_special_tokens=False).ids, repr(text)
