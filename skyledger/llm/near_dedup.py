@@ -19,16 +19,15 @@ are joined to components:
    most of at most ``CENTRES`` nodes of that component, so that a large family
    comes together at a cost in proportion to its size;
 3. without any sampling, the nodes of buckets
-   with several components by prefix filtering: two nodes that agree on at
-   least 29 of their 48 samples share one of the 20 rarest
-   samples of each, so only nodes with such a sample in common are compared,
-   every node outside a sample's largest component with the sample's nodes of
-   other components.
+   with several components by prefix filtering of their whole weighted shingles: what
+   two similar nodes share lies behind their first common shingle in order of
+   rarity, so only nodes are compared that have a rare shingle in common and
+   behind it enough weight, for the weight of both, to be similar.
 
 So all pairs of a bucket that could still join components are looked at, but a
 bucket that is one family costs its size, not the square, and documents that
 have one common passage and little else are not compared with each other, as
-their rarest samples lie outside it.  Candidates that agree on at least
+their rarest shingles lie outside it.  Candidates that agree on at least
 29 samples are verified by the exact weighted Jaccard similarity
 of their whole texts; those of ``SIMILARITY`` or more are
 linked, and a class is a connected component.  A pair of similarity 0.8 shares
@@ -50,7 +49,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import PLACE, Growing, Numbered, batch_of, located, slices, table, unlocated, written
@@ -64,6 +63,8 @@ NO_BAND, TOO_FEW = 0.0025, 0.001
 #: Nodes of a bucket's largest component that step 2 offers to the others.
 CENTRES = 16
 DF_BUCKETS = 1 << 18
+#: Ratio of neighbouring classes of weight in step 3, and what sums of doubles may differ by.
+WEIGHT_STEP, _SLACK = 1.02, 1e-9
 #: First nodes of pairs that a task holds at once; pairs in a part of the second ones.
 BLOCK, PART_PAIRS = 64, 1 << 16
 SEED = 9
@@ -279,26 +280,58 @@ def _central_pairs(placed: DataFrame) -> DataFrame:
     return met.filter("component != largest").select(*key, F.col("node").alias("a")).join(centres, key).select("a", "b").distinct()
 
 
-def _open_pairs(nodes: DataFrame, least: int) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes (node, component, signature)`` in different
-    components, with every pair that agrees on ``least`` samples.
-
-    Samples are ordered by the number of nodes that have them; a pair has to
-    share one of the ``SAMPLES - least + 1`` first of each node."""
-    sampled = nodes.select("node", "component", F.posexplode("signature").alias("sample", "value"))
-    key = ["sample", "value"]
-    common = written(sampled.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-samples")
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), *key))), 1, SAMPLES - least + 1)
-    prefix = written(sampled.join(common, key, "left").groupBy("node", "component").agg(rarest.alias("rarest"))
-                     .select("node", "component", F.explode("rarest").alias("s")).filter("s.n > 1")
-                     .select("node", "component", "s.sample", "s.value"), "near-prefixes")
-    counts = prefix.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = written(counts.groupBy(key).agg(F.max(F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components"))
-                      .filter("components > 1").select(*key, F.col("largest.component").alias("largest")), "near-largest")
-    met = prefix.join(largest, key)
-    outside = met.filter("component != largest").select(*key, F.col("node").alias("a"), F.col("component").alias("ca"))
-    others = met.select(*key, F.col("node").alias("b"), F.col("component").alias("cb"), "largest")
-    pairs = outside.join(others, key).filter("ca != cb AND (cb = largest OR a < b)")
+def _rarest_shingles(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """``node, component, shingle, weight, rest``: the shingles of each of
+    ``nodes (node, component)`` that come first when they are ordered by the
+    number of nodes that have them, with the node's whole weight and the weight
+    from this shingle on, as long as that is ``similarity`` of the whole.
+
+    The first common shingle of two nodes so similar is among these of both, as
+    all that they share lies from there on."""
+    schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("weight", pa.float64())])
+
+    def weigh(batches):
+        shingler = Shingler()
+        for part in slices(batches):
+            numbers, hashes, weights = [], [], []
+            for node, text in zip(*(c.to_pylist() for c in part.columns)):
+                distinct, count, weight = _counted(shingler(text or "")[1], idf)
+                numbers.append(np.full(len(distinct), node, np.int64))
+                hashes.append(distinct.view(np.int64))
+                weights.append(count * weight)
+            yield batch_of(schema, [np.concatenate(x) for x in (numbers, hashes, weights)])
+
+    weighed = written(texts.join(nodes.select("node"), "node").select("node", "text").mapInArrow(
+        weigh, "node long, shingle long, weight double"), "near-shingles")
+    common = weighed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    by_node = W.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)).desc(), "shingle")
+    rows = weighed.join(common, "shingle", "left").withColumn("rest", F.sum("weight").over(by_node.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("weight", F.max("rest").over(W.partitionBy("node")))
+    first = rows.filter("n > 1").filter(F.col("rest") >= F.col("weight") * (similarity * (1 - _SLACK)))
+    return written(first.select("node", "shingle", "weight", "rest").join(nodes.select("node", "component"), "node"), "near-rarest")
+
+
+def _open_pairs(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes (node, component)`` in different components,
+    with every pair of at least ``similarity``.
+
+    What two nodes share weighs at most the lesser ``rest`` at their first
+    common shingle, so the similarity bounds the sum of their weights by
+    ``most`` of either.  The heavier node looks for lighter ones in the classes of
+    weight that leaves; a shingle that a whole family has thus meets few pairs."""
+    rows = _rarest_shingles(nodes, texts, idf, similarity).withColumn("most", F.col("rest") * ((1 + similarity) / similarity * (1 + _SLACK)))
+
+    def weight_class(weight):
+        return F.floor(F.log(weight) / float(np.log(WEIGHT_STEP))).cast("long")
+
+    low, high = F.col("weight") * (similarity * (1 - _SLACK)), F.least("weight", F.col("most") - F.col("weight"))
+    heavier = rows.filter(high >= low).select(
+        "shingle", F.explode(F.sequence(weight_class(low), weight_class(high))).alias("class"),
+        F.col("node").alias("a"), F.col("component").alias("ca"), F.col("weight").alias("wa"), F.col("most").alias("ma"))
+    lighter = rows.select("shingle", weight_class(F.col("weight")).alias("class"), F.col("node").alias("b"), F.col("component").alias("cb"),
+                          F.col("weight").alias("wb"), F.col("most").alias("mb"))
+    pairs = heavier.join(lighter, ["shingle", "class"]).filter(
+        "ca != cb AND (wb < wa OR wb = wa AND a < b) AND wa + wb <= ma AND wa + wb <= mb")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -332,22 +365,24 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return members.select("band", "key", "node").join(component, "node", "left").withColumn(
             "component", F.coalesce("component", "node"))
 
-    def joined(pairs):
+    def joined(pairs, texts):
         known = component.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        return components(known.unionByName(_verified(pairs, texts_of(pairs), idf, similarity).select("a", "b")))
+        return components(known.unionByName(_verified(pairs, texts, idf, similarity).select("a", "b")))
 
     central = written(_agreeing(_central_pairs(placed()), signature, least).groupBy("a").agg(
         F.max_by("b", F.struct("same", "b")).alias("b")).join(stars, ["a", "b"], "left_anti"), "near-central")
     if not central.isEmpty():
-        component = joined(central)
+        component = joined(central, texts_of(central))
 
     # What is left: buckets whose members are still in different components.
     several = placed().groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    still = written(placed().join(several, ["band", "key"]).select("node", "component").distinct().join(signature, "node"), "near-open")
+    still = written(placed().join(several, ["band", "key"]).select("node", "component").distinct(), "near-open")
     seen = stars.unionByName(central.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    more = written(_agreeing(_open_pairs(still, least), signature, least).select("a", "b").join(seen, ["a", "b"], "left_anti"), "near-more")
+    open_texts = texts_of(still.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    more = written(_agreeing(_open_pairs(still, open_texts, idf, similarity), signature, least).select("a", "b")
+                   .join(seen, ["a", "b"], "left_anti"), "near-more")
     if not more.isEmpty():
-        component = joined(more)
+        component = joined(more, open_texts)
 
     classes = nodes.select("node", "digest", "first", "size").join(component, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))

@@ -120,3 +120,39 @@ def test_figures_follow_the_similarity(spark):
     got = {r.doc_id: r.class_id for r in N.near_classes(docs, 0.5).collect()}
     assert {i for i in range(60) if got[2 * i] == got[2 * i + 1]} == wanted
     assert all(r.class_id == r.doc_id for r in N.near_classes(docs).collect())
+
+
+def test_family_just_below_the_similarity_is_not_compared_in_pairs(spark, monkeypatch):
+    """120 versions of a text, 0.7 to 0.8 similar, and a few true links among them."""
+    rows = [(i, edited(prose(901, 240), 6, 500 + i)) for i in range(120)]
+    rows += [(1000 + i, edited(rows[i][1], 2, 900 + i)) for i in range(0, 120, 12)]
+    docs, counts, write = spark.createDataFrame(rows, "doc_id long, text string"), {}, N.written
+
+    def written(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+    monkeypatch.setattr(N, "written", written)
+    classes = {}
+    for r in N.near_classes(docs).collect():
+        classes.setdefault(r.class_id, []).append(r.doc_id)
+    want = brute(docs.collect(), N.document_frequencies(docs))
+    assert sorted((sorted(c, key=str) for c in classes.values()), key=str) == want
+    assert len(want) > 60 and counts["near-more"] < 1500  # of some 8,000 pairs
+
+
+def test_open_pairs_hold_every_similar_pair(spark):
+    rng, rows = random.Random(3), []
+    for g in range(6):
+        base = prose(40 + g, 60 + 60 * g)
+        for i in range(30):
+            words = edited(base, rng.randint(0, 9), 10 * i + g).split(" ")
+            rows.append((100 * g + i, " ".join(words[rng.randint(0, 12):len(words) - rng.randint(0, 12)]) + " again again again again again again" * rng.randint(0, 4)))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    idf, shingler = N.document_frequencies(texts), N.Shingler()
+    sets = {node: N._counted(shingler(text)[1], idf) for node, text in rows}
+    for similarity in (0.8, 0.5):
+        want = {(a, b) for a in sets for b in sets if a < b and a % 7 != b % 7 and N.weighted_jaccard(sets[a], sets[b]) >= similarity}
+        nodes = texts.select("node", (F.col("node") % 7).alias("component"))
+        got = {(r.a, r.b) for r in N._open_pairs(nodes, texts, idf, similarity).collect()}
+        assert want and want <= got
