@@ -44,6 +44,8 @@ SAMPLE_CHARS = 20_000
 #: Documents of the sample that must hold a word for it to have a weight.
 LEAST_ROWS = 3
 STEPS, RATE = 150, 0.2
+#: Words of the sample that a step of the fit spreads out at a time.
+PART_WORDS = 1 << 18
 #: Strength of the penalty on absolute weights, in standard errors of a weight's
 #: first gradient: chance words of toxic documents get no weight.
 PENALTY = 0.5
@@ -131,6 +133,16 @@ class Scorer:
         return 0.0 - float(np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
+def _documents_with(word: np.ndarray, document: np.ndarray, words: Words, n: int) -> np.ndarray:
+    """Of each feature the documents that hold it, from words by ascending
+    document; counted document by document, so that only one document's features are spread out."""
+    counts, edges = np.zeros(BUCKETS, np.int64), np.searchsorted(document, np.arange(n + 1))
+    for a, b in zip(edges, edges[1:]):
+        of = np.unique(word[a:b])
+        counts[np.unique(ragged(words.features.values, words.start.values[of], words.length.values[of]))] += 1
+    return counts
+
+
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """Proximal Adam over the whole sample on the noisy-or likelihood; deterministic."""
     words = Words(limit=1 << 62)
@@ -138,34 +150,39 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     for d, text in enumerate(texts):
         numbers, first = words.sentences(text)
         if len(first):
-            word.append(numbers)
-            sentence.append(n + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(numbers)))))
-            bag.append(np.full(len(first), d))
+            word.append(numbers.astype(np.int32))
+            sentence.append((n + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(numbers))))).astype(np.int32))
+            bag.append(np.full(len(first), d, np.int32))
             n += len(first)
     if not n or len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), float("-inf"))
     word, sentence, bag = np.concatenate(word), np.concatenate(sentence), np.concatenate(bag)
+    words.memo.clear()
     # A feature belongs to words, a word to sentences, a sentence to a document.
     feature, length = words.features.values.astype(np.int64), words.length.values
     of_word = np.repeat(np.arange(len(length)), length)
-    pairs = np.unique(bag[sentence] * len(length) + word)
-    held = np.unique((pairs // len(length)).repeat(length[pairs % len(length)]) * BUCKETS + ragged(
-        feature, words.start.values[pairs % len(length)], length[pairs % len(length)]))
-    common = np.bincount(held % BUCKETS, minlength=BUCKETS) >= LEAST_ROWS
+    common = _documents_with(word, bag[sentence], words, len(texts)) >= LEAST_ROWS
     of_word, feature = of_word[common[feature]], feature[common[feature]]
     names, feature = np.unique(feature, return_inverse=True)
 
+    # A step spreads weights over a part of the words at a time: over all of them would take hundreds of MB.
+    parts = [slice(i, i + PART_WORDS) for i in range(0, len(word), PART_WORDS)]
     y = labels[bag] == 1
     toxic = int((labels == 1).sum())
     penalty = PENALTY * np.sqrt(toxic) * toxic / max(1, int(y.sum()))
     w, b, m, v = np.zeros(len(names)), FIRST_BIAS, np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, STEPS + 1):
         weight = np.bincount(of_word, w[feature], len(length))
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(sentence, weight[word], n), -30, 30)))
+        logit = np.zeros(n)
+        for part in parts:
+            np.add.at(logit, sentence[part], weight[word[part]])
+        p = 1 / (1 + np.exp(-np.clip(b + logit, -30, 30)))
         none = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)))[bag]
         # d log-likelihood / d logit of each sentence, then of words, then of features
         g = np.where(y, p * none / np.maximum(1 - none, 1e-9), -p)
-        of_words = np.bincount(word, g[sentence], len(length))
+        of_words = np.zeros(len(length))
+        for part in parts:
+            np.add.at(of_words, word[part], g[sentence[part]])
         grad = np.append(np.bincount(feature, of_words[of_word], len(names)), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad ** 2
         rate = RATE / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-2)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import zlib
 
@@ -94,3 +96,25 @@ def test_the_sample_is_not_chosen_by_length(spark, monkeypatch):
             break
         want.append(d)
     assert [d for d, t in seen[-1] if t == 0] == want
+
+
+def test_memory_of_the_fit(monkeypatch):
+    """Features of all words of all documents at once, 75 bytes a word of these texts."""
+    monkeypatch.setattr(X, "STEPS", 2)
+    texts = [prose(i, 600) for i in range(300)]
+    labels = np.arange(300) % 4 == 0
+    tracemalloc.start()
+    X.train(texts, labels.astype(int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * 600 * 50
+
+
+def test_documents_with_a_feature():
+    words, texts = X.Words(), ["toxic Toxic. words", "", "toxicity", "other words other"]
+    numbers = [words.sentences(t)[0] for t in texts]
+    document = np.repeat(np.arange(4), [len(x) for x in numbers])
+    want = np.zeros(X.BUCKETS, int)
+    for t in texts:
+        want[list({f for w in t.split() for f in X.features(w)})] += 1
+    assert np.array_equal(X._documents_with(np.concatenate(numbers), document, words, 4), want)
