@@ -8,8 +8,8 @@ of documents that differ in all else) times
 outweighs its few differences.  N counts all documents, df all documents with
 a shingle of the same one of ``DF_BUCKETS`` hash buckets, a table of fixed size.
 
-Rows with equal words are one *node*.  Improved consistent weighted sampling
-draws ``SAMPLES`` samples (shingle, level) of each node; two nodes agree
+Rows with equal words are one *node*.  Consistent weighted sampling
+draws ``SAMPLES`` samples (darts, see ``samples``) of each node; two nodes agree
 on a sample with the probability of their weighted Jaccard similarity.  Equal
 bands make nodes candidates in three steps, each after the links found so far
 are joined to components:
@@ -43,7 +43,6 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -52,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import PLACE, Growing, Numbered, batch_of, located, slices, table, unlocated, written
+from skyledger.llm.common import PLACE, batch_of, located, slices, table, unlocated, written
 from skyledger.llm.components import components
 
 SHINGLE = 5
@@ -69,8 +68,13 @@ WEIGHT_STEP, _SLACK = 1.02, 1e-9
 BLOCK, PART_PAIRS = 64, 1 << 16
 SEED = 9
 
+#: Darts that hit, expected for each sample; of 23 texts one has a sample without, and is drawn to a later time.
+DARTS = 7
+#: Bytes of texts that are hashed at once.
+TEXT_BYTES = 1 << 20
+
 _U = np.uint64
-_BLOCK = 4096
+_BLOCK = 1 << 14
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,65 +83,150 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Shingler:
-    """Hashed shingles of texts; a worker's memo keeps the hash of each word."""
-
-    def __init__(self):
-        self.memo, self.hashes = Numbered(500_000), Growing(np.uint64)
-
-    def __call__(self, text: str) -> tuple[str, np.ndarray]:
-        """Digest of the words, and the hash of each window of words."""
-        if self.memo.fresh():
-            self.hashes = Growing(np.uint64)
-        words = text.split()
-        numbers = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        pending, self.memo.pending = self.memo.pending, []
-        if pending:
-            self.hashes.extend([xxhash.xxh64_intdigest(w, SEED) for w in pending])
-        h, size = self.hashes.values[numbers], min(SHINGLE, len(words))
-        out = np.zeros(max(0, len(words) - size + 1) if size else 0, _U)
-        for i in range(size):
-            out = out * _U(0x9E3779B97F4A7C15) + h[i:i + len(out)]
-        return hashlib.md5(" ".join(words).encode()).digest(), _mixed(out)
-
+_P1, _P2, _P3, _P4, _P5 = map(_U, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << _U(n)) | (x >> _U(64 - n))
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """xxh64 of each word of ``data``, words parted by single spaces; words of
+    less than 32 bytes all at once, in steps of 8, 4 and 1 byte."""
+    size, padded = len(data), data + bytes(8)
+    letters = np.frombuffer(padded, np.uint8)
+    ends = np.append(np.flatnonzero(letters[:size] == 32), size)
+    at = np.append(0, ends[:-1] + 1)
+    left = ends - at
+    long = [(int(i), data[at[i]:ends[i]]) for i in np.flatnonzero(left >= 32)]
+    out = left.astype(_U) + (_U(SEED) + _P5)
+    left[[i for i, _ in long]] = 0
+    eights = np.ndarray(size + 1, "<u8", padded, strides=(1,))
+    fours = np.ndarray(size + 1, "<u4", padded, strides=(1,))
+    for step in (8, 8, 8, 4, 1, 1, 1):
+        i = np.flatnonzero(left >= step)
+        if not len(i):
+            continue
+        x, a = out[i], at[i]
+        if step == 8:
+            x = _rotated(x ^ (_rotated(eights[a] * _P2, 31) * _P1), 27) * _P1 + _P4
+        elif step == 4:
+            x = _rotated(x ^ (fours[a].astype(_U) * _P1), 23) * _P2 + _P3
+        else:
+            x = _rotated(x ^ (letters[a].astype(_U) * _P5), 11) * _P1
+        out[i] = x
+        at[i] += step
+        left[i] -= step
+    out = (out ^ (out >> _U(33))) * _P2
+    out = (out ^ (out >> _U(29))) * _P3
+    out ^= out >> _U(32)
+    for i, word in long:
+        out[i] = xxhash.xxh64_intdigest(word, SEED)
+    return out
+
+
+def _windows(h: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(len(h) - size + 1, _U)
+    for i in range(size):
+        out = out * _U(0x9E3779B97F4A7C15) + h[i:i + len(out)]
+    return _mixed(out)
+
+
+def _shingles(texts: list[str]) -> list[np.ndarray]:
+    """Hash of each window of words, of texts of words parted by single spaces."""
+    lengths = [t.count(b" ") + 1 if t else 0 for t in texts]
+    hashes = _word_hashes(b" ".join(t for t in texts if t)) if any(lengths) else np.zeros(0, _U)
+    whole, out, at = _windows(hashes, SHINGLE) if len(hashes) >= SHINGLE else None, [], 0
+    for n in lengths:
+        # Windows of one text; those that reach into the next one are passed over.
+        out.append(whole[at:at + n - SHINGLE + 1] if n >= SHINGLE else _windows(hashes[at:at + n], n) if n else hashes[:0])
+        at += n
+    return out
+
+
+def shingled(texts: list[str | None]):
+    """The words of each text parted by single spaces (UTF-8), and the hash of
+    each window of words; the texts of about ``TEXT_BYTES`` are hashed at a time."""
+    waiting, size = [], 0
+    for text in texts:
+        waiting.append(" ".join((text or "").split()).encode())
+        size += len(waiting[-1])
+        if size >= TEXT_BYTES:
+            yield from zip(waiting, _shingles(waiting))
+            waiting, size = [], 0
+    yield from zip(waiting, _shingles(waiting))
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, ...]:
-    """Gamma(2, 1) and uniform variates by 16 random bits (inverse of the
-    distribution function): r, 1 / r, ln c and beta."""
-    u = (np.arange(65536) + 0.5) / 65536
-    x = np.concatenate([[0], np.geomspace(1e-4, 40, 400_000)])
-    gamma = np.interp(u, 1 - (1 + x) * np.exp(-x), x)
-    return tuple(t.astype(np.float32) for t in (gamma, 1 / gamma, np.log(gamma), u))
 
+class Shingler:
+    """``shingled`` for one text: digest of its words, and the hash of each window of words."""
 
-_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SAMPLES, 1), dtype=np.uint64)
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
+        words, hashes = next(shingled([text]))
+        return hashlib.md5(words).digest(), hashes
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Improved consistent weighted sampling: one 64-bit value a sample."""
-    r_of, inverse_of, log_c_of, beta_of = _tables()
-    best, chosen = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, _U)
-    every = np.arange(SAMPLES)
-    low = _U(0xFFFF)
-    for at in range(0, len(shingles), _BLOCK):
-        h = shingles[at:at + _BLOCK]
-        bits = (h ^ _RANDOM[0]) * (_RANDOM[1] | _U(1))
-        bits ^= bits >> _U(32)
-        bits *= _U(0xD6E8FEB86659FD93)
-        i, beta = bits >> _U(48), beta_of[bits >> _U(16) & low]
-        r = r_of[i]
-        level = np.floor(np.log(weights[at:at + _BLOCK]).astype(np.float32) * inverse_of[i] + beta)
-        value = log_c_of[bits >> _U(32) & low] - r * (level - beta + 1)
-        j = value.argmin(1)
-        least = value[every, j]
-        better = least < best
-        best[better] = least[better]
-        picked = _mixed(h[j] + level[every, j].astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15))
-        chosen[better] = picked[better]
+    """``samples_of`` for one text."""
+    return samples_of([shingles], [weights])[0]
+
+
+def samples_of(shingles: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """Consistent weighted sampling by darts: of each text one 64-bit value a sample.
+
+    A shingle's hash fixes a random stream of darts for each of the ranges of
+    weight [0, 1), [1, 1.5), [1.5, 2.25), ...: a dart has a time, a weight in the range
+    and one of the samples.  It hits a text in which the shingle weighs more
+    than the dart, and a sample is the first dart that hits.  The first dart
+    that hits either of two texts hits both with the probability of their weighted
+    Jaccard similarity.  Only darts up to a time are drawn by which every sample
+    probably has one, so a text costs its length, not its length times the samples."""
+    best, chosen = np.full((len(shingles), SAMPLES), np.inf), np.zeros((len(shingles), SAMPLES), _U)
+    open_texts = np.flatnonzero([len(h) > 0 for h in shingles])
+    until = np.array([DARTS / max(w.sum(), 1e-300) for w in weights])
+    while len(open_texts):
+        h, w = (np.concatenate([of[i] for i in open_texts]) for of in (shingles, weights))
+        text = np.repeat(open_texts, [len(shingles[i]) for i in open_texts])
+        best[open_texts] = np.inf
+        for i in range(0, len(h), _BLOCK):
+            block = slice(i, i + _BLOCK)
+            time, bits, of = _darts(h[block], w[block], until[text[block]], text[block])
+            at = of * SAMPLES + ((bits & _U(0xFFFF)) * _U(SAMPLES) >> _U(16)).astype(np.int64)
+            np.minimum.at(best.reshape(-1), at, time)
+            first = time == best.reshape(-1)[at]
+            chosen.reshape(-1)[at[first]] = _mixed(bits[first])
+        open_texts = open_texts[np.isinf(best[open_texts]).any(1)]
+        until *= 2
     return chosen
 
 
+def _darts(shingles: np.ndarray, weights: np.ndarray, until: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Time, bits and text of the darts that hit before ``until``, which goes
+    with the text, like the weights and the text's number, for each shingle."""
+    ranges = 1 + np.ceil(np.log(np.maximum(weights, 1)) / np.log(1.5)).astype(np.int64)
+    of = np.repeat(np.arange(len(shingles)), ranges)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(ranges) - ranges, ranges)
+    powers = 1.5 ** np.arange(ranges.max())
+    low, width = np.append(0, powers[:-1])[number], np.append(1, powers[:-1] / 2)[number]
+    covered = (weights[of] - low) / width * 65536  # what of the range the shingle's weight covers
+    stream = _mixed(shingles[of] + number.astype(_U) * _U(0xD6E8FEB86659FD93))
+    rate, time, until, text, at, step, out = -SAMPLES * width, np.zeros(len(of)), until[of], text[of], 1, 1, []
+    while len(stream):
+        bits = _mixed(stream[:, None] + np.arange(at, at + step).astype(_U) * _U(0x9E3779B97F4A7C15))
+        times = np.log(1 - ((bits >> _U(32)) + 0.5) * 2.0 ** -32) / rate[:, None]
+        times[:, 0] += time
+        times = np.cumsum(times, 1)
+        row, column = np.nonzero(times < until[:, None])
+        hit_bits = bits[row, column]
+        hits = (hit_bits >> _U(16) & _U(0xFFFF)) + 0.5 < covered[row]
+        row, column = row[hits], column[hits]
+        out.append((times[row, column], hit_bits[hits], text[row]))
+        on = np.flatnonzero(times[:, -1] < until)
+        time, at = times[on, -1], at + step
+        stream, covered, rate, until, text = stream[on], covered[on], rate[on], until[on], text[on]
+        step = min(at - 1, 1024)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def drawn(similarity: float) -> tuple[int, int]:
     """Samples in a band, and samples that two nodes must agree on, for pairs of
     at least ``similarity``: the widest bands and the most samples that lose
@@ -155,17 +244,22 @@ def drawn(similarity: float) -> tuple[int, int]:
 
 
 def _bands(chosen: np.ndarray, rows: int) -> np.ndarray:
+    """Of texts by samples: keys of texts by bands."""
     bands = SAMPLES // rows
-    out = np.arange(1, bands + 1).astype(_U)
-    for column in chosen.reshape(bands, rows).T:
+    out = np.tile(np.arange(1, bands + 1).astype(_U), (len(chosen), 1))
+    for column in np.moveaxis(chosen.reshape(-1, bands, rows), 2, 0):
         out = _mixed(out * _U(0x9E3779B97F4A7C15) + column)
     return out.view(np.int64)
 
 
 def _counted(shingles: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles, their dampened counts and their weight for one occurrence."""
-    distinct, count = np.unique(shingles, return_counts=True)
-    return distinct, 1 + np.log(count), idf[(distinct & _U(DF_BUCKETS - 1)).astype(np.int64)]
+    distinct, count = np.sort(shingles), np.ones(len(shingles))
+    first = np.append(True, distinct[1:] != distinct[:-1])[:len(distinct)]
+    if not first.all():
+        at = np.flatnonzero(first)
+        distinct, count = distinct[at], 1 + np.log(np.diff(np.append(at, len(distinct))))
+    return distinct, count, idf[(distinct & _U(DF_BUCKETS - 1)).astype(np.int64)]
 
 
 def weighted_jaccard(a, b) -> float:
@@ -182,12 +276,13 @@ def weighted_jaccard(a, b) -> float:
 def document_frequencies(docs: DataFrame) -> np.ndarray:
     """Weight of one occurrence by hash bucket, from every document."""
     def count(batches):
-        shingler, counts, n = Shingler(), np.zeros(DF_BUCKETS, np.int64), 0
+        counts, n = np.zeros(DF_BUCKETS, np.int64), 0
         for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                _, h = shingler(text or "")
-                counts[np.unique(h & _U(DF_BUCKETS - 1)).astype(np.int64)] += 1
-                n += 1
+            each = [np.sort((h & _U(DF_BUCKETS - 1)).astype(np.int32)) for _, h in shingled(part.column(0).to_pylist())]
+            for b in each:
+                if len(b):
+                    counts[b[np.append(True, b[1:] != b[:-1])]] += 1
+            n += len(each)
         if n:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], ["bucket", "n"])
@@ -205,21 +300,16 @@ def _signatures(docs: DataFrame, idf: np.ndarray, rows: int) -> DataFrame:
                         ("signature", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        shingler = Shingler()
         for part in slices(batches):
-            digests, signatures, bands = [], [], []
-            for text in part.column(3).to_pylist():
-                digest, h = shingler(text or "")
-                digests.append(digest)
-                if len(h):
-                    distinct, count, weight = _counted(h, idf)
-                    chosen = samples(distinct, count * weight)
-                    signatures.append((chosen >> _U(32)).astype(np.uint32).view(np.int32))
-                    bands.append(_bands(chosen, rows))
-                else:
-                    signatures.append([])
-                    bands.append([])
-            yield batch_of(schema, [*part.columns[:3], digests, signatures, bands])
+            digests, shingles, weights = [], [], []
+            for words, h in shingled(part.column(3).to_pylist()):
+                distinct, count, weight = _counted(h, idf)
+                digests.append(hashlib.md5(words).digest())
+                shingles.append(distinct)
+                weights.append(count * weight)
+            chosen = samples_of(shingles, weights)
+            signatures, bands = (chosen >> _U(32)).astype(np.uint32).view(np.int32), _bands(chosen, rows)
+            yield batch_of(schema, [*part.columns[:3], digests, *([x if len(h) else [] for x, h in zip(of, shingles)] for of in (signatures, bands))])
 
     return docs.select(F.col("doc_id").cast("long"), *PLACE, F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, _file string, _row long, digest binary, signature array<int>, bands array<long>")
@@ -244,13 +334,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: f
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches):
-        shingler, at, held = Shingler(), None, {}
+        at, held = None, {}
         for batch in slices(batches):
-            rows = []
-            for *key, node, partners, text in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, columns = [], [c.to_pylist() for c in batch.columns]
+            for *key, node, partners, (_, h) in zip(*columns[:-1], shingled(columns[-1])):
                 if key != at:
                     at, held = key, {}
-                counted = _counted(shingler(text or "")[1], idf)
+                counted = _counted(h, idf)
                 if not partners:
                     held[node] = counted
                 rows += [(a, node, value) for a in partners if (value := weighted_jaccard(held[a], counted)) >= similarity]
@@ -291,11 +381,10 @@ def _rarest_shingles(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, simila
     schema = pa.schema([("node", pa.int64()), ("shingle", pa.int64()), ("weight", pa.float64())])
 
     def weigh(batches):
-        shingler = Shingler()
         for part in slices(batches):
             numbers, hashes, weights = [], [], []
-            for node, text in zip(*(c.to_pylist() for c in part.columns)):
-                distinct, count, weight = _counted(shingler(text or "")[1], idf)
+            for node, (_, h) in zip(part.column(0).to_pylist(), shingled(part.column(1).to_pylist())):
+                distinct, count, weight = _counted(h, idf)
                 numbers.append(np.full(len(distinct), node, np.int64))
                 hashes.append(distinct.view(np.int64))
                 weights.append(count * weight)

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from skyledger.llm import near_dedup as N
@@ -156,3 +158,41 @@ def test_open_pairs_hold_every_similar_pair(spark):
         nodes = texts.select("node", (F.col("node") % 7).alias("component"))
         got = {(r.a, r.b) for r in N._open_pairs(nodes, texts, idf, similarity).collect()}
         assert want and want <= got
+
+
+def test_word_hashes_are_xxh64():
+    rng = random.Random(8)
+    words = ["é", "日本", "🙂", "\x00"] + ["".join(rng.choice("abcxyzäß日🙂") for _ in range(n)) for n in range(1, 40) for _ in range(8)]
+    assert [int(x) for x in N._word_hashes(" ".join(words).encode())] == [xxhash.xxh64_intdigest(w, N.SEED) for w in words]
+
+
+def test_shingles_of_many_texts_equal_those_of_one(monkeypatch):
+    texts = [None, "", "one", "a b", "a b c d e", prose(1, 300), " \n\t", "x\x1cy  z", prose(2, 7), prose(3, 2000)]
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(N, "TEXT_BYTES", size)
+        got = list(N.shingled(texts))
+        assert [w.decode() for w, _ in got] == [" ".join((t or "").split()) for t in texts]
+        for text, (_, h) in zip(texts, got):
+            n = len((text or "").split())
+            assert len(h) == (n - N.SHINGLE + 1 if n >= N.SHINGLE else min(n, 1))
+            assert np.array_equal(h, N.Shingler()(text)[1])
+
+
+def test_samples_of_many_texts_equal_those_of_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    shingles = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (3, 0, 1, 500, 40, 2000)]
+    weights = [rng.uniform(0.5, 12, len(h)) for h in shingles]
+    want = [N.samples(h, w) for h, w in zip(shingles, weights)]
+    monkeypatch.setattr(N, "_BLOCK", 97)
+    assert np.array_equal(N.samples_of(shingles, weights), want) and not want[1].any() and all(x.all() for i, x in enumerate(want) if i != 1)
+
+
+def test_samples_cost_the_length_not_its_product_with_their_number():
+    h = np.unique(np.random.default_rng(7).integers(0, 1 << 63, 4000, dtype=np.uint64))
+    w = np.full(len(h), 1.3)
+    N.samples(h, w)
+    tracemalloc.start()
+    N.samples(h, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4000 * 300  # drawing every sample for every shingle held 48 times 40 bytes a shingle
