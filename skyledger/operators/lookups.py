@@ -29,8 +29,9 @@ def get_cities_lists(requests: DataFrame, latest_temps: DataFrame, separator: st
 
     A list may be megabytes long and an org requested any number of times, so
     requests are counted, an org's list (or text) is made once, and its replies
-    are dealt in parts of ``REPLIES_PER_LIST``: a task holds the list it repeats,
-    and what is shuffled is one list a part."""
+    are dealt in parts of ``REPLIES_PER_LIST``: what is shuffled is one list a
+    part.  Rows are multiplied without their list, which a join adds to one reply
+    at a time: ``explode`` would hold all replies of a part at once."""
     cities = F.array_sort(F.collect_set("city"))
     none = F.array().cast("array<string>")
     if separator is not None:
@@ -38,14 +39,14 @@ def get_cities_lists(requests: DataFrame, latest_temps: DataFrame, separator: st
     known = latest_temps.groupBy("org").agg(cities.alias("cities"))
     counts = requests.groupBy("org").agg(F.count(F.lit(1)).alias("_n"))
     last = F.floor((F.col("_n") - 1) / REPLIES_PER_LIST)
-    parts = (counts.join(known, "org", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-             .withColumn("_left", F.col("_n") - F.col("_part") * REPLIES_PER_LIST))
+    parts = counts.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    left = F.least(F.col("_n") - F.col("_part") * REPLIES_PER_LIST, F.lit(REPLIES_PER_LIST).cast("long"))
+    replies = parts.select("org", "_part", F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("_reply"))
+    lists = parts.join(known, "org").select("org", "_part", "cities")
     # a given number of partitions: by their bytes, which the replies outgrow, they would be merged
     tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (parts.repartition(tasks, "org", "_part")
-            .select("org", F.coalesce("cities", none).alias("cities"),
-                    F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_left"), F.lit(REPLIES_PER_LIST).cast("long")))).alias("_reply"))
-            .drop("_reply"))
+    return (replies.repartition(tasks, "org", "_part").join(lists.repartition(tasks, "org", "_part"), ["org", "_part"], "left")
+            .select("org", F.coalesce("cities", none).alias("cities")))
 
 
 def get_temperature(requests: DataFrame, latest_temps: DataFrame) -> DataFrame:

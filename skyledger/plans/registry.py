@@ -23,7 +23,7 @@ from skyledger.operators.ordering import sample_places, sorted_orgs
 from skyledger.functions.geo import qualified_name, unit_sphere_point
 from skyledger.functions.hashing import java_string_hash
 from skyledger.plans import telemetry as T
-from skyledger.session import shared_table
+from skyledger.session import long_rows_session, shared_table
 from skyledger.sources import fixtures as FX
 from skyledger.sources.catalog import list_catalog
 
@@ -157,6 +157,7 @@ def q_get_cities(spark, d):
 
 def q_get_cities_lists(spark, d):
     """G1 reply shape: one reply a request; requested orgs repeat, some are unknown."""
+    spark = long_rows_session(spark, "cities")
     req = _requests(spark, d).select("org")
     return G.get_cities_lists(req, _summaries(spark, d, req)["latest_city_temperature"], separator="|")
 

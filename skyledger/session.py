@@ -25,6 +25,16 @@ BASE_CONF = {
 }
 
 
+# Parquet settings for results whose rows are megabytes long.  The writer counts
+# a page's bytes after so many rows only (else 100, all held at once); a value
+# that comes again is stored once (in a dictionary of at most so many bytes,
+# else 1 MB, which one such value exceeds).
+LONG_ROWS_CONF = {
+    "parquet.page.size.row.check.min": "8",
+    "parquet.dictionary.page.size": str(64 << 20),
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "skyledger", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench; on a cluster use the cluster's
@@ -60,6 +70,19 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def long_rows_session(spark: SparkSession, column: str) -> SparkSession:
+    """A session with the settings of ``spark`` and, where those are not set,
+    ``LONG_ROWS_CONF``: its DataFrames are written so, those of ``spark`` as
+    before.  The long ``column`` gets no least and greatest value, for which each
+    row would be compared byte by byte."""
+    long_rows = LONG_ROWS_CONF | {f"parquet.column.statistics.enabled#{column}": "false"}
+    own = spark.newSession()
+    for k, v in (long_rows | spark.conf.getAll).items():
+        if k in long_rows or own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``, or the
     one the context was given.

@@ -89,3 +89,48 @@ def test_city_lists_of_many_requests_are_dealt_over_tasks(spark):
     assert plan.index("Join LeftOuter") < plan.index("array_join")
     lists = {(r.org, tuple(r.cities)) for r in G.get_cities_lists(req, temps).collect()}
     assert lists == {("A", ("a", "b")), ("B", ("c",)), ("Z", ()), (None, ())}
+
+
+def _below(plan, node):
+    """The lines of each ``node`` of a plan with all that lies below it."""
+    lines = plan.splitlines()
+    depth = [next((i for i, c in enumerate(x) if c.isalpha()), 0) for x in lines]
+    for i, line in enumerate(lines):
+        if line[depth[i]:].startswith(node):
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_city_lists_are_added_to_one_reply_at_a_time(spark):
+    temps = spark.createDataFrame([("A", "b"), ("A", "a")], "org string, city string")
+    req = spark.createDataFrame([("A",), ("Z",)], "org string")
+    for separator in (None, "|"):
+        plan = G.get_cities_lists(req, temps, separator)._jdf.queryExecution().optimizedPlan().toString()
+        made = list(_below(plan, "Generate"))   # explode holds all rows that it makes of one
+        assert made and not any("collect_set" in x for x in made)
+
+
+def test_city_lists_of_megabytes_are_stored_once(spark, scratch):
+    from pathlib import Path
+    from skyledger.plans.registry import QUERIES
+    for table, row, cols in (("supplier", (1, "a", 0), "s_suppkey long, s_name string, s_nationkey int"),
+                             ("nation", (0, "n", 0), "n_nationkey int, n_name string, n_regionkey int"),
+                             ("region", (0, "r"), "r_regionkey int, r_name string"),
+                             ("events", (1, 1, 1.0), "event_id long, user_id long, value double")):
+        spark.createDataFrame([row], cols).write.parquet(f"{scratch}/{table}.parquet")
+    settings = ("parquet.page.size.row.check.min", "parquet.dictionary.page.size")
+    before = [spark.conf.get(k, None) for k in settings]
+    own = QUERIES["get_cities_lists"](spark, scratch).sparkSession
+    assert own.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    temps = own.range(120_000).select(F.format_string("Org %d", F.col("id") % 2).alias("org"), F.md5(F.col("id").cast("string")).alias("city"))
+    req = own.range(80).select(F.format_string("Org %d", F.col("id") % 4).alias("org"))
+    G.get_cities_lists(req, temps, separator="|").write.parquet(f"{scratch}/replies")
+    got = spark.read.parquet(f"{scratch}/replies").groupBy("org", "cities").count().collect()
+    want = {"Org 2": "", "Org 3": ""}
+    for org in ("Org 0", "Org 1"):
+        want[org] = "|".join(sorted(r.city for r in temps.where(F.col("org") == org).collect()))
+    assert {r.org: r.cities for r in got} == want and {r["count"] for r in got} == {20}
+    texts = sum(map(len, want.values()))
+    assert min(len(want["Org 0"]), len(want["Org 1"])) > 1 << 20   # longer than a dictionary is by default
+    assert sum(f.stat().st_size for f in Path(scratch, "replies").glob("*.parquet")) < 1.2 * texts
+    assert [spark.conf.get(k, None) for k in settings] == before   # other results are written as ever
